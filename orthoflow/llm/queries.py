@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orthoflow.llm.decontamination import contamination
 from orthoflow.llm.exact_dedup import exact_duplicates
+from orthoflow.llm.simhash import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +32,45 @@ SELECT doc_id,
 FROM rows
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_exact_dedup": op5_exact_dedup}
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, list_slice(w, s, least(s + 9, len(w))) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, s, l, list_slice(w, s, s + l - 1) AS win
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s
+        FROM d, (SELECT DISTINCT len(win) AS l FROM windows) WHERE len(w) >= l)
+), hits AS (
+  SELECT doc_id, s, l, item_id FROM places JOIN windows USING (win)
+), words AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + l)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
+ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL}
