@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orthoflow.llm.decontamination import contamination
 from orthoflow.llm.exact_dedup import exact_duplicates
+from orthoflow.llm.langid import identify
+from orthoflow.llm.packing import pack
+from orthoflow.llm.sharding import digest, shuffled
 from orthoflow.llm.simhash import near_duplicates
 
 
@@ -68,8 +71,30 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(shuffled(table(spark, sf_dir, "documents"), shards=24))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def word_tokenizer() -> str:
+    """Path of the public word-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

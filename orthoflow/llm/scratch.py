@@ -62,7 +62,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     )
 
 
-def train_fraction(spark: SparkSession, n: int, bound: int) -> float:
+def train_fraction(n: int, bound: int) -> float:
     """The share of n rows that a fit bounded to so many rows may read."""
     return 1.0 if n <= bound else bound / n
 
