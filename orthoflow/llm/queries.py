@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoflow.llm import pii, secret_scan
+from orthoflow.llm import pii, quality, secret_scan, toxicity
 from orthoflow.llm.decontamination import contamination
 from orthoflow.llm.exact_dedup import exact_duplicates
-from orthoflow.llm.langid import identify
+from orthoflow.llm.langid import held_out, identify
 from orthoflow.llm.packing import pack
 from orthoflow.llm.sharding import digest, shuffled
 from orthoflow.llm.simhash import near_duplicates
@@ -99,7 +99,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), meta=["n_chars"])
+    scored = quality.quality(docs, machine, meta=["n_chars"])
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
