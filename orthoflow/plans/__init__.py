@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from orthoflow.plans import gridded, iterated, masked, measured, pairs, shapes, stacks, windowed  # noqa: F401
+from orthoflow.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
