@@ -138,7 +138,10 @@ def fit_plane(df: DataFrame, iterations: int = 10, tol: float = 1e-5, tune: floa
 
 
 def tile_planes(df: DataFrame, key: str) -> DataFrame:
-    """Least-squares plane of every tile at once, in closed form: key, a, b, c (null if it spans none)."""
+    """Least-squares plane of every tile at once, in closed form: key, a, b, c.
+
+    They are null where the points span no plane (a determinant up to 1e-9).
+    """
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     names = {"sxx": x * x, "sxy": x * y, "sx": x, "syy": y * y, "sy": y, "sxz": x * z, "syz": y * z, "sz": z}
     s = df.where(z.isNotNull()).groupBy(key).agg(F.count(z).alias("n"), *[F.sum(e).alias(k) for k, e in names.items()])
@@ -153,7 +156,8 @@ def tile_planes(df: DataFrame, key: str) -> DataFrame:
         )
 
     d = det(m)
-    part = lambda k: F.try_divide(det([[v[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]), d)
+    solved = lambda k: det([[v[i] if j == k else m[i][j] for j in range(3)] for i in range(3)])
+    part = lambda k: F.when(F.abs(d) > 1e-9, solved(k) / d)
     return s.select(key, part(0).alias("a"), part(1).alias("b"), part(2).alias("c"))
 
 

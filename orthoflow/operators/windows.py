@@ -27,6 +27,18 @@ def densify(df: DataFrame, rows: int, cols: int, fill: dict[str, object], r: str
     return out.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in fill.items() if v is not None})
 
 
+def filled(df: DataFrame, keys: Sequence[str] = (), r: str = "r", c: str = "c") -> DataFrame:
+    """df with a row for every cell of its bounding box, by key; `_own` is true for those of df.
+
+    A window that runs along rows and then along columns needs the cells between.
+    """
+    box_ = df.groupBy(*keys).agg(F.min(r).alias("_r0"), F.max(r).alias("_r1"), F.min(c).alias("_c0"), F.max(c).alias("_c1"))
+    rows = box_.where("_r0 is not null").withColumn(r, F.explode(F.sequence("_r0", "_r1")))
+    cells = rows.withColumn(c, F.explode(F.sequence("_c0", "_c1"))).select(*keys, r, c)
+    own = df.withColumn("_own", F.lit(True))
+    return cells.join(own, [*keys, r, c], "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
+
+
 def box(
     df: DataFrame, columns: Sequence[str], radius: int, keys: Sequence[str] = (), agg: Callable[[Column], Column] = F.sum, r: str = "r", c: str = "c"
 ) -> DataFrame:
@@ -40,7 +52,7 @@ def box(
 def block_mean(df: DataFrame, value: str, radius: int, keys: Sequence[str] = ()) -> DataFrame:
     """df with `filtered`: mean of the values that are not null, over the square and all rows of a cell."""
     cells = df.groupBy(*keys, "r", "c").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    return box(cells, ["s", "n"], radius, keys).select(
+    return box(filled(cells, keys), ["s", "n"], radius, keys).where("_own").select(
         *keys, "r", "c", F.try_divide(F.col("b_s"), F.col("b_n")).alias("filtered")
     )
 
@@ -154,7 +166,10 @@ def vector_coherence(stack: DataFrame, p: StackParameters, layers: int, rows: in
     window**2 * layers * min_matches for a block; windows shrink at borders.
     """
     sums = pixel_sums(stack, p.min_cc, keys)
-    if not keys:
+    if keys:
+        empty = {"ew": 0, "ns": 0, "path": 0.0, "na": 0}
+        sums = filled(sums, keys).withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in empty.items()}).drop("_own")
+    else:
         sums = densify(sums, rows, cols, {"ew": 0, "ns": 0, "path": 0.0, "na": 0})
     full = box(mean_magnitude(sums, layers), ["ew", "ns", "path", "na"], p.window // 2, keys)
     processed = (
