@@ -108,12 +108,14 @@ def label_model(votes: np.ndarray, rounds: int = 40, lead: int | None = None) ->
         prior = np.clip(posterior.mean(), 0.005, 0.995)
         by = np.stack([(w[:, None, None] * onehot).sum(axis=0) + 0.5 for w in (1 - posterior, posterior)])
         by /= by.sum(axis=2, keepdims=True)
-        if r == rounds // 2:
+        if r % 5 == 0:  # from the first round on, so that copies of a voter cannot lead
             expected = (1 - posterior)[:, None] * (by[0] @ [-1, 0, 1]) + posterior[:, None] * (by[1] @ [-1, 0, 1])
             rest = votes - expected
             size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
             correlation = (rest.T @ rest) / n / np.outer(size, size)
             share = 1 / np.maximum(1, np.abs(np.where(np.abs(correlation) > 0.2, correlation, 0)).sum(axis=1))
+            if lead is not None:
+                share[lead] = 1
         odds = np.log(by[1]) - np.log(by[0])
         z = math.log(prior / (1 - prior)) + np.einsum("nmv,mv,m->n", onehot, odds, share)
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
