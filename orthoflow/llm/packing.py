@@ -3,7 +3,9 @@
 Each task packs its own documents in one pass. A fixed number of bins is open;
 a bitset keyed by free space finds the open bin that a piece fits best with two
 integer operations. When a new bin is needed and none may be opened, the fullest
-one closes. Memory is bounded by one document, the open bins and the word cache.
+one closes. Pieces arrive in batches of LOOKAHEAD documents, the longest first, so
+that short ones fill what long ones leave. Memory is bounded by one batch, the
+open bins and the word cache.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 OPEN_BINS = 1024
+LOOKAHEAD = 1024
 #: Words, and parts of words, whose ids are held in memory.
 CACHED = 400_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -135,22 +138,22 @@ def pack(
         names = [x.split()[0] for x in schema.split(", ")]
         types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *[pa.list_(pa.int32())] * keep_ids]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out: list[list] = [[] for _ in names]
+            for lo in range(0, batch.num_rows, LOOKAHEAD):
+                part = batch.slice(lo, LOOKAHEAD)
+                pieces = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = ids_of(text or "") + b"\0\0\0\0"
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
                         own = data[4 * start : 4 * (start + length)]
-                        bin_, offset = bins.place(length)
-                        row = [doc_id, piece, start, length, zlib.crc32(own), bin_, offset]
-                        if keep_ids:
-                            row.append(memoryview(own).cast("i").tolist())
-                        for column, x in zip(out, row):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+                        ids = [memoryview(own).cast("i").tolist()] if keep_ids else []
+                        pieces.append([doc_id, piece, start, length, zlib.crc32(own), *ids])
+                pieces.sort(key=lambda p: -p[3])  # ties in the order of arrival
+                for p in pieces:
+                    p[5:5] = bins.place(p[3])
+                columns = zip(*pieces) if pieces else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(packed, schema)
