@@ -57,6 +57,28 @@ def zones(cells: DataFrame, rings: DataFrame, most: int = 10_000) -> DataFrame:
     return held.groupBy(*cells.columns).agg(F.max("det_id").alias("det_id"))
 
 
+def outline(cells: DataFrame, rings: DataFrame) -> DataFrame:
+    """The cells that any of the rings holds: the union of footprints on the grid."""
+    return zones(cells, rings).drop("det_id")
+
+
+def outline_intersection(cells: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The cells that both sets of rings hold."""
+    return outline(outline(cells, a), b)
+
+
+def extent(rings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """xmin, xmax, ymin, ymax of all rings, by key."""
+    box = rings.select(*keys, *[v.alias(k) for k, v in box_of(F.col("ring")).items()])
+    return box.groupBy(*keys).agg(*[(F.min if k.endswith("min") else F.max)(k).alias(k) for k in ("xmin", "xmax", "ymin", "ymax")])
+
+
+def affine(ring: Column, m: Sequence[float]) -> Column:
+    """The ring under x' = m0 x + m1 y + m2, y' = m3 x + m4 y + m5: a stand-in for a change of projection."""
+    a, b, c, d, e, f = (F.lit(float(v)) for v in m)
+    return F.transform(ring, lambda p: F.struct((a * p["x"] + b * p["y"] + c).alias("x"), (d * p["x"] + e * p["y"] + f).alias("y")))
+
+
 def zone_statistics(cells: DataFrame, option: str, value: str = "v", clip: float | None = None) -> DataFrame:
     """Average (mean, median or mode of 3 decimals, the smallest of equals) and deviation by det_id."""
     options = {"mean": F.avg(value), "median": F.percentile(value, F.lit(0.5)), "mode": F.mode(F.round(value, 3), True)}

@@ -175,3 +175,42 @@ def remap(source: DataFrame, shifts: DataFrame, nearest: bool = False) -> DataFr
     else:
         got = cubic(shifts, source, y, x)
     return got.select("r", "c", F.pmod(F.rint("got").cast("long"), F.lit(65536)).cast("int").alias("v"))
+
+
+def same_grid(a: dict, b: dict) -> bool:
+    """Whether two grids (ulx, uly, xres, yres) are one, so that aligning would change nothing."""
+    return all(a[k] == b[k] for k in ("ulx", "uly", "xres", "yres"))
+
+
+def align(source: DataFrame, of: dict, to: dict, rows: int, cols: int, nearest: bool = True) -> DataFrame:
+    """The source (r, c, v) on another grid of rows by cols: r, c, v, null outside with nearest cells.
+
+    Grids that are one are returned as they are, with no join.
+    """
+    if same_grid(of, to):
+        return source
+    y = (F.lit(float(to["uly"])) + (F.col("r") + 0.5) * to["yres"] - of["uly"]) / of["yres"] - 0.5
+    x = (F.lit(float(to["ulx"])) + (F.col("c") + 0.5) * to["xres"] - of["ulx"]) / of["xres"] - 0.5
+    target = canvas(source, rows, cols)
+    if nearest:
+        got = gather(target, source, F.floor(y + 0.5).cast("int"), F.floor(x + 0.5).cast("int"))
+    else:
+        got = cubic(target, source, y, x, a=-0.5, border=replicate(*_size(source)))
+    return got.select("r", "c", F.col("got").alias("v"))
+
+
+def _size(source: DataFrame) -> tuple[int, int]:
+    last = source.agg(F.max("r"), F.max("c")).first()
+    return (last[0] or 0) + 1, (last[1] or 0) + 1
+
+
+def warp_offsets(source: DataFrame, of: dict, to: dict, rows: int, cols: int, res_ref: float = 1.0) -> DataFrame:
+    """Offsets on another grid, still in pixels of the target: aligned values over (new resolution / res_ref)."""
+    return align(source, of, to, rows, cols).withColumn("v", F.col("v") / F.lit(to["xres"] / res_ref))
+
+
+def grids_by_resolution(bands: DataFrame, grids: DataFrame) -> DataFrame:
+    """Bands with the correction grid of their resolution; pixels must be square and each resolution must have a grid."""
+    square = F.when(F.abs("xres") == F.abs("yres"), F.abs("xres").cast("int")).otherwise(F.raise_error(F.lit("pixels are not square")).cast("int"))
+    found = bands.withColumn("res", square).join(F.broadcast(grids.limit(1000)), "res", "left")
+    return found.withColumn("grid", F.when(F.col("grid").isNotNull(), F.col("grid")).otherwise(F.raise_error(F.lit("a resolution has no grid"))))

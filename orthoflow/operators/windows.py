@@ -181,6 +181,12 @@ def vector_coherence(stack: DataFrame, p: StackParameters, layers: int, rows: in
     return full.withColumn("vc", F.when(processed, vc).otherwise(0.0))
 
 
+def stack_products(stack: DataFrame, p: StackParameters, layers: int, rows: int, cols: int, duration: str) -> DataFrame:
+    """Coherence, mean magnitude, na count and mean velocities of a stack in one table."""
+    base = vector_coherence(stack, p, layers, rows, cols).select("r", "c", "vc", "mean_magn", "na")
+    return base.join(mean_velocity(stack, p.min_cc, layers, duration), ["r", "c"], "left")
+
+
 def denoise_tiles(df: DataFrame, schema: str, h: float = 2.0, search: int = 21, patch: int = 7) -> DataFrame:
     """Non-local means of whole tiles (tile, data array of rows of floats), stretched to bytes and back.
 

@@ -102,6 +102,30 @@ def encode(band: np.ndarray, geotransform: tuple[float, ...] | None = None) -> b
     return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + extra + band.tobytes()
 
 
+def tiff_info(spark: SparkSession, path: str) -> DataFrame:
+    """path, rows, cols, tiled and the geotransform (null without one) of TIFF files."""
+    import pandas as pd
+
+    def info(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["path"], batch["content"]):
+                _, f = directory(content)
+                scale, tie = f.get(PIXEL_SCALE), f.get(TIE_POINT)
+                gt = [tie[3], scale[0], 0.0, tie[4], 0.0, -scale[1]] if scale and tie else None
+                out.append((name, f[HEIGHT][0], f[WIDTH][0], TILES in f, gt))
+            yield pd.DataFrame(out, columns=["path", "rows", "cols", "tiled", "geotransform"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(info, "path string, rows int, cols int, tiled boolean, geotransform array<double>")
+
+
+def georeference(rasters: DataFrame, reference: DataFrame) -> DataFrame:
+    """Metadata rows of rasters with the geotransform and projection of their reference (key ref)."""
+    own = rasters.drop("geotransform", "srs_wkt")
+    return own.join(reference.select(F.col("raster").alias("ref"), "geotransform", "srs_wkt"), "ref", "left")
+
+
 def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     """Pixels path, r, c, v (double) of TIFF files, one task's work each, through Spark's own file access."""
     import pandas as pd

@@ -100,3 +100,19 @@ def ring_of(coordinates: Column, dimension: int = 3) -> Column:
     numbers = F.transform(F.split(F.trim(coordinates), r"\s+"), lambda x: x.cast("double"))
     at = F.sequence(F.lit(0), F.floor(F.size(numbers) / dimension).cast("int") - 1)
     return F.transform(at, lambda i: F.struct(F.get(numbers, i * dimension).alias("x"), F.get(numbers, i * dimension + 1).alias("y")))
+
+
+def listed_layers(spark: SparkSession, arguments: list[str]) -> DataFrame:
+    """Layers from arguments in fours: px1, px2, cc and the duration in days."""
+    if len(arguments) % 4:
+        raise ValueError("a layer has four arguments")
+    rows = [(i // 4, *arguments[i : i + 3], float(arguments[i + 3])) for i in range(0, len(arguments), 4)]
+    return spark.createDataFrame(rows, "layer int, px1 string, px2 string, cc string, duration_days double")
+
+
+def ring_of_wkt(text: Column) -> Column:
+    """The outer ring of a polygon's well-known text."""
+    inner = F.regexp_extract(text, r"\(\(\s*([^()]*)\)", 1)
+    points = F.split(F.trim(inner), r"\s*,\s*")
+    number = lambda p, i: F.get(F.split(p, r"\s+"), F.lit(i)).cast("double")
+    return F.transform(points, lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))

@@ -371,3 +371,36 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 4096
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_grids(spark):
+    a = {"ulx": 0.0, "uly": 0.0, "xres": 10.0, "yres": -10.0}
+    src = pixels(spark, np.arange(16, dtype=float).reshape(4, 4))
+    assert gridding.align(src, a, dict(a), 4, 4) is src
+    moved = image(gridding.align(src, a, a | {"ulx": 10.0}, 4, 4), (4, 4))
+    assert np.array_equal(moved[:, :3], np.arange(16).reshape(4, 4)[:, 1:]) and np.isnan(moved[:, 3]).all()
+    smooth = image(gridding.align(src, a, a | {"ulx": 5.0}, 4, 3, nearest=False), (4, 3))
+    assert np.allclose(smooth[:, 1], np.arange(16).reshape(4, 4)[:, 1:3].mean(1))
+    bands = spark.createDataFrame([(10.0, -10.0), (20.0, -10.0)], "xres double, yres double")
+    grids = spark.createDataFrame([(20, "g")], "res int, grid string")
+    with pytest.raises(Exception, match="not square"):
+        gridding.grids_by_resolution(bands, grids).collect()
+    with pytest.raises(Exception, match="no grid"):
+        gridding.grids_by_resolution(bands.where("xres = 10"), grids).collect()
+
+
+def test_raster_information(spark, tmp_path):
+    gt = (300000.0, 10.0, 0.0, 4900020.0, 0.0, -10.0)
+    (tmp_path / "a.tif").write_bytes(rasters.encode(np.zeros((3, 5), "uint16"), gt))
+    row = rasters.tiff_info(spark, str(tmp_path)).first()
+    assert (row["rows"], row["cols"], row["tiled"], tuple(row["geotransform"])) == (3, 5, False, gt)
+    meta = spark.createDataFrame([("a", "b", [1.0], "x")], "raster string, ref string, geotransform array<double>, srs_wkt string")
+    ref = spark.createDataFrame([("b", [2.0], "y")], "raster string, geotransform array<double>, srs_wkt string")
+    row = rasters.georeference(meta, ref).first()
+    assert (row["geotransform"], row["srs_wkt"]) == ([2.0], "y")
+
+
+def test_listed_layers(spark):
+    assert scenes.listed_layers(spark, ["a", "b", "c", "12"]).first()["duration_days"] == 12
+    with pytest.raises(ValueError):
+        scenes.listed_layers(spark, ["a"])
