@@ -384,7 +384,7 @@ def test_grids(spark):
     bands = spark.createDataFrame([(10.0, -10.0), (20.0, -10.0)], "xres double, yres double")
     grids = spark.createDataFrame([(20, "g")], "res int, grid string")
     with pytest.raises(Exception, match="not square"):
-        gridding.grids_by_resolution(bands, grids).collect()
+        gridding.grids_by_resolution(bands.where("xres = 20"), grids).collect()
     with pytest.raises(Exception, match="no grid"):
         gridding.grids_by_resolution(bands.where("xres = 10"), grids).collect()
 
