@@ -170,7 +170,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(labelled)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.05) -> DataFrame:
+def drop_unidentified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language.
 
     A document goes if it would be `und` (null, or without a letter), or if its
