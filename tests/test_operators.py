@@ -143,6 +143,17 @@ def test_plane_without_values_is_an_error(spark):
         statistics.fit_plane(spark.createDataFrame([(0.0, 0.0, None)], "x double, y double, z double"))
 
 
+@pytest.mark.parametrize("values", [
+    [], [None], [3.0], [1.0, 2.0], list(np.random.default_rng(8).normal(size=501)), list(np.random.default_rng(9).normal(size=500)),
+    [1.0] * 300 + [2.0] * 300, [1.0] * 301 + [2.0] * 299, [5.0] * 400, list(np.random.default_rng(10).integers(0, 3, 777)), [0.0] * 10 + list(range(1, 400)),
+])
+def test_exact_median(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    want = np.median([v for v in values if v is not None]) if any(v is not None for v in values) else None
+    for most in (5, 100_000):
+        assert statistics.exact_median(df, F.col("v"), most) == want
+
+
 def test_clip(spark):
     rng = np.random.default_rng(4)
     v = np.r_[rng.normal(0, 1, 500), [50, -60, 80]]
