@@ -85,9 +85,8 @@ def shuffled(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int =
         if held:
             yield from close(held)
 
-    ordered = scattered.repartition(buckets, "bucket").sortWithinPartitions(
-        "bucket", "doc_id", F.xxhash64("text")
-    )
+    # one bucket for each task: a hash of the bucket's number would put several into one
+    ordered = scattered.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
     permuted = ordered.mapInArrow(permute, "doc_id long, text string, bucket int, place long")
     few = F.broadcast(first) if buckets <= 100_000 else first
     place = F.col("first") + F.col("place")
