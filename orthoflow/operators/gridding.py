@@ -212,5 +212,5 @@ def warp_offsets(source: DataFrame, of: dict, to: dict, rows: int, cols: int, re
 def grids_by_resolution(bands: DataFrame, grids: DataFrame) -> DataFrame:
     """Bands with the correction grid of their resolution; pixels must be square and each resolution must have a grid."""
     square = F.when(F.abs("xres") == F.abs("yres"), F.abs("xres").cast("int")).otherwise(F.raise_error(F.lit("pixels are not square")).cast("int"))
-    found = bands.withColumn("res", square).join(F.broadcast(grids.limit(1000)), "res", "left")
+    found = bands.withColumn("res", square).join(grids, "res", "left")
     return found.withColumn("grid", F.when(F.col("grid").isNotNull(), F.col("grid")).otherwise(F.raise_error(F.lit("a resolution has no grid"))))

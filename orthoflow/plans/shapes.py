@@ -110,7 +110,7 @@ def project_point(spark, sf_dir):
 SELECT r, c, det_id, CAST(i AS INTEGER) AS i, CAST(rn AS INTEGER) AS rn FROM d WHERE rn <= 2""")
 def nearest_two(spark, sf_dir):
     """The two nearest vertices of the footprints (a handful of rows) for each cell."""
-    v = F.broadcast(Y.edges(rings(spark)).select("det_id", "i", "x1", "y1").limit(10_000))
+    v = F.broadcast(Y.edges(rings(spark)).select("det_id", "i", "x1", "y1"))
     d = (F.col("x1") - F.col("c")) * (F.col("x1") - F.col("c")) + (F.col("y1") - F.col("r")) * (F.col("y1") - F.col("r"))
     w = Window.partitionBy("r", "c").orderBy(d, "det_id", "i")
     return layer(spark, sf_dir).select("r", "c").join(v).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("r", "c", "det_id", "i", "rn")
