@@ -190,5 +190,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     hit = matches(docs, items, window).where("exact").select(
         F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")
     ).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_hash"))
+    same = docs["doc_id"].eqNullSafe(hit["_hit_id"]) & (F.xxhash64(docs["text"]) == hit["_hit_hash"])
     return docs.join(hit, same, "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import attach, stored
+from orthoflow.llm.scratch import attach, fresh, stored
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
@@ -79,9 +79,10 @@ def drop_duplicates(docs: DataFrame, salts: int = 64) -> DataFrame:
     """The rows of docs that exact_duplicates() keeps, with all their columns."""
     found = stored(exact_duplicates(docs, salts), "exact-duplicates")
     kept = found.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha256"))
-    named = docs.withColumn("_sha256", F.sha2(normalised(docs["text"]), 256))
-    match = named["doc_id"].eqNullSafe(F.col("_keep_id")) & (named["_sha256"] == F.col("_keep_sha256"))
+    digest = fresh(docs, "_sha256")
+    named = docs.withColumn(digest, F.sha2(normalised(docs["text"]), 256))
+    match = named["doc_id"].eqNullSafe(kept["_keep_id"]) & (named[digest] == kept["_keep_sha256"])
     out = named.join(kept, match, "left_semi")
     if not found.where("copy > 1").isEmpty():  # rows that repeat both id and text
-        out = out.dropDuplicates(["doc_id", "_sha256"])
-    return out.drop("_sha256")
+        out = out.dropDuplicates(["doc_id", digest])
+    return out.drop(digest)

@@ -47,6 +47,13 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it if df has a column of that name."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of rows with a table of one row for each key, safe for hot keys.
 

@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import attach, stored
+from orthoflow.llm.scratch import attach, fresh, stored
 
 BITS = 64
 BLOCKS = 4
@@ -58,13 +58,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         fp = np.fromiter(map(one, texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint fp, as a signed long; null and wordless texts have zero."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, its fingerprint fp as a signed long, and text_hash; null and wordless texts have fp zero."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def gray_rank(codes):
@@ -228,14 +229,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id.
-
-    Documents link when their fingerprints differ in at most three bits; a
-    component's id is its smallest doc_id (null only if all its ids are null).
-    Null texts and texts without words have fingerprint zero and link like any
-    other. Repeated rows each get a row; further columns are ignored.
-    """
+def near_components(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, text_hash, fp, root and component_id of each row; rows of one component, and no others, share a root."""
     prints = stored(fingerprints(docs), "fingerprints")
     codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "codes")
     roots = components(bucket_links(codes.select("fp"), bucket_rows))
@@ -246,8 +241,19 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     ids = stored(
         rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("codes")), "component-ids"
     )
-    by_code = stored(attach(rooted, ids, "root", "codes").select("fp", "n", "component_id"), "code-components")
-    return attach(prints, by_code, "fp", "n").select(
+    by_code = stored(attach(rooted, ids, "root", "codes").select("fp", "n", "root", "component_id"), "code-components")
+    return attach(prints, by_code, "fp", "n").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id.
+
+    Documents link when their fingerprints differ in at most three bits; a
+    component's id is its smallest doc_id (null only if all its ids are null).
+    Null texts and texts without words have fingerprint zero and link like any
+    other. Repeated rows each get a row; further columns are ignored.
+    """
+    return near_components(docs, bucket_rows).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -255,13 +261,25 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, one for each component.
 
-    Of rows that share the component's smallest id, that of the smallest text
-    hash stays.
+    The row of the component's smallest id stays. Rows are told apart by id and
+    text, so an id that stands for several texts loses only those that go; of
+    rows that share the smallest id, or have none in a component without ids,
+    that of the smallest text hash stays.
     """
-    found = stored(near_duplicates(docs), "near-duplicates")
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_drop_id")), "left_anti")
-    if found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = stored(near_components(docs), "near-duplicates")
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = found.where(head).withColumn("nameless", F.when(F.col("doc_id").isNull(), F.col("root")))
+    firsts = heads.groupBy("doc_id", "nameless").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n"))
+    tied = stored(firsts.where("n > 1").select(F.col("doc_id").alias("tied_id"), F.col("nameless").alias("tied_root"), "first"), "tied-heads")
+    ties = not tied.isEmpty()
+    dropped = found.where(~head)
+    if ties:
+        own = heads["doc_id"].eqNullSafe(tied["tied_id"]) & heads["nameless"].eqNullSafe(tied["tied_root"])
+        dropped = dropped.unionByName(heads.join(tied, own).where("text_hash != first").select(found.columns))
+    dropped = dropped.select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(dropped["_drop_id"]) & (F.xxhash64(docs["text"]) == dropped["_drop_hash"])
+    kept = docs.join(dropped, same, "left_anti")
+    if not ties:
         return kept
-    first = F.row_number().over(Window.partitionBy(docs["doc_id"]).orderBy(F.xxhash64(docs["text"])))
-    return kept.withColumn("_first", first).where("_first = 1").drop("_first")
+    name = fresh(docs, "_hash")  # rows that repeat id and text
+    return kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)

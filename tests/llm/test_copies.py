@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from orthoflow.llm import packing, scratch, sharding, simhash
 from orthoflow.llm.decontamination import contamination, drop_contaminated, matches
@@ -141,6 +142,20 @@ def test_near_duplicates_stage_keeps_one(documents):
     assert 3 in ids and 5 not in ids and ids.count(9) == 1
 
 
+def test_near_duplicates_stage_tells_rows_apart(documents):
+    rng = random.Random(4)
+    a, b, c, d = (sentence(rng, 400) for _ in range(4))
+    rows = [(0, a), (1, a + " end"), (1, b), (None, a + " last"), (None, c), (None, c + " end"), (None, d), (None, d), (7, "")]
+    kept = simhash.drop_near_duplicates(documents(rows).withColumn("_hash", F.lit("clash")))
+    assert kept.columns[-1] == "_hash"
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.collect())
+    fp = {t: f for t, f in ((r["text"], r["fp"]) for r in simhash.fingerprints(documents([(i, x[1]) for i, x in enumerate(rows)])).join(
+        documents([(i, x[1]) for i, x in enumerate(rows)]).select("doc_id", "text"), "doc_id").collect())}
+    assert bin((fp[c] ^ fp[c + " end"]) & (2**64 - 1)).count("1") <= 3  # the fixture's own premise
+    assert len(got) == 5 and {t for i, t in got if i == -1} in ({c, d}, {c + " end", d})
+    assert [(i, t) for i, t in got if i >= 0] == sorted([(0, a), (1, b), (7, "")])
+
+
 def words(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
