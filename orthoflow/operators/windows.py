@@ -57,21 +57,16 @@ def block_mean(df: DataFrame, value: str, radius: int, keys: Sequence[str] = ())
     )
 
 
-def neighbours(df: DataFrame, offsets: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
-    """A row of df for each cell that it is a neighbour of (r, c); its cost grows with the offsets."""
-    moves = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets])
-    return df.withColumn("_move", F.explode(moves)).withColumns(
-        {"r": F.col("r") + F.col("_move.dr"), "c": F.col("c") + F.col("_move.dc")}
-    ).drop("_move")
-
-
 def block_median(df: DataFrame, value: str, radius: int, keys: Sequence[str] = ()) -> DataFrame:
-    """As block_mean(), with the exact median; radius is small, as rows are multiplied by the square."""
-    side = range(-radius, radius + 1)
-    here = df.select(*keys, "r", "c").distinct()
-    near = neighbours(df.where(F.col(value).isNotNull()).select(*keys, "r", "c", value), [(a, b) for a in side for b in side], keys)
-    found = near.groupBy(*keys, "r", "c").agg(F.percentile(value, F.lit(0.5)).alias("filtered"))
-    return here.join(found, [*keys, "r", "c"], "left")
+    """As block_mean(), with the exact median; a row carries the values of its square, and none is multiplied."""
+    cells = df.groupBy(*keys, "r", "c").agg(F.collect_list(F.col(value).cast("double")).alias("_in"))
+    across = Window.partitionBy(*keys, "r").orderBy("c").rangeBetween(-radius, radius)
+    down = Window.partitionBy(*keys, "c").orderBy("r").rangeBetween(-radius, radius)
+    half = filled(cells, keys).withColumn("_in", F.flatten(F.collect_list("_in").over(across)))
+    full = half.withColumn("_in", F.array_sort(F.flatten(F.collect_list("_in").over(down)))).where("_own")
+    n = F.size("_in")
+    middle = F.get("_in", F.floor((n - 1) / 2).cast("int")) * 0.5 + F.get("_in", F.floor(n / 2).cast("int")) * 0.5
+    return full.select(*keys, "r", "c", F.when(n > 0, middle).alias("filtered"))
 
 
 def disk(radius_r: int, radius_c: int) -> list[tuple[int, int]]:
@@ -80,10 +75,26 @@ def disk(radius_r: int, radius_c: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-radius_r, radius_r + 1) for b in range(-radius_c, radius_c + 1) if inside(a, b)]
 
 
-def _morph(df: DataFrame, agg: Callable, offsets: list[tuple[int, int]], keys: Sequence[str]) -> DataFrame:
-    here = df.select(*keys, "r", "c")
-    near = neighbours(df.select(*keys, "r", "c", "v"), offsets, keys).groupBy(*keys, "r", "c").agg(agg("v").alias("v"))
-    return here.join(near, [*keys, "r", "c"])
+def disk_boxes(radius_r: int, radius_c: int) -> list[tuple[int, int]]:
+    """Half heights and half widths of the boxes that together cover just the disk, one for each width."""
+    reach: dict[int, int] = {}
+    for a, b in disk(radius_r, radius_c):
+        reach[abs(a)] = max(reach.get(abs(a), 0), abs(b))
+    tallest: dict[int, int] = {}
+    for a, b in reach.items():
+        tallest[b] = max(tallest.get(b, 0), a)
+    return [(a, b) for b, a in sorted(tallest.items())]
+
+
+def _morph(df: DataFrame, agg: Callable, boxes: list[tuple[int, int]], keys: Sequence[str]) -> DataFrame:
+    """agg (max or min) over a union of boxes around each cell of filled(): a frame a box along rows, one along columns."""
+    across = Window.partitionBy(*keys, "r").orderBy("c")
+    down = Window.partitionBy(*keys, "c").orderBy("r")
+    wide = df.withColumns({f"_w{b}": agg("v").over(across.rangeBetween(-b, b)) for _, b in boxes})
+    tall = wide.withColumns({f"_w{b}": agg(f"_w{b}").over(down.rangeBetween(-a, a)) for a, b in boxes})
+    best = F.greatest if agg is F.max else F.least
+    found = best(*[f"_w{b}" for _, b in boxes]) if len(boxes) > 1 else F.col(f"_w{boxes[0][1]}")
+    return tall.select(*keys, "r", "c", "_own", F.when(F.col("_own"), found).alias("v"))
 
 
 def close_open(
@@ -92,15 +103,17 @@ def close_open(
     """Morphological closing, then opening, of v with ball elements; radii are in map units.
 
     Cells beyond the raster do not count. At least one radius must be given.
+    A ball is a union of boxes, so each step is two sorts whatever its radius.
     """
     if close_radius is None and open_radius is None:
         raise ValueError("a radius to close or to open with is needed")
+    df = filled(df.select(*keys, "r", "c", "v"), keys)
     for radius, steps in ((close_radius, (F.max, F.min)), (open_radius, (F.min, F.max))):
         if radius is not None:
             n = round(radius / resolution)
             for step in steps:
-                df = _morph(df, step, disk(n, n), keys)
-    return df
+                df = _morph(df, step, disk_boxes(n, n), keys)
+    return df.where("_own").select(*keys, "r", "c", "v")
 
 
 @dataclass(frozen=True)

@@ -94,6 +94,35 @@ def test_morphology(spark):
         windows.close_open(pixels(spark, a), None, None)
 
 
+@pytest.mark.parametrize("radii", [(0, 0), (1, 1), (3, 3), (7, 4), (20, 20), (0, 5)])
+def test_boxes_cover_just_the_disk(radii):
+    covered = {(i, j) for a, b in windows.disk_boxes(*radii) for i in range(-a, a + 1) for j in range(-b, b + 1)}
+    assert covered == set(windows.disk(*radii))
+
+
+def test_morphology_of_holes_and_tiles(spark):
+    rng = np.random.default_rng(8)
+    cells = [(t, r, c, None if rng.random() < 0.2 else int(rng.integers(9))) for t in (1, 2) for r in range(9) for c in range(8) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "tile int, r int, c int, v int")
+    now = {(t, r, c): v for t, r, c, v in cells}
+    for pick, n in ((max, 2), (min, 2), (min, 3), (max, 3)):
+        balls = windows.disk(n, n)
+        around = {k: [now.get((k[0], k[1] + a, k[2] + b)) for a, b in balls] for k in now}
+        now = {k: pick((x for x in found if x is not None), default=None) for k, found in around.items()}
+    got = windows.close_open(df, 20, 30, resolution=10, keys=["tile"]).collect()
+    assert {(x["tile"], x["r"], x["c"]): x["v"] for x in got} == now
+
+
+def test_median_of_holes_and_layers(spark):
+    rng = np.random.default_rng(9)
+    rows = [(r, c, None if rng.random() < 0.3 else float(rng.integers(50))) for r in range(7) for c in range(7) for _ in range(3) if rng.random() < 0.5]
+    got = windows.block_median(spark.createDataFrame(rows, "r int, c int, v double"), "v", 1).collect()
+    assert {(x["r"], x["c"]) for x in got} == {(r, c) for r, c, _ in rows}
+    for x in got:
+        near = [v for r, c, v in rows if v is not None and abs(r - x["r"]) < 2 and abs(c - x["c"]) < 2]
+        assert x["filtered"] == (float(np.median(near)) if near else None)
+
+
 def test_denoise_keeps_flat_tiles_and_range(spark):
     rng = np.random.default_rng(2)
     noisy = rng.normal(size=(8, 8)).tolist()
