@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Base patterns give the seeds. Every identifier-like token (one with a digit or
-an @) is an occurrence of an instance, its value, in two lexical patterns: the
-word before with the value's shape, and the shape with the word after. Rounds
-over the graph of patterns and instances score a pattern by the trust in its
-instances and an instance by its trusted patterns; patterns of high confidence
-then find identifiers that no base pattern matches.
+Base patterns give the seeds. Every base span, and every identifier-like token
+beside them (one with a digit or an @, digits also over spaces), is an occurrence
+of an instance, its value, in lexical patterns: the word before, the word after,
+and both. They know nothing of the value's form; only a coarse check of its
+characters and number of digits says of which kinds it may be. Rounds over the
+graph of patterns and instances score a pattern by the trust in its instances and
+an instance by its trusted patterns; patterns of high confidence then find
+identifiers that no base pattern matches.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Identifier-like tokens, from their first to their last letter or digit.
-CANDIDATE = r"(?<![A-Za-z0-9+_%@/.-])[A-Za-z+_%/.-]*+[0-9@](?:[A-Za-z0-9._%+@/-]*[A-Za-z0-9])?"
+CANDIDATE = r"(?<![A-Za-z0-9+_%@/.-])[A-Za-z+_%/.-]*+[0-9@](?:[A-Za-z0-9._%+@:/-]*[A-Za-z0-9])?"
+#: Groups of digits over spaces and brackets.
+SPACED = r"(?<![A-Za-z0-9+_%@/.(-])[+(]{0,2}[0-9]++(?:[\x20()./-]{1,3}+[0-9]++){1,5}+(?![A-Za-z0-9_@%])(?!\.[A-Za-z0-9])"
+#: Stands for the characters of base spans where tokens are looked for.
+FILLER = "\ue000"
 
 ROUNDS = 3
 #: Trust from which a pattern is followed, and from which it extracts; and seeds that it must have.
@@ -66,64 +72,115 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
+def coarse(value: Column) -> Column:
+    """The kinds that a value of any form may be, by its characters and its number of digits."""
+    n = F.length(_digits(value))
+    plain = value.rlike(r"^[+(]*[0-9][0-9\x20()./-]*$")
+    checks = {
+        "email": value.rlike("[^@]@[^@]"),
+        "ip": value.rlike(r"^[0-9A-Fa-f.:]+$") & (F.length(value) - F.length(F.regexp_replace(value, "[.:]", "")) >= 3),
+        "card": plain & n.between(12, 19),
+        "phone": plain & n.between(7, 15),
+    }
+    return F.array_compact(F.array(*[F.when(ok, F.lit(k)) for k, ok in checks.items()]))
+
+
+def _hidden(text: Column, base: Column) -> Column:
+    """text with a filler for each character of a base span, so that places stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        piece = F.substring(text, acc["at"] + 1, start - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece, F.repeat(F.lit(FILLER), s["end"] - start)).alias("out"))
+
+    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(base) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Identifier-like tokens: doc_id, text_hash, start, end, value, label, patterns.
+    """Base spans and identifier-like tokens beside them: doc_id, text_hash, start, end, value, label, kinds, patterns.
 
-    label is the kind of the base span that covers the token, or null.
+    label is the kind of a base span, null for a token; kinds are those that the value may be.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("t")).where(F.col("t").rlike("[0-9@]"))
-    found = found.select("doc_id", "text_hash", base_spans(F.col("t")).alias("base"), spans(F.col("t"), CANDIDATE, "", 9, F.lit(True)).alias("all"))
-    one = found.select("doc_id", "text_hash", "base", F.explode("all").alias("c"))
-    inside = F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("c.value", "[0-9]", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
+    found = found.select("doc_id", "text_hash", "t", base_spans(F.col("t")).alias("base"))
+    found = found.select("doc_id", "text_hash", "base", _hidden(F.col("t"), F.col("base")).alias("t"))
+    found = found.select("doc_id", "text_hash", "base", "t", spans(F.col("t"), SPACED, "", 9, F.lit(True)).alias("spaced"))
+    found = found.withColumn("spaced", F.filter("spaced", lambda s: _sized(s["value"], 7, 19)))
+    whole = F.filter(spans(F.col("t"), CANDIDATE, "", 9, F.lit(True)), lambda s: ~overlaps(s, F.col("spaced")))
+    one = found.select("doc_id", "text_hash", F.explode(F.concat("base", "spaced", whole)).alias("c"))
+    label = F.when(F.col("c.kind") != "", F.col("c.kind"))
     left = F.lower(F.regexp_extract("c.left", r"(\S{1,40})[^\S\n]*$", 1))
     right = F.lower(F.regexp_extract("c.right", r"^[^\S\n]*(\S{1,40})", 1))
-    return one.select(
+    word = lambda x: F.when((x != "") & ~F.contains(x, F.lit(FILLER)), x)
+    rows = one.select("doc_id", "text_hash", "c", label.alias("label"), word(left).alias("l"), word(right).alias("r"))
+    patterns = F.array(
+        F.concat(F.lit("before\t"), F.col("l")), F.concat(F.lit("after\t"), F.col("r")), F.concat(F.lit("both\t"), F.col("l"), F.lit("\t"), F.col("r"))
+    )
+    may = coarse(F.col("c.value"))
+    return rows.select(
         "doc_id",
         "text_hash",
         F.col("c.start").alias("start"),
         F.col("c.end").alias("end"),
         F.col("c.value").alias("value"),
-        F.try_element_at(inside, F.lit(1))["kind"].alias("label"),
-        F.array(F.concat_ws("\t", F.lit("before"), left, shape), F.concat_ws("\t", F.lit("after"), shape, right)).alias("patterns"),
-    )
+        "label",
+        F.when(F.col("label").isNull(), may).otherwise(F.array_union(F.array("label"), may)).alias("kinds"),
+        F.array_compact(patterns).alias("patterns"),
+    ).where(F.size("kinds") > 0)
+
+
+def _by_key(df: DataFrame, key: str, size: str, *columns: str) -> DataFrame:
+    """One row for each key: its kinds with their columns as an array, and the largest size."""
+    return df.groupBy(key).agg(F.collect_list(F.struct("kind", *columns)).alias("best"), F.max(size).alias(size))
+
+
+def _fitting(df: DataFrame) -> DataFrame:
+    """A row for each kind in best that the value may be."""
+    return df.withColumn("b", F.explode(F.filter("best", lambda b: F.array_contains("kinds", b["kind"])))).drop("best")
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS, follow: float = FOLLOW, seeds: int = SEEDS) -> DataFrame:
     """Patterns worth following: pattern, kind, trust, uses.
 
-    A pattern's trust in a kind is the mean trust of its instances; it needs so
-    many instances that are seeds or trusted. Seeds have trust 1 in their own
-    kind; other instances take the noisy-or of their followed patterns.
+    A pattern's trust in a kind is the mean trust of those of its instances that
+    may be of that kind; it needs so many instances that are seeds or trusted.
+    Seeds have trust 1 in their own kind; other instances take the noisy-or of
+    their followed patterns, without those that hold a word of the pattern scored.
     """
-    each = found.select("value", "label", F.explode("patterns").alias("pattern"))
-    edges = stored(each.groupBy("pattern", "value").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("uses")), "pattern-edges")
-    size = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("uses").alias("uses")), "pattern-sizes")
+    each = found.select("value", "label", "kinds", F.explode("patterns").alias("pattern"))
+    edges = each.groupBy("pattern", "value").agg(F.max("label").alias("label"), F.max("kinds").alias("kinds"), F.count(F.lit(1)).alias("uses"))
+    edges = stored(edges, "pattern-edges")
+    size = edges.select("pattern", F.explode("kinds").alias("kind"), "uses").groupBy("pattern", "kind")
+    size = stored(size.agg(F.count(F.lit(1)).alias("instances"), F.sum("uses").alias("uses")), "pattern-sizes")
     trust = edges.where("label is not null").select("pattern", F.col("label").alias("kind"), F.lit(1.0).alias("trust"))
     seeded = stored(trust.groupBy("pattern", "kind").agg(F.sum("trust").alias("given"), F.count(F.lit(1)).alias("backed")), "seeded")
     given, kept = seeded, None
+    unknown = edges.where("label is null").select("pattern", "value", "kinds")
     for _ in range(rounds):
-        scored = given.join(size, "pattern").select(
+        scored = given.join(size, ["pattern", "kind"]).select(
             "pattern", "kind", (F.col("given") / F.col("instances")).alias("trust"), "backed", "uses", "instances"
         )
         kept = stored(scored.where((F.col("trust") >= follow) & (F.col("backed") >= seeds)), "patterns")
-        # instances without a label take the trust of their patterns
-        kinds = kept.groupBy("pattern").agg(
-            F.max(F.struct("trust", "kind")).alias("best"), F.max("instances").alias("instances")
-        )
-        kinds = stored(kinds, "best-kinds")
-        open_edges = attach(edges.where("label is null"), kinds, "pattern", "instances")
-        doubt = F.sum(F.log(1 - F.least(F.col("best.trust"), F.lit(0.99))))
-        instances = stored(
-            open_edges.groupBy("value", F.col("best.kind").alias("kind")).agg((1 - F.exp(doubt)).alias("trust"), F.count(F.lit(1)).alias("n")),
-            "instances",
+        by_pattern = stored(_by_key(kept, "pattern", "instances", "trust"), "best-kinds")
+        doubt = F.log(1 - F.least(F.col("b.trust"), F.lit(0.99)))
+        side = F.substring_index("pattern", "\t", 1)
+        held = _fitting(attach(unknown, by_pattern, "pattern", "instances")).select(
+            "pattern", "value", F.col("b.kind").alias("kind"), side.alias("side"), doubt.alias("doubt")
         )
+        held = stored(held, "doubts")
+        sums = [F.sum(F.when(F.col("side") == k, F.col("doubt")).otherwise(0.0)).alias(k) for k in ("before", "after", "both")]
+        instances = stored(_by_key(held.groupBy("value", "kind").agg(*sums, F.count(F.lit(1)).alias("n")), "value", "n", "before", "after", "both"), "instances")
         if instances.isEmpty():
             break
-        gained = attach(edges.where("label is null").select("pattern", "value"), instances, "value", "n").groupBy("pattern", "kind").agg(
-            F.sum("trust").alias("given"), F.count_if(F.col("trust") >= follow).alias("backed")
-        )
+        # a pattern cannot back itself, nor can one with its word
+        own = held.select("pattern", "value", "kind", "doubt")
+        gained = _fitting(attach(unknown, instances, "value", "n")).select("pattern", "value", F.col("b.kind").alias("kind"), "b")
+        gained = gained.join(own, ["pattern", "value", "kind"], "left")
+        others = F.when(side == "both", F.col("b.both")).otherwise(F.col("b.before") + F.col("b.after"))
+        gained = gained.withColumn("trust", 1 - F.exp(F.least(others - F.coalesce("doubt", F.lit(0.0)), F.lit(0.0))))
+        gained = gained.groupBy("pattern", "kind").agg(F.sum("trust").alias("given"), F.count_if(F.col("trust") >= follow).alias("backed"))
         given = stored(
             seeded.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("given").alias("given"), F.sum("backed").alias("backed")), "given"
         )
@@ -133,10 +190,11 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS, follow: float = FOLLO
 def discovered(docs: DataFrame, extract: float = EXTRACT) -> DataFrame:
     """Identifiers that trusted patterns find beside the base spans: doc_id, text_hash, extra."""
     found = stored(occurrences(docs), "occurrences")
-    patterns = stored(score_patterns(found).where(F.col("trust") >= extract), "trusted-patterns")
-    new = found.where("label is null").select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern"))
-    best = attach(new, patterns, "pattern", "uses").groupBy("doc_id", "text_hash", "start", "end").agg(
-        F.max(F.struct("trust", "kind"))["kind"].alias("kind")
+    patterns = score_patterns(found).where(F.col("trust") >= extract)
+    patterns = stored(_by_key(patterns, "pattern", "uses", "trust"), "trusted-patterns")
+    new = found.where("label is null").select("doc_id", "text_hash", "start", "end", "kinds", F.explode("patterns").alias("pattern"))
+    best = _fitting(attach(new, patterns, "pattern", "uses")).groupBy("doc_id", "text_hash", "start", "end").agg(
+        F.max(F.struct("b.trust", "b.kind"))["kind"].alias("kind")
     )
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     empty = F.lit("")

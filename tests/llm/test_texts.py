@@ -87,6 +87,23 @@ def test_context_finds_what_no_pattern_matches(documents):
     assert done[99] == "lorem ipsum account-number [card] dolor sit" and done[98] == "nothing here 77 to see"
 
 
+def test_contexts_reach_forms_that_no_base_pattern_matches(documents):
+    rng = random.Random(5)
+    filler = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(7))
+    plain = lambda: f"{rng.randrange(200, 999)}-555-{rng.randrange(1000, 9999)}"
+    texts = [(i, f"{filler()} phone +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} {filler()}") for i in range(400)]
+    shared = [plain() for _ in range(20)]
+    for i, v in enumerate(shared):  # known by the trusted cue, they carry trust to another one
+        texts += [(1000 + i, f"phone {v} {filler()}"), (2000 + i, f"dial {v} {filler()}")]
+    asked = {3000: ("ask phone ", "826-555-4081"), 3001: ("phone ", "826 555 4082"), 3002: ("phone ", "(826) 555-4083"), 3003: ("now dial ", "826-555-4084")}
+    texts += [(i, f"{a}{v} {filler()}") for i, (a, v) in asked.items()]
+    texts += [(4000, f"order 826-555-4085 {filler()}"), (4001, f"phone 12 {filler()}"), (4002, f"phone a1b2c3d4e5 {filler()}")]
+    rows = {r["doc_id"]: r for r in pii.report(pii.personal_data(documents(texts))).collect()}
+    for i, (a, v) in asked.items():
+        assert rows[i]["spans"] == f"phone:{len(a)}:{len(a) + len(v)}" and rows[i]["n_phone"] == 0
+    assert [rows[i]["spans"] for i in (4000, 4001, 4002)] == ["", "", ""]
+
+
 def test_secrets_against_brute_force(documents):
     rng = random.Random(3)
     parts = [
