@@ -47,6 +47,14 @@ def pairs_star_by_date(spark, sf_dir):
     return dated(pairing.star_pairs(monthly(spark, sf_dir), F.lit("1997-03-01").cast("date")))
 
 
+@query(f"""WITH {SCENES} SELECT {FLAT} FROM scenes a JOIN scenes b ON a.scene_id <> b.scene_id
+WHERE a.date = (SELECT min(date) FROM scenes WHERE date >= DATE '1997-03-01')""")
+def pairs_star_by_date_all(spark, sf_dir):
+    s = scenes(spark, sf_dir)
+    day = s.where(F.col("date") >= F.lit("1997-03-01").cast("date")).agg(F.min("date")).first()[0]
+    return dated(pairing.star_pairs(s, day))
+
+
 @query(RANKED + ", fwd AS (" + FORWARD + "3) SELECT * FROM fwd UNION ALL SELECT sec_id, sec_date, ref_id, ref_date FROM fwd")
 def pair_sequence(spark, sf_dir):
     return dated(pairing.sequence_pairs(scenes(spark, sf_dir), 3))
@@ -63,6 +71,12 @@ def pairs_before_after(spark, sf_dir):
     return dated(pairing.before_after_pairs(monthly(spark, sf_dir), F.lit("1998-01-01").cast("date"), backward=True))
 
 
+@query(f"""WITH {SCENES}, fwd AS (SELECT {FLAT} FROM scenes a, scenes b WHERE a.date < DATE '1998-01-01' AND b.date >= DATE '1998-01-01')
+SELECT * FROM fwd UNION ALL SELECT sec_id, sec_date, ref_id, ref_date FROM fwd""")
+def pairs_before_after_all(spark, sf_dir):
+    return dated(pairing.before_after_pairs(scenes(spark, sf_dir), F.lit("1998-01-01").cast("date"), backward=True))
+
+
 @query(RANKED + ", fwd AS (" + FORWARD + "2) SELECT ref_id AS first_id, sec_id AS second_id FROM fwd")
 def forward_backward_match(spark, sf_dir):
     return pairing.forward_backward(pairing.sequence_pairs(scenes(spark, sf_dir), 2))

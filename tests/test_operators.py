@@ -289,6 +289,18 @@ def test_pairs(spark):
     assert pairing.series_bounds(pairing.flat(pairing.sequence_pairs(s))).first()["days"] == 19
 
 
+def test_pairs_by_date_take_all_scenes(spark):
+    from orthoflow.plans import QUERIES
+    from orthoflow.plans.fixtures import scenes
+
+    sf = "/root/testdata/sf0.001"
+    dates = [r["date"] for r in scenes(spark, sf).collect()]
+    split = datetime.date(1998, 1, 1)
+    early = sum(d < split for d in dates)
+    assert QUERIES["pairs_star_by_date_all"](spark, sf).count() == len(dates) - 1
+    assert QUERIES["pairs_before_after_all"](spark, sf).count() == 2 * early * (len(dates) - early)
+
+
 def test_polygons(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]])
     pts = spark.createDataFrame([(2, 2), (4, 2), (0, 0), (5, 2), (-1, 0)], "c int, r int")
