@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orthoflow.functions.raster import linspace, mask_large, mask_low_cc
 from orthoflow.operators.geometry import zone_statistics, zones
 from orthoflow.operators.gridding import zoom_out
-from orthoflow.operators.statistics import Plane, fit_plane, gaussian_clip, stage_statistics, tile_planes
+from orthoflow.operators.statistics import Plane, fit_plane, fit_planes, gaussian_clip, gaussian_clips, stage_statistics, tile_planes
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,55 @@ def apply(field: DataFrame, found: Correction, rings: DataFrame | None, p: Corre
     return field.select("r", "c", mask_large(v, p.max_displacement).alias("v"))
 
 
+@dataclass
+class Corrections:
+    """What estimate() finds, by key: planes (key, a, b, c), offsets (key, det_id, offset), log (key, stage, ...), sigmas (key, sigma)."""
+
+    planes: DataFrame
+    offsets: DataFrame | None
+    log: DataFrame
+    sigmas: DataFrame
+
+
+def estimate_pairs(fields: DataFrame, key: str, rings: DataFrame | None, p: CorrectionParameters) -> Corrections:
+    """estimate() of every pair at once; fields has key, r, c, v, cc, and rings hold for all pairs."""
+    small = zoom_out(fields, p.factor, ["v"], ["cc"], [key])
+    x, y = linspace(F.col("c"), -(-p.cols // p.factor)), linspace(F.col("r"), -(-p.rows // p.factor))
+    kept = small.select(
+        key, "r", "c", x.alias("x"), y.alias("y"),
+        mask_large(mask_low_cc(F.col("v"), F.col("cc"), p.cc_threshold), p.max_displacement).alias("z"),
+    ).where("z is not null").cache()
+    planes = fit_planes(kept, key, p.iterations).select(key, F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
+    surface = F.col("_a") * F.col("x") + F.col("_b") * F.col("y") + F.col("_c")
+    flat = kept.join(planes, key).select(key, "r", "c", "z", (F.col("z") - surface).alias("v")).cache()
+    stages = [kept.select(key, F.lit("input").alias("stage"), F.col("z").alias("v")), flat.select(key, F.lit("plane_corrected").alias("stage"), "v")]
+    offsets = None
+    if rings is not None:
+        half = p.factor // 2
+        zoned = zones(flat.select(key, (F.col("r") * p.factor + half).alias("r"), (F.col("c") * p.factor + half).alias("c"), "v"), rings)
+        offsets = zone_statistics(zoned, p.option, "v", p.clip, [key]).select(key, "det_id", F.col("average").alias("offset")).cache()
+        flat = zoned.join(offsets, [key, "det_id"]).select(key, (F.col("v") - F.col("offset")).alias("v"))
+        stages.append(flat.select(key, F.lit("destripe").alias("stage"), "v"))
+    log = stages[0]
+    for s in stages[1:]:
+        log = log.unionByName(s)
+    return Corrections(planes, offsets, stage_statistics(log, "v", [key, "stage"]), gaussian_clips(flat, key, "v").select(key, "sigma"))
+
+
+def apply_pairs(fields: DataFrame, key: str, found: Corrections, rings: DataFrame | None, p: CorrectionParameters, mask_cc: bool = True) -> DataFrame:
+    """apply() of every pair at once: key, r, c, v."""
+    fine = lambda n: (F.col(n) + 0.5) / p.factor - 0.5
+    x, y = linspace(fine("c"), -(-p.cols // p.factor)), linspace(fine("r"), -(-p.rows // p.factor))
+    fields = fields.join(found.planes, key, "left")
+    v = F.col("v") - (F.col("_a") * x + F.col("_b") * y + F.col("_c"))
+    if rings is not None:
+        fields = fields.join(zones(fields.select("r", "c").distinct(), rings), ["r", "c"], "left").join(found.offsets, [key, "det_id"], "left")
+        v = v - F.coalesce("offset", F.lit(0.0))
+    if mask_cc:
+        v = mask_low_cc(v, F.col("cc"), p.cc_threshold)
+    return fields.select(key, "r", "c", mask_large(v, p.max_displacement).alias("v"))
+
+
 def correct_pairs(fields: DataFrame, key: str, p: CorrectionParameters) -> DataFrame:
     """Least-squares planes of all pairs at once, taken off at full resolution: key, r, c, v.
 

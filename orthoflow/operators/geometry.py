@@ -79,14 +79,14 @@ def affine(ring: Column, m: Sequence[float]) -> Column:
     return F.transform(ring, lambda p: F.struct((a * p["x"] + b * p["y"] + c).alias("x"), (d * p["x"] + e * p["y"] + f).alias("y")))
 
 
-def zone_statistics(cells: DataFrame, option: str, value: str = "v", clip: float | None = None) -> DataFrame:
-    """Average (mean, median or mode of 3 decimals, the smallest of equals) and deviation by det_id."""
+def zone_statistics(cells: DataFrame, option: str, value: str = "v", clip: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Average (mean, median or mode of 3 decimals, the smallest of equals) and deviation by keys and det_id."""
     options = {"mean": F.avg(value), "median": F.percentile(value, F.lit(0.5)), "mode": F.mode(F.round(value, 3), True)}
     if option not in options:
         raise ValueError(f"unknown average: {option}")
     if clip is not None:
         cells = cells.where(F.abs(F.col(value)) <= clip)
-    return cells.groupBy("det_id").agg(options[option].alias("average"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    return cells.groupBy(*keys, "det_id").agg(options[option].alias("average"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
 
 
 def clip(cells: DataFrame, ring: Sequence[tuple[float, float]], value: str = "v", no_data: float = -9999) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orthoflow.llm.scratch import stored
+
 #: Quantile of a 99 % confidence interval, and the factor of the biweight's scale.
 SIGMAS, TUNE = 2.575, 6.9460
 
@@ -171,6 +173,70 @@ def fit_plane(df: DataFrame, iterations: int = 10, tol: float = 1e-5, tune: floa
     return p
 
 
+def fit_planes(df: DataFrame, key: str, iterations: int = 10, tol: float = 1e-5, tune: float = TUNE) -> DataFrame:
+    """fit_plane() of every key at once: key, a, b, c, and m, the median of absolute residuals after the last step.
+
+    A key whose median is below tol keeps its plane. Planes are null where the
+    weighted points span none. The median of a key is exact and found in one task.
+    """
+    rows = df.where(F.col("z").isNotNull()).select(key, "x", "y", "z")
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    terms = {"sxx": x * x, "sxy": x * y, "sx": x, "syy": y * y, "sy": y, "n": F.lit(1.0), "sxz": x * z, "syz": y * z, "sz": z}
+    m = [[F.col(k) for k in row] for row in (("sxx", "sxy", "sx"), ("sxy", "syy", "sy"), ("sx", "sy", "n"))]
+    v = [F.col("sxz"), F.col("syz"), F.col("sz")]
+
+    def det(q):
+        return (
+            q[0][0] * (q[1][1] * q[2][2] - q[1][2] * q[2][1])
+            - q[0][1] * (q[1][0] * q[2][2] - q[1][2] * q[2][0])
+            + q[0][2] * (q[1][0] * q[2][1] - q[1][1] * q[2][0])
+        )
+
+    def least_squares(weighted: DataFrame) -> DataFrame:
+        s = weighted.groupBy(key).agg(*[F.sum(F.col("w") * e).alias(k) for k, e in terms.items()])
+        d = det(m)
+        solved = [det([[v[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) for k in range(3)]
+        return s.select(key, *[F.when(d != 0, n / d).alias(k) for k, n in zip("abc", solved)])
+
+    residual = F.abs(F.col("a") * x + F.col("b") * y + F.col("c") - z)
+
+    def with_median(planes: DataFrame) -> DataFrame:
+        middle = rows.join(planes, key).groupBy(key).agg(F.percentile(residual, F.lit(0.5)).alias("m"))
+        # a row for each key, without lineage, which would grow by a power with the steps
+        return stored(planes.join(middle, key), "planes")
+
+    planes = with_median(stored(least_squares(rows.withColumn("w", F.lit(1.0))), "fitted"))
+    for _ in range(iterations):
+        u = residual / (F.lit(tune) * F.col("m"))
+        w = F.when((u > 1) | (u == 0), 0.0).otherwise((1 - u * u) * (1 - u * u))
+        fitted = stored(least_squares(rows.join(planes.where(F.col("m") >= tol), key).withColumn("w", w)), "fitted")
+        planes = stored(planes.where(F.col("m").isNull() | (F.col("m") < tol)).unionByName(with_median(fitted)), "planes")
+    return planes
+
+
+def gaussian_clips(df: DataFrame, key: str, value: str, rounds: int = 100, change: float = 0.005, sigmas: float = SIGMAS) -> DataFrame:
+    """gaussian_clip() of every key at once: key, mu, sigma, n; keys stop one by one."""
+    v = F.col(value).cast("double")
+    rows = df.select(key, v.alias("_v")).where("_v is not null")
+    fit = [F.avg("_v").alias("mu"), F.stddev_pop("_v").alias("sigma"), F.count("_v").alias("n")]
+    inf = float("inf")
+    state = stored(rows.groupBy(key).agg(*fit).withColumns({"low": F.lit(-inf), "high": F.lit(inf), "open": F.lit(True)}), "clips")
+    for _ in range(rounds):
+        if state.where("open").isEmpty():
+            break
+        low = F.greatest("low", F.col("mu") - sigmas * F.col("sigma"))
+        high = F.least("high", F.col("mu") + sigmas * F.col("sigma"))
+        bounds = state.where("open").select(key, low.alias("low"), high.alias("high"), F.col("mu").alias("mu0"), F.col("sigma").alias("s0"))
+        new = rows.join(bounds, key).where("_v > low and _v < high").groupBy(key).agg(*fit)
+        some = F.col("n").isNotNull()
+        new = bounds.join(new, key, "left").select(
+            key, F.coalesce("mu", "mu0").alias("mu"), F.coalesce("sigma", "s0").alias("sigma"), F.coalesce("n", F.lit(0)).alias("n"),
+            "low", "high", (some & (F.col("s0") - F.col("sigma") >= change)).alias("open"),
+        )
+        state = stored(state.where("not open").unionByName(new), "clips")
+    return state.select(key, "mu", "sigma", "n")
+
+
 def tile_planes(df: DataFrame, key: str) -> DataFrame:
     """Least-squares plane of every tile at once, in closed form: key, a, b, c.
 

@@ -95,3 +95,9 @@ SELECT k, r, c, round(ew - (p0 * ({FINE.format('c')}) + p1 * ({FINE.format('r')}
 def correct_all(spark, sf_dir):
     fields = grid(spark, sf_dir).select("k", "r", "c", F.col("ew").cast("double").alias("v"), "cc")
     return rounded(C.correct_pairs(fields, "k", P), "v")
+
+
+@query()
+def correct_all_steps(spark, sf_dir):
+    fields = grid(spark, sf_dir).select("k", "r", "c", F.col("ew").cast("double").alias("v"), "cc")
+    return rounded(C.apply_pairs(fields, "k", C.estimate_pairs(fields, "k", rings(spark), P), rings(spark), P), "v")

@@ -343,6 +343,25 @@ def test_correction_takes_off_plane_and_detectors(spark):
     assert np.allclose(image(all_pairs, a.shape), 0, atol=1e-6)
 
 
+def test_all_pairs_are_corrected_like_one(spark):
+    from orthoflow.plans import QUERIES, correction as plans
+    from orthoflow.plans.fixtures import grid, rings
+
+    sf = "/root/testdata/sf0.001"
+    key = lambda rows: {(r["r"], r["c"]): r["v"] for r in rows}
+    one = key(QUERIES["correction_pipeline"](spark, sf).collect())
+    many = key(QUERIES["correct_all_steps"](spark, sf).where("k = 1").collect())
+    assert one.keys() == many.keys()
+    for at, v in one.items():
+        assert v == many[at] or abs(v - many[at]) < 1e-5
+    fields = grid(spark, sf).where("k < 3").select("k", "r", "c", F.col("ew").cast("double").alias("v"), "cc")
+    found = correction.estimate_pairs(fields, "k", rings(spark), plans.P)
+    want = correction.estimate(plans.field(spark, sf), rings(spark), plans.P)
+    assert abs(found.sigmas.where("k = 1").first()["sigma"] - want.sigma) < 1e-6
+    logs = [{r["stage"]: (r["n"], round(r["rmse"], 5)) for r in df.collect()} for df in (found.log.where("k = 1"), want.log)]
+    assert logs[0] == logs[1]
+
+
 def test_scene_metadata(spark):
     lines = ['    DATE_ACQUIRED = 2018-03-04', '    SCENE_CENTER_TIME = "10:20:30Z"', '    FILE_NAME_BAND_QUALITY = "X_BQA.TIF"'] + [f'    FILE_NAME_BAND_{b} = "X_B{b}.TIF"' for b in range(1, 10)]
     row = scenes.landsat_scenes(spark.createDataFrame([("p", x) for x in lines], "path string, value string")).first()
