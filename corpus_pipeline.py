@@ -15,7 +15,7 @@ from orthoflow.llm.decontamination import drop_contaminated
 from orthoflow.llm.exact_dedup import drop_duplicates
 from orthoflow.llm.packing import pack
 from orthoflow.llm.queries import table, word_tokenizer
-from orthoflow.llm.scratch import stored
+from orthoflow.llm.scratch import marked, release, stored
 from orthoflow.llm.simhash import drop_near_duplicates
 
 #: No SQL: the language profiles, the fingerprints and the tokenizer have no SQL form.
@@ -23,7 +23,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language that was learned go; the others get theirs where none is given."""
     return langid.drop_unidentified(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
@@ -57,8 +57,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each of them keeps is written before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each of them keeps is written before the next one reads it.
+
+    As soon as a stage's rows are written, the tables that led to them, those of
+    the stage before included, are deleted from the shared folder.
+    """
+    docs, since = table(spark, sf_dir, "documents"), marked()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, since, kept=1)
     return STAGES[-1][1](spark, docs, sf_dir)

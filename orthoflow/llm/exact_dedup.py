@@ -3,11 +3,15 @@
 Copies are merged three times, and each time rows are one group only if digest
 and full content are equal: within each task (the map side of the first
 aggregate), within each salt, and over the winners of all salts. A hot text thus
-reaches its last task as at most one row for each salt.
+reaches its last task as at most one row for each salt. Rows find their group by
+its digest where that stands for one content, and by the content itself where
+several contents share a digest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +25,21 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " ")
 
 
-def content_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
-    """One row for each distinct normalised text: text_sha256, keep_id, group_size.
+def sha256(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
+def content_groups(docs: DataFrame, salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row for each digest of a normalised text: text_sha256, keep_id, group_size, contents.
 
-    The smallest doc_id wins; null ids lose to all others. Two contents with one
-    digest end the job with an error instead of being merged.
+    The smallest doc_id wins; null ids lose to all others. contents is the number
+    of texts with that digest; where it is not 1, keep_id and group_size are of
+    all of them together.
     """
     rows = docs.select("doc_id", normalised(F.col("text")).alias("content")).select(
         "doc_id",
         "content",
-        F.sha2("content", 256).alias("text_sha256"),
+        digest(F.col("content")).alias("text_sha256"),
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
     )
     by_salt = rows.groupBy("salt", "text_sha256", "content").agg(
@@ -39,32 +48,32 @@ def content_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
     winners = by_salt.groupBy("text_sha256", "content").agg(
         F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")
     )
-    return (
-        winners.groupBy("text_sha256")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents"))
-        .select(
-            "text_sha256",
-            "keep_id",
-            F.when(F.col("contents") == 1, F.col("group_size"))
-            .otherwise(F.raise_error(F.lit("two contents share a SHA-256 digest")).cast("long"))
-            .alias("group_size"),
-        )
+    return winners.groupBy("text_sha256").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents")
     )
 
 
-def exact_duplicates(docs: DataFrame, salts: int = 64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, copy.
 
-    Null texts are empty texts. Of rows that share id and text one is kept; copy
-    numbers them from 1. A
-    group in which every id is null has a null keep_id and one kept row. An
-    empty table gives an empty result; further columns of docs are ignored.
+    Null texts are empty texts, and very long ones are compared whole. Of rows
+    that share id and text one is kept; copy numbers them from 1. A group in which
+    every id is null has a null keep_id and one kept row. Contents that share a
+    digest stay apart. An empty table gives an empty result; further columns of
+    docs are ignored.
     """
-    groups = stored(content_groups(docs, salts), "content-groups")
-    rows = stored(docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")), "digests")
-    joined = attach(rows, groups, "text_sha256", "group_size")
+    groups = stored(content_groups(docs, salts, digest), "content-groups")
+    content = normalised(F.col("text"))
+    rows = stored(docs.select("doc_id", digest(content).alias("text_sha256")), "digests")
+    joined = attach(rows, groups, "text_sha256", "group_size").withColumn("apart", F.lit(None).cast("string"))
+    shared = groups.where("contents > 1").select("text_sha256")
+    if not shared.isEmpty():
+        own = docs.select("doc_id", digest(content).alias("text_sha256"), content.alias("apart")).join(shared, "text_sha256")
+        own = stored(own, "shared-digests")
+        by_content = own.groupBy("text_sha256", "apart").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        joined = joined.where("contents = 1").drop("contents").unionByName(own.join(by_content, ["text_sha256", "apart"]))
     # rows with one id and one text: the first of them alone is kept
-    copy = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
+    copy = F.row_number().over(Window.partitionBy("text_sha256", "apart", "doc_id").orderBy("keep_id"))
     return joined.withColumn("copy", copy).select(
         "doc_id",
         "keep_id",

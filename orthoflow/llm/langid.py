@@ -24,6 +24,9 @@ SEED = 20_011
 #: So many documents are read to learn at most.
 MAX_TRAIN_ROWS = 20_000
 UNKNOWN = "und"
+#: The standard deviation of the cosine of two random vectors. A text whose cosines with all prototypes are below it has no
+#: language that was learned; short texts of a learned one have little more, so a higher limit would reject them.
+LEAST = DIMENSION**-0.5
 
 
 class Profiles:
@@ -93,7 +96,7 @@ def fit(labelled: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, dimension: in
     """Language prototypes from labelled rows (doc_id, text, lang).
 
     Reads all rows if there are at most max_train_rows, else about so many,
-    chosen by a hash of doc_id. Sums are made by task, then in a few tasks.
+    chosen by a hash of doc_id and text. Sums are made by task, then in a few tasks.
     """
     labelled = labelled.where("lang is not null")
     share = train_fraction(labelled.count(), max_train_rows)
@@ -120,7 +123,7 @@ def fit(labelled: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, dimension: in
         vectors = pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float32()))
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), vectors], ["lang", "v"])
 
-    sample = labelled.where(hashed_below(F.coalesce("doc_id", F.lit(0)), share)) if share < 1 else labelled
+    sample = labelled.where(hashed_below(share, "doc_id", "text"))
     sums = sample.select("text", "lang").mapInArrow(learn, schema).repartition(4, "lang").mapInArrow(add, schema)
     total: dict[str, np.ndarray] = {}
     for lang, v in sorted(sums.collect()):  # a row for each language
@@ -134,7 +137,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int =
     score is the cosine with the nearest prototype, cut to 0..1. Null texts,
     texts without a letter, and all texts if nothing was learned, are `und` with
     score 0. Ties go to the first language in sort order. Only doc_id and text
-    are read.
+    are read, texts as a whole. Repeated rows each get a row, and an empty table
+    gives an empty result.
     """
     langs = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in langs]) if langs else np.zeros((0, dimension), np.float32)
@@ -170,23 +174,29 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(labelled)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language.
+def drop_unidentified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language; it fills `lang` where that is null.
 
     A document goes if it would be `und` (null, or without a letter), or if its
-    cosine with every prototype is below `least`. Rows are filtered where they
-    are; nothing is shuffled.
+    cosine with every prototype is below `least`, so that its nearest language
+    says nothing. Given languages stay. With nothing learned every text with a
+    letter stays as it is. Repeated rows stay or go together; an empty table gives
+    an empty result. Rows are filtered where they are; nothing is shuffled.
     """
-    matrix = np.stack([prototypes[x] for x in sorted(prototypes)]) if prototypes else None
-    at = docs.columns.index("text")
+    langs = sorted(prototypes)
+    matrix = np.stack([prototypes[x] for x in langs]) if langs else None
+    at, named = docs.columns.index("text"), docs.columns.index("lang")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(len(matrix[0]) if matrix is not None else DIMENSION)
         for batch in batches:
-            mask = []
-            for (text,) in _rows_of(batch.select([at])):
+            mask, found = [], []
+            for text, lang in _rows_of(batch.select([at, named])):
                 v = profiles.bundle(text)
-                mask.append(v is not None and (matrix is None or float((matrix @ v).max()) >= least))
-            yield batch.filter(pa.array(mask, pa.bool_()))
+                cosines = None if v is None or matrix is None else matrix @ v
+                mask.append(v is not None and (cosines is None or float(cosines.max()) >= least))
+                found.append(lang if lang is not None or cosines is None else langs[int(cosines.argmax())])
+            columns = [pa.array(found, pa.string()) if k == named else x for k, x in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -2,8 +2,8 @@
 
 Each task packs its own documents in one pass. A fixed number of bins is open;
 a bitset keyed by free space finds the open bin that a piece fits best with two
-integer operations. When a new bin is needed and none may be opened, the fullest
-one closes. Pieces arrive in batches of LOOKAHEAD documents, the longest first, so
+integer operations. When a new bin must be opened and none may, the fullest one
+closes. Pieces arrive in batches of LOOKAHEAD documents, the longest first, so
 that short ones fill what long ones leave. Memory is bounded by one batch, the
 open bins and the word cache.
 """
@@ -101,7 +101,7 @@ class Bins:
             free = length + (fits & -fits).bit_length() - 1
             bin_ = self._take(free)
         else:
-            if self.open == self.limit:
+            if self.open == self.limit and length < self.capacity:  # a full piece needs no place among the open bins
                 self._take((self.bits & -self.bits).bit_length() - 1)
             bin_, free = self.next, self.capacity
             self.next += 1
@@ -128,7 +128,8 @@ def pack(
     Only documents longer than the capacity are cut, and their full pieces are
     sequences of their own. Sequences are numbered by task, so rows of a table
     that is read again the same way get the same numbers. Repeated rows are
-    packed each; further columns are ignored.
+    packed each; further columns are ignored. Very long texts are read whole and
+    held one at a time; an empty table gives an empty result.
     """
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
 

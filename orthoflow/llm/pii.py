@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import attach, stored
+from orthoflow.llm.scratch import attach, fresh, stored
 from orthoflow.llm.textspans import count_kind, joined, nothing, overlaps, spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -111,8 +111,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     whole = F.filter(spans(F.col("t"), CANDIDATE, "", 9, F.lit(True)), lambda s: ~overlaps(s, F.col("spaced")))
     one = found.select("doc_id", "text_hash", F.explode(F.concat("base", "spaced", whole)).alias("c"))
     label = F.when(F.col("c.kind") != "", F.col("c.kind"))
-    left = F.lower(F.regexp_extract("c.left", r"(\S{1,40})[^\S\n]*$", 1))
-    right = F.lower(F.regexp_extract("c.right", r"^[^\S\n]*(\S{1,40})", 1))
+    left = F.lower(F.regexp_extract("c.left", r"(?<!\S)(\S++)[^\S\n]*+$", 1))
+    right = F.lower(F.regexp_extract("c.right", r"^[^\S\n]*+(\S++)", 1))
     word = lambda x: F.when((x != "") & ~F.contains(x, F.lit(FILLER)), x)
     rows = one.select("doc_id", "text_hash", "c", label.alias("label"), word(left).alias("l"), word(right).alias("r"))
     patterns = F.array(
@@ -202,20 +202,26 @@ def discovered(docs: DataFrame, extract: float = EXTRACT) -> DataFrame:
     return best.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("extra"))
 
 
+def _with_spans(docs: DataFrame, found: str, base: str) -> DataFrame:
+    """docs with the columns found (all spans) and base (those of base patterns), each row by its own id and text."""
+    extra_id, extra_hash, extra = (fresh(docs, x) for x in ("_extra_id", "_extra_hash", "_extra"))
+    more = discovered(docs).toDF(extra_id, extra_hash, extra)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = docs["doc_id"].eqNullSafe(more[extra_id]) & (F.xxhash64(docs["text"]) == more[extra_hash])
+    rows = docs.withColumn(base, base_spans(text)).join(more, same, "left")
+    new = F.filter(F.coalesce(extra, nothing()), lambda s: ~overlaps(s, F.col(base)))
+    return rows.withColumn(found, F.array_sort(F.concat(base, new))).drop(extra_id, extra_hash, extra)
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, found (all spans), base (those of base patterns).
 
     Spans hold start, end, kind and value, by start, then kind as listed. Null
     texts are empty. Discovered spans never overlap base ones. Rows that repeat
-    id and text get equal results; further columns are ignored.
+    id and text get equal results; further columns are ignored. An empty table
+    gives an empty result; texts are read whole, however long.
     """
-    extra = discovered(docs)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), base_spans(text).alias("base"))
-    extra = extra.select(F.col("doc_id").alias("extra_id"), F.col("text_hash").alias("extra_hash"), "extra")
-    same = rows["doc_id"].eqNullSafe(extra["extra_id"]) & (rows["text_hash"] == extra["extra_hash"])
-    new = F.filter(F.coalesce("extra", nothing()), lambda s: ~overlaps(s, F.col("base")))
-    return rows.join(extra, same, "left").select("doc_id", F.array_sort(F.concat("base", new)).alias("found"), "base")
+    return _with_spans(docs.select("doc_id", "text"), "found", "base").select("doc_id", "found", "base")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -227,19 +233,22 @@ def report(rows: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     """docs with a column `redacted`: each span's text replaced by its kind's mark.
 
-    Texts that repeat id and text are redacted alike; of overlapping spans the
-    first one is replaced and the rest skipped.
+    Each row is redacted by its own spans, also if its id is null or stands for
+    several texts. Of overlapping spans the first one is replaced and of the rest
+    what lies behind it. Null texts are empty; a column `redacted` of docs is
+    replaced.
     """
-    found = personal_data(docs).select(F.col("doc_id").alias("_id"), F.col("found").alias("_found")).dropDuplicates(["_id"])
+    found, base = fresh(docs, "_found"), fresh(docs, "_base")
+    rows = _with_spans(docs.drop("redacted"), found, base)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     before, after = mark.split("{kind}")
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(before), s["kind"], F.lit(after))
-        return F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out"))
-        )
+        more = F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out"))
+        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], inside).otherwise(more)
 
-    done = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     rest = F.substring(text, done["at"] + 1, F.length(text))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("redacted", F.concat(done["out"], rest)).drop("_id", "_found")
+    return rows.withColumn("redacted", F.concat(done["out"], rest)).drop(found, base)

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.langid import _rows_of, held_out
-from orthoflow.llm.scratch import hashed_below, train_fraction
+from orthoflow.llm.scratch import labelled_sample
 
-#: So many labelled rows are read to learn at most, and the words of each that are hashed in training, spread evenly.
-MAX_TRAIN_ROWS, TRAIN_WORDS = 10_000, 1_500
+#: So many labelled rows are read to learn at most.
+MAX_TRAIN_ROWS = 10_000
 #: Buckets of words, bins of each statistic, buckets of metadata, and the length of the vectors.
 WORDS, BINS, META, RANK = 1 << 15, 16, 1 << 10, 8
 STATISTICS = (
@@ -72,15 +72,12 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[int]:
     ]
 
 
-def features(text: str | None, meta: Sequence = (), most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, meta: Sequence = ()) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a text's features; words share one unit of length, statistics and metadata another."""
     text = text or ""
     words = text.lower().split()
     counts = Counter(words)
     bins = statistics(text, words, counts)
-    if most and len(counts) > most:
-        kept = list(counts)[:: -(-len(counts) // most)]
-        counts = Counter({w: counts[w] for w in kept})
     hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in counts), np.int64, len(counts))
     value = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
     if len(value):
@@ -139,21 +136,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", meta: Seque
     """Learns from the labelled rows that are not held out; None if there are none.
 
     Reads all of them if they are at most max_train_rows, else about so many,
-    chosen by a hash of doc_id. Features are made where the rows are, and one
-    task with bounded rows learns.
+    chosen by hashes; rows that repeat id, text and metadata count once. Features are made of whole texts where the rows are, and one task
+    with a bounded number of rows learns.
     """
     own = labels.where(~held_out(5, 0) & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
-    share = train_fraction(own.count(), max_train_rows)
     own = own.select("doc_id", F.col(target).cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    docs = docs.where(~held_out(5, 0))
-    if share < 1:
-        own, docs = own.where(hashed_below(F.col("doc_id"), share)), docs.where(hashed_below(F.col("doc_id"), share))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *meta).join(own, "doc_id")
+    docs = docs.where(~held_out(5, 0) & F.col("doc_id").isNotNull())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta)
+    sample = labelled_sample(docs, own, max_train_rows)
     schema = "doc_id long, label int, at array<int>, x array<float>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, label, *features(t, m, TRAIN_WORDS)) for i, t, *m, label in _rows_of(batch)]
+            rows = [(i, label, *features(t, m)) for i, t, *m, label in _rows_of(batch)]
             if rows:
                 columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
                 columns += [pa.array([r[2].astype(np.int32) for r in rows]), pa.array([r[3] for r in rows])]
@@ -183,7 +178,8 @@ def quality(docs: DataFrame, m: Machine | None, meta: Sequence[str] = (), thresh
 
     Null texts are empty texts; null metadata is a value of its own. Without a
     machine every score is 0.5. Repeated rows each get a row, and columns other
-    than doc_id, text and meta are not read.
+    than doc_id, text and meta are not read. Texts are read whole, and an empty
+    table gives an empty result.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

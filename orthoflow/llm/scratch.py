@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
@@ -21,9 +21,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets a local one where none is set."""
+    """The shared folder of the session; a local session without one gets a local one, a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="orthoflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,11 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes what stored() has written in this process; call it when results are safe."""
+def marked() -> int:
+    """How many tables stored() has written in this process and not released."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, kept: int = 0) -> int:
+    """Deletes what stored() has written in this process after the first `since` tables, but for the last `kept` ones.
+
+    Call it when results are safe: what still reads these tables fails then.
+    """
+    paths = _made[since : len(_made) - kept]
+    _made[since : len(_made) - kept] = []
     n = 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
@@ -74,6 +86,20 @@ def train_fraction(n: int, bound: int) -> float:
     return 1.0 if n <= bound else bound / n
 
 
-def hashed_below(col: F.Column, fraction: float) -> F.Column:
-    """True for that fraction of the values of col, always the same ones."""
-    return F.pmod(F.xxhash64(col, F.lit("sample")), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
+def hashed_below(fraction: float, *columns: Column | str) -> Column:
+    """True for that fraction of the values of columns, always the same ones; any fraction above 2**-64 selects some."""
+    below = round(fraction * 2**64) - 2**63  # of the signed 64-bit hashes
+    return F.lit(True) if below >= 2**63 else F.xxhash64(*columns, F.lit("sample")) < F.lit(below)
+
+
+def labelled_sample(docs: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """Stored rows of docs with their labels from own (a row for each doc_id): about `most` at most.
+
+    Ids are chosen by their hash on both sides, so that the broadcast side has
+    about `most` rows whatever the tables; rows that repeat each other count once,
+    and if ids stand for many texts, rows are thinned by a hash of both.
+    """
+    share = train_fraction(own.count(), most)
+    few = F.broadcast(own.where(hashed_below(share, "doc_id")))
+    found = stored(docs.where(hashed_below(share, "doc_id")).join(few, "doc_id").dropDuplicates(), "labelled")
+    return found.where(hashed_below(train_fraction(found.count(), most + most // 4), "doc_id", "text"))

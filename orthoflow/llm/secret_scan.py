@@ -2,8 +2,9 @@
 
 Two first-order Markov chains over characters are trained from labelled samples:
 the random strings that base patterns mark as secrets, and the ordinary long
-identifiers of the corpus. A long token whose log-likelihood ratio per character
-favours the random model is a secret as well.
+tokens of the corpus. A long token is a secret as well if the log-likelihood
+ratio of the two chains over the whole token outweighs the odds against it, so
+that short tokens must look more random than long ones.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 VALUE = r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-#: Tokens that the models judge: so long, and with a digit and a letter among their characters.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: Tokens that the ordinary model learns from.
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"
+#: Tokens that the models learn from and judge; numbers alone are not judged.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"
+NUMBER = r"^[0-9+/_=-]*$"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: So many documents are read to train at most, and the log-likelihood ratio per character that marks a secret.
-MAX_TRAIN_ROWS, RATIO = 20_000, 0.7
+#: The ordinary chain learns from so many documents at most; of so many ordinary tokens one is a secret.
+MAX_TRAIN_ROWS, ODDS = 20_000, 1_000_000
+#: So many pairs of each first character are taken from the chances of all characters.
+BORROWED = 10
 
 
 def base_spans(text: Column) -> Column:
@@ -47,71 +49,77 @@ def _pairs(value: Column) -> Column:
     return F.when(F.length(value) >= 2, F.transform(ends, lambda i: F.substring(value, i, F.lit(2))))
 
 
+def _counts(words: Column, rows: DataFrame) -> dict[str, int]:
+    """How often each pair of ALPHABET stands in the words of rows; at most one entry for each pair."""
+    pairs = rows.select(F.explode(words).alias("w")).select(F.explode(_pairs(F.col("w"))).alias("pair"))
+    return dict(map(tuple, pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()))
+
+
+def _values(base: Column) -> Column:
+    """What is secret in base spans: the value of an assignment, else the whole."""
+    return F.transform(base, lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["value"], VALUE, 1)).otherwise(s["value"]))
+
+
 def fit(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> list[float]:
     """Log-likelihood ratios of random against ordinary, for each pair of ALPHABET.
 
-    Trained on all rows if there are at most max_train_rows, else on about so
-    many, chosen by a hash of doc_id. Counts are smoothed by one for each pair.
+    The random chain learns from the base secrets of all rows, however rare they
+    are; the ordinary one from all rows if there are at most max_train_rows, else
+    from about so many, chosen by a hash of doc_id and text. Without documents
+    all ratios are 0.
     """
-    share = train_fraction(docs.count(), max_train_rows)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sample = docs.where(hashed_below(F.coalesce("doc_id", F.lit(0)), share)) if share < 1 else docs
-    sample = sample.select(text.alias("t"))
-    sample = sample.select("t", base_spans(F.col("t")).alias("base"))
-    secret = F.transform(
-        F.col("base"),
-        lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["value"], VALUE, 1)).otherwise(s["value"]),
-    )
-    plain = F.array_except(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0)), secret)
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    random = _counts(_values(base_spans(F.col("t"))), rows)
+    sample = rows.where(hashed_below(train_fraction(docs.count(), max_train_rows), "doc_id", "text"))
+    sample = sample.select("t", _values(base_spans(F.col("t"))).alias("secret"))
     # a token that holds a secret is none of the ordinary ones
-    plain = F.filter(plain, lambda w: ~F.exists(secret, lambda s: F.contains(w, s) | F.contains(s, w)))
-    words = sample.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), secret.alias("w")), F.struct(F.lit(0).alias("random"), plain.alias("w")))).alias("x"))
-    counts = (
-        words.select("x.random", F.explode("x.w").alias("w"))
-        .select("random", F.explode(_pairs(F.col("w"))).alias("pair"))
-        .groupBy("random", "pair")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$"))
-    )
-    seen: dict[tuple[int, str], int] = {(r, p): n for r, p, n in counts.collect()}  # at most two for each pair of ALPHABET
-    table: list[float] = []
+    alien = lambda w: F.exists("secret", lambda s: F.contains(w, s) | F.contains(s, w))
+    ordinary = _counts(F.filter(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), lambda w: ~alien(w)), sample)
+    logs = [_chain(random), _chain(ordinary)]
+    return [x - y for x, y in zip(*logs)]
+
+
+def _chain(seen: dict[str, int]) -> list[float]:
+    """Log chances of each pair of ALPHABET after its first character; rare first characters borrow the chances of all."""
+    letters = {b: sum(seen.get(a + b, 0) for a in ALPHABET) + 1 for b in ALPHABET}
+    total, table = sum(letters.values()), []
     for a in ALPHABET:
-        total = [sum(seen.get((r, a + b), 0) for b in ALPHABET) + len(ALPHABET) for r in (0, 1)]
-        table += [
-            math.log((seen.get((1, a + b), 0) + 1) / total[1]) - math.log((seen.get((0, a + b), 0) + 1) / total[0]) for b in ALPHABET
-        ]
+        n = sum(seen.get(a + b, 0) for b in ALPHABET)
+        table += [math.log((seen.get(a + b, 0) + BORROWED * letters[b] / total) / (n + BORROWED)) for b in ALPHABET]
     return table
 
 
 def ratio(value: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio per pair of a text over ALPHABET; null if it has no pair."""
+    """The log-likelihood ratio of a text over ALPHABET, the sum over its pairs; 0 if it has no pair."""
     held = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<float>")
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
     n = F.length(value) - 1
     total = F.aggregate(
         F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.get(held, (place(i) - 1) * len(ALPHABET) + place(i + 1) - 1)
     )
-    return F.when(n >= 1, total / n)
+    return F.when(n >= 1, total).otherwise(0.0)
 
 
-def secrets(docs: DataFrame, table: list[float], least: float = RATIO) -> DataFrame:
+def secrets(docs: DataFrame, table: list[float], odds: float = ODDS) -> DataFrame:
     """One row per document: doc_id, found (all spans), base (those of base patterns).
 
     Spans that only the Markov models find have the kind `random`; they never
     overlap base ones. Null texts are empty. Repeated rows each get a row, and
-    further columns are ignored.
+    further columns are ignored. An empty table gives an empty result; texts are
+    read whole, however long.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("t")).select(
-        "doc_id", base_spans(F.col("t")).alias("base"), spans(F.col("t"), TOKEN, "random", 3, F.lit(True)).alias("tokens")
-    )
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    new = F.filter("tokens", lambda s: mixed(s) & ~overlaps(s, F.col("base")) & (ratio(s["value"], table) >= least))
+    suspect = lambda w: ~w.rlike(NUMBER) & (ratio(w, table) >= math.log(odds))
+    tokens = F.array_distinct(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)))
+    rows = docs.select("doc_id", text.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base"), F.filter(tokens, suspect).alias("suspects"))
+    # places are looked up only in texts that have a suspect
+    placed = spans(F.col("t"), TOKEN, "random", 3, F.size("suspects") > 0)
+    new = F.filter(placed, lambda s: F.array_contains("suspects", s["value"]) & ~overlaps(s, F.col("base")))
     return rows.select("doc_id", F.array_sort(F.concat("base", new)).alias("found"), "base")
 
 
 def scan(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Trains on docs and scans them, see secrets()."""
+    """Trains on docs and scans them, see fit() and secrets()."""
     return secrets(docs, fit(docs, max_train_rows))
 
 

@@ -2,9 +2,10 @@
 
 Pass one scatters the records uniformly into memory-sized buckets by a seeded
 hash. Pass two puts each bucket into a fixed order, applies a seeded
-Fisher-Yates shuffle to it and writes it. The buckets one behind the other are
-one random permutation of all records, and its places are dealt to the shards in
-turn, so that counts differ by one at most (the law `rows`).
+Fisher-Yates shuffle to it and writes it; one task takes several buckets in turn.
+The buckets one behind the other are one random permutation of all records, and
+its places are dealt to the shards in turn, so that counts differ by one at most
+(the law `rows`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.scratch import stored
@@ -21,6 +22,10 @@ from orthoflow.llm.scratch import stored
 SEED = 7
 #: Bytes of text that a bucket holds on average; pass two holds one bucket in memory.
 BUCKET_BYTES = 16 << 20
+#: Tasks of pass two at most. Where there are more buckets, each task takes several, one after the other.
+TASKS = 20_000
+#: Rows that share id and text are scattered one by one if there are more than so many of them.
+COPIES = 100
 RECORD_BYTES = 8
 
 
@@ -46,32 +51,75 @@ def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(1, -(-total // bucket_bytes))
 
 
-def shuffled(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bucket_of(buckets: int, seed: int, *key: Column | str) -> Column:
+    """The bucket of a key, by a seeded hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int")
+
+
+def scattered(docs: DataFrame, buckets: int, seed: int = SEED, copies: int = COPIES) -> DataFrame:
+    """Pass one: doc_id, text, bucket of each row of docs.
+
+    The bucket comes from id and text, so it does not depend on how the table is
+    stored. Rows that share both are the same record; where there are more than
+    `copies` of them, each takes the bucket of its number among them, and the
+    rows are made anew from one of them and their number.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    many = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > copies)
+    many = stored(many.select(F.col("doc_id").alias("many_id"), F.col("h").alias("many_h")), "repeated-rows")
+    bucket = bucket_of(buckets, seed, "doc_id", "h").alias("bucket")
+    if many.isEmpty():
+        return rows.select("doc_id", "text", bucket)
+    same = rows["doc_id"].eqNullSafe(many["many_id"]) & (rows["h"] == many["many_h"])
+    few = rows.join(many, same, "left_anti").select("doc_id", "text", bucket)
+    # counted before the shuffle, so each repeated row is sent once by each task
+    counted = rows.join(many, same, "left_semi").groupBy("doc_id", "h", "text").agg(F.count(F.lit(1)).alias("n"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000)))
+    parts = stored(counted, "repeated-texts").withColumn("part", part).repartition("doc_id", "h", "part")
+    number = F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.col("n") - 1)))
+    each = parts.withColumn("number", number).select("doc_id", "text", bucket_of(buckets, seed, "doc_id", "h", "number").alias("bucket"))
+    return few.unionByName(each)
+
+
+def shuffled(
+    docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, tasks: int = TASKS, copies: int = COPIES
+) -> DataFrame:
     """Each row of docs (doc_id, text) with its shard, its slot there, and its bucket.
 
-    Slots of a shard run from 0 without gaps. Repeated rows are interchangeable,
-    so ties leave the result defined. Null ids are scattered by their text.
-    Further columns of docs are not carried.
+    Slots of a shard run from 0 without gaps. Repeated rows are interchangeable
+    and spread like others, see scattered(), so ties leave the result defined;
+    the same rows give the same result however they are stored. Null ids are
+    scattered by their text. A very long text is in one bucket, which then exceeds
+    its bytes by that text. An empty table gives an empty result; further columns
+    of docs are not carried.
     """
     buckets = bucket_count(docs, bucket_bytes)
-    scattered = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(buckets))
-        .cast("int")
-        .alias("bucket"),
-    )
-    # a row for each bucket; the first place of each is the count of all before it
-    counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    first = stored(counts.select("bucket", F.coalesce(before, F.lit(0)).alias("first")), "bucket-places")
+    each = -(-buckets // tasks)
+    rows = scattered(docs, buckets, seed, copies).withColumn("task", F.floor(F.col("bucket") / each).cast("int"))
+    # one row for each task, at most `tasks`: the first place of each is the count of all before it
+    counts = dict(map(tuple, rows.groupBy("task").agg(F.count(F.lit(1))).collect()))
+    starts, total = {}, 0
+    for task in sorted(counts):
+        starts[task] = total
+        total += counts[task]
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = None
+
         def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            order = fisher_yates(rows.num_rows, seed * 1_000_003 + rows.column("bucket")[0].as_py())
-            rows = rows.take(pa.array(order)).append_column("place", pa.array(np.arange(len(order), dtype=np.int64)))
-            yield from rows.to_batches(max_chunksize=2048)
+            nonlocal place
+            bucket = pa.Table.from_batches(held)
+            number = bucket.column("bucket")[0].as_py()
+            if place is None:
+                place = starts[number // each]
+            order = fisher_yates(bucket.num_rows, seed * 1_000_003 + number)
+            places = place + np.arange(len(order), dtype=np.int64)
+            place += len(order)
+            # batches of bounded bytes: taken rows are copied
+            for lo in range(0, len(order), 2048):
+                part = bucket.take(pa.array(order[lo : lo + 2048])).append_column("place", pa.array(places[lo : lo + 2048]))
+                yield from part.to_batches()
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -85,12 +133,11 @@ def shuffled(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int =
         if held:
             yield from close(held)
 
-    # one bucket for each task: a hash of the bucket's number would put several into one
-    ordered = scattered.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
-    permuted = ordered.mapInArrow(permute, "doc_id long, text string, bucket int, place long")
-    few = F.broadcast(first) if buckets <= 100_000 else first
-    place = F.col("first") + F.col("place")
-    return permuted.join(few, "bucket").select(
+    # a task's buckets by its number, as a hash of it would put several tasks' into one
+    ordered = rows.repartitionById(-(-buckets // each), F.col("task")).drop("task")
+    permuted = ordered.sortWithinPartitions("bucket", "doc_id", F.xxhash64("text")).mapInArrow(permute, "doc_id long, text string, bucket int, place long")
+    place = F.col("place")
+    return permuted.select(
         "doc_id", "text", (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"), "bucket"
     )
 

@@ -1,12 +1,15 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints within three bits agree on at least one of four 16-bit blocks, so
-each distinct fingerprint goes to four buckets. A bucket is sorted by Gray rank
-and cut into runs of 16; each run becomes a node that holds the bits its members
-share, runs of 16 nodes become a node above, and so on. Pairs of nodes are
-followed downwards from the roots, and a pair is pruned as soon as the bits that
-the two nodes fix differ in over three places. A bucket returns a spanning
-forest of its links, never all pairs.
+Fingerprints within three bits agree on at least one of any four groups of bits.
+So each distinct fingerprint goes to four buckets, by half of each 16-bit block;
+a bucket with too many for one task is divided by the whole block, then by each
+quarter of the bits that are left, and so on, so that copies are made only where
+rows are counted to be many. A bucket is sorted by Gray rank and cut into runs of
+FANOUT; each run becomes a node that holds the bits its members share, runs of
+nodes become a node above, and so on. Pairs of nodes are followed downwards from
+the roots, and a pair is pruned as soon as the bits that the two nodes fix differ
+in over three places. A bucket returns a spanning forest of its links, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from orthoflow.llm.scratch import attach, fresh, stored
 BITS = 64
 BLOCKS = 4
 DISTANCE = 3
-FANOUT = 16
-#: A bucket of more fingerprints is cut into parts, and each pair of parts is one task's work.
-BUCKET_ROWS = 100_000
+FANOUT = 2
+#: A bucket of more fingerprints is divided by more bits; so many keys of such buckets are broadcast, more are shuffled.
+BUCKET_ROWS, BROADCAST_ROWS = 100_000, 100_000
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +80,12 @@ def gray_rank(codes):
     return codes
 
 
-def spanning_links(bucket, codes, distance: int = DISTANCE, fanout: int = FANOUT):
+def spanning_links(bucket, codes, distance: int = DISTANCE, fanout: int = FANOUT, seen: dict | None = None):
     """Links within buckets: arrays i, root of rows of one connected group, i != root.
 
-    bucket: int64 labels; codes: uint64, distinct within a bucket. Rows need no order.
+    bucket: int64 labels; codes: uint64, distinct within a bucket. Rows need no
+    order. seen, if given, gets the numbers of pairs of nodes and of fingerprints
+    that were looked at, and of pairs of nodes that were pruned.
     """
     import numpy as np
 
@@ -119,17 +124,23 @@ def spanning_links(bucket, codes, distance: int = DISTANCE, fanout: int = FANOUT
         differ = (ones[level][a] & ~some[level][b]) | (ones[level][b] & ~some[level][a])
         return np.bitwise_count(differ) <= distance
 
+    def count(what: str, n: int) -> None:
+        if seen is not None:
+            seen[what] = seen.get(what, 0) + int(n)
+
     top = len(starts)
     roots = np.arange(len(ones[top]))
     piece = 2_000_000 // fanout**2  # pairs of nodes that are opened at once
     work = [(top, roots, roots)]
     while work:
         level, a, b = work.pop()
+        count("fingerprints" if level == 0 else "nodes", len(a))
         if level == 0:
             near = (a < b) & close(0, a, b)
             union(a[near], b[near])
             continue
         keep = close(level, a, b)
+        count("pruned", len(keep) - keep.sum())
         a, b = a[keep], b[keep]
         if level == 1 and len(a):  # groups that are one component already need no more links
             low, high = np.minimum.reduceat(parent, starts[0]), np.maximum.reduceat(parent, starts[0])
@@ -169,31 +180,72 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*held)
 
 
+def _parts(places: list[int]) -> list[list[int]]:
+    """Four groups of bit places, as equal as can be."""
+    n, more = divmod(len(places), BLOCKS)
+    cuts = [k * n + min(k, more) for k in range(BLOCKS + 1)]
+    return [places[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _mask(places: list[int]) -> int:
+    """The bits of places as a signed long."""
+    bits = sum(1 << k for k in places)
+    return bits - (1 << BITS if bits >> (BITS - 1) else 0)
+
+
+def divisions() -> list[dict[int, list[int]]]:
+    """By level, the masks that divide a bucket of each mask of the level before; 0 stands for all codes.
+
+    Two codes within DISTANCE that share the bits of a mask share those of one of
+    its divisions: of the bits beyond, one group of four has no difference. The
+    first level takes half of each block's bits, the second one all of them.
+    """
+    blocks = _parts(list(range(BITS)))
+    out = [{0: [_mask(b[: len(b) // 2]) for b in blocks]}, {_mask(b[: len(b) // 2]): [_mask(b)] for b in blocks}]
+    held = blocks
+    while min(BITS - len(h) for h in held) > 16:  # what is left are fewer codes than a task takes
+        level, following = {}, []
+        for h in held:
+            new = [h + part for part in _parts([k for k in range(BITS) if k not in h])]
+            level.setdefault(_mask(h), []).extend(_mask(x) for x in new)
+            following += new
+        out.append({mask: sorted(set(x)) for mask, x in level.items()})
+        held = [list(x) for x in {tuple(sorted(x)) for x in following}]
+    return out
+
+
+def _divided(rows: DataFrame, level: dict[int, list[int]]) -> DataFrame:
+    """A row of fp, mask and key for each division of the mask of each row."""
+    masks = F.lit(None).cast("array<long>")
+    for mask, new in level.items():
+        masks = F.when(F.col("mask") == mask, F.array(*[F.lit(x).cast("long") for x in new])).otherwise(masks)
+    rows = rows.select("fp", F.explode(masks).alias("mask"))
+    return rows.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+
 def bucket_links(codes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links a, b that span every group of codes (distinct, column fp) within DISTANCE."""
-    width = BITS // BLOCKS
-    keys = [
-        (F.lit(k << width) + F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long")
-        for k in range(BLOCKS)
-    ]
-    keyed = codes.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    large = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows), "large-buckets")
-    if not large.isEmpty():
-        parts = F.ceil(F.col("n") / bucket_rows).cast("long")
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
-        pair = lambda other: F.least(F.col("mine"), other) * F.col("parts") + F.greatest(F.col("mine"), other)
-        split = (
-            keyed.join(large, "bucket")
-            .withColumn("parts", parts)
-            .withColumn("mine", mine)
-            .select("fp", "bucket", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), pair)).alias("pair"))
-            .select("fp", (F.col("bucket") + (F.col("pair") + 1) * F.lit(BLOCKS << width)).alias("bucket"))
-        )
-        keyed = keyed.join(large.select("bucket"), "bucket", "left_anti").select("fp", "bucket").unionByName(split)
+    """Links a, b that span every group of codes (distinct, column fp) within DISTANCE.
+
+    codes must be stored. Buckets of one key that a hash brings together are
+    compared as one, which finds no less.
+    """
+    found = None
+    keyed = codes.select("fp", F.lit(0).cast("long").alias("mask"))
+    for k, level in enumerate(divisions()):
+        keyed = _divided(keyed, level)
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+        large = stored(sizes, "large-buckets")
+        if large.isEmpty() or k == len(divisions()) - 1:
+            found = keyed if found is None else found.unionByName(keyed)
+            break
+        keys = large.select("key")
+        rest = keyed.join(F.broadcast(keys) if large.count() <= BROADCAST_ROWS else keys, "key", "left_anti")
+        found = rest if found is None else found.unionByName(rest)
+        keyed = stored(attach(keyed, large, "key", "n").select("fp", "mask"), "divided-buckets")
     return (
-        keyed.repartition("bucket")
+        found.select(F.col("key").alias("bucket"), "fp")
+        .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .select("bucket", "fp")
         .mapInArrow(_links, "a long, b long")
     )
 
@@ -201,7 +253,9 @@ def bucket_links(codes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Node and root of each node that is not its component's smallest: node, root.
 
-    Alternates large-star and small-star steps until the edges stop to change.
+    Alternates large-star and small-star steps until the edges stop to change;
+    fails if they still change after so many rounds, of which a chain of 2^n links
+    takes about n.
     """
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -251,7 +305,9 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     Documents link when their fingerprints differ in at most three bits; a
     component's id is its smallest doc_id (null only if all its ids are null).
     Null texts and texts without words have fingerprint zero and link like any
-    other. Repeated rows each get a row; further columns are ignored.
+    other. Repeated rows each get a row; further columns are ignored. Very long
+    texts are read whole, and an empty table gives an empty result. components()
+    says when it fails.
     """
     return near_components(docs, bucket_rows).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

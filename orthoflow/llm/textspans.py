@@ -2,16 +2,21 @@
 
 split() and regexp_extract_all() walk over a text in the same way, so the pieces
 between matches and the matches give every place; offsets are in code points and
-ends are exclusive. Patterns here start only where a match may start and never
-back into what they have read, so that very long runs cost linear time and no
-stack.
+ends are exclusive. Places are summed in chunks, as an array that grows by one
+element is copied each time. Patterns here start only where a match may start and
+never back into what they have read, so that very long runs cost linear time and
+no stack.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose places are summed together.
+CHUNK = 64
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:string,right:string>>"
 
 
@@ -19,29 +24,46 @@ def nothing() -> Column:
     return F.array().cast(SPAN)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once; an expression inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, pattern: str, kind: str, rank: int, when: Column) -> Column:
     """All leftmost non-overlapping matches of pattern, where `when` says there may be any.
 
     left and right are the texts up to the match before and after.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(
-        F.slice(pieces, 1, F.size(pieces) - 1).alias("left"), found.alias("value"), F.slice(pieces, 2, F.size(pieces)).alias("right")
-    )
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
+        start = acc["at"] + F.length(x["left"])
+        end = start + F.length(x["value"])
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
-            x["1"].alias("value"), x["0"].alias("left"), x["2"].alias("right"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    zipped = F.transform(pairs, lambda x: F.struct(x.getField("left").alias("0"), x.getField("value").alias("1"), x.getField("right").alias("2")))
-    start = F.struct(F.lit(0).alias("at"), nothing().alias("out"))
-    return F.when(when & F.coalesce(text.rlike(pattern), F.lit(False)), F.aggregate(zipped, start, step)["out"]).otherwise(nothing())
+            x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"),
+        )
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span).cast(SPAN)).alias("out"))
+
+    def summed(pairs: Column, at: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), nothing().alias("out")), step)
+
+    def chunked(pairs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK)), lambda i: F.slice(pairs, i, F.lit(CHUNK)))
+        return F.when(F.size(pairs) <= CHUNK, summed(pairs, F.lit(0))["out"]).otherwise(let(parts, offset))
+
+    def offset(parts: Column) -> Column:
+        length = lambda acc, x: acc + F.length(x["left"]) + F.length(x["value"])
+        sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), length))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda part, at: summed(part, at)["out"]))
+
+    def placed(pieces: Column) -> Column:
+        n = F.size(pieces)
+        left, right = F.slice(pieces, F.lit(1), n - 1), F.slice(pieces, F.lit(2), n)
+        return let(F.arrays_zip(left.alias("left"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), right.alias("right")), chunked)
+
+    any_ = when & F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.when(any_, let(F.split(text, pattern, -1), placed)).otherwise(nothing())
 
 
 def joined(found: Column) -> Column:

@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: lexicons of terms (words and word beginnings), found
-by their odds in a labelled sample, and patterns of punctuation and case. A
+by their odds in a labelled sample, and patterns of punctuation and case. Where a
+row has a label, an annotator votes as well, and the first guess follows it. A
 generative label model estimates each voter's accuracy by class and the
-correlation of voters within a class without using which rows are right, and
-gives posterior labels; a linear classifier over terms is trained on those.
+correlation of voters within a class, and gives posterior labels to labelled and
+unlabelled rows; a linear classifier over terms is trained on those.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.langid import _rows_of, held_out
-from orthoflow.llm.scratch import hashed_below, train_fraction
-
-#: So many labelled rows are read to learn at most, and so many words of each (the longest texts are thinned evenly).
-#: Unlabelled rows are a share of the first at most; the label model gives them their labels.
-MAX_TRAIN_ROWS, TRAIN_WORDS, UNLABELLED = 10_000, 3_000, 0.3
-#: Terms of the classifier (each toxic in half of its labelled rows at least, and a twentieth of clean ones), lexicon voters, terms of all lexicons, and the rows that a term needs.
-TERMS, LEXICONS, LEXICON_TERMS, SUPPORT = 4_000, 24, 400, 5
+from orthoflow.llm.scratch import hashed_below, labelled_sample, train_fraction
+
+#: So many labelled rows are read to learn at most; unlabelled rows, which the label model labels, are a share of that at most.
+MAX_TRAIN_ROWS, UNLABELLED = 10_000, 0.3
+#: Lexicon voters, and the rows that a term needs.
+LEXICONS, SUPPORT = 24, 5
+#: Terms of the classifier are toxic in half of their labelled rows at least, or so many times rarer in toxic rows than in others.
+CLEAN_ODDS = 4
 #: Share of a lexicon term's labelled rows that are toxic, at least.
 PRECISION = 0.8
 PREFIXES = range(4, 10)
@@ -46,6 +48,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def bag_of(text: str | None) -> tuple[list[str], list[int], int]:
+    """The different words of a text, their counts, and the number of all."""
+    words = words_of(text)
+    counts = Counter(words)
+    return list(counts), list(counts.values()), len(words)
+
+
 def patterns_of(text: str | None) -> list[int]:
     """Votes of the pattern voters: 1 toxic, -1 clean, 0 none."""
     text = text or ""
@@ -63,7 +72,7 @@ def patterns_of(text: str | None) -> list[int]:
 
 @dataclass
 class Model:
-    """Weights by term, the bias, and what the label model found (for inspection)."""
+    """Weights by term and the bias; of the label model, the voters' chances of a toxic vote by class (toxic, clean), and correlations."""
 
     weights: dict[str, float]
     bias: float
@@ -71,13 +80,12 @@ class Model:
     correlations: np.ndarray
 
 
-def vectors(texts: Iterator[str | None], index: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and values of the terms of each text: damped counts for its length."""
+def vectors(bags: Iterator[tuple], index: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of the terms of each bag_of() a text: damped counts for its length."""
     cache: dict[str, tuple[int, ...]] = {}
-    for text in texts:
+    for words, counts, total in bags:
         held: Counter = Counter()
-        words = words_of(text)
-        for word, n in Counter(words).items():
+        for word, n in zip(words, counts):
             found = cache.get(word)
             if found is None:
                 if len(cache) >= CACHED:
@@ -87,7 +95,7 @@ def vectors(texts: Iterator[str | None], index: dict[str, int]) -> Iterator[tupl
                 held[i] += n
         at = np.fromiter(held.keys(), np.int64, len(held))
         values = np.fromiter(held.values(), np.float64, len(held))
-        yield at, np.log1p(values) * (1 + np.log1p(1000 * values / max(len(words), 50))) / 4
+        yield at, np.log1p(values) * (1 + np.log1p(1000 * values / max(total, 50))) / 4
 
 
 def label_model(votes: np.ndarray, rounds: int = 40, lead: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,36 +130,29 @@ def label_model(votes: np.ndarray, rounds: int = 40, lead: int | None = None) ->
     return posterior, by, correlation
 
 
-def learn(texts: list[str | None], labels: list[int | None]) -> Model:
-    """Model from texts with labels 1, 0 or None; with one class only, a model without terms."""
-    given = [(t, x) for t, x in zip(texts, labels) if x is not None]
-    texts = [t for t, _ in given] + [t for t, x in zip(texts, labels) if x is None]
-    labels = [x for _, x in given] + [None] * (len(labels) - len(given))
-    y = np.asarray([x for _, x in given], float)
-    n1, n0 = y.sum(), len(y) - y.sum()
+def learn(bags: list[tuple], patterns: list[list[int]], labels: list[int | None]) -> Model:
+    """Model from bag_of() and patterns_of() texts with labels 1, 0 or None; with one class only, a model without terms."""
+    first = sorted(range(len(labels)), key=lambda i: labels[i] is None)  # labelled rows, then the others
+    bags, patterns, labels = ([x[i] for i in first] for x in (bags, patterns, labels))
+    given = sum(x is not None for x in labels)
+    y = np.asarray(labels[:given], float)
+    n1, n0 = y.sum(), given - y.sum()
     if not n1 or not n0:
         return Model({}, math.log((n1 + 0.5) / (n0 + 0.5)), {}, np.zeros((0, 0)))
     ids: dict[str, int] = {}
     rows = []
-    for text in texts:
-        words = words_of(text)
-        own = {t for w in set(words[:: max(1, -(-len(words) // TRAIN_WORDS))]) for t in terms_of(w)}
+    for words, _, _ in bags:
+        own = {t for w in words for t in terms_of(w)}
         rows.append(np.unique(np.fromiter((ids.setdefault(t, len(ids)) for t in own), np.int32, len(own))))
     inside = np.bincount(np.concatenate([r for r, label in zip(rows, labels) if label]), minlength=len(ids)).astype(float)
-    have = np.bincount(np.concatenate(rows[: len(given)]), minlength=len(ids)).astype(float)
+    have = np.bincount(np.concatenate(rows[:given]), minlength=len(ids)).astype(float)
     rest = have - inside
     odds = np.log((inside + 0.5) / (n1 + 1)) - np.log((rest + 0.5) / (n0 + 1))
-    # log-odds weighted by support, for and against
-    rank, against = odds * np.sqrt(inside), -odds * np.sqrt(np.minimum(rest, 400))
     terms = np.array(list(ids), dtype=object)
-    good = np.flatnonzero(have >= SUPPORT)
-    good = good[np.argsort(terms[good], kind="stable")]
-    top = good[np.argsort(-rank[good], kind="stable")]
-    low = good[np.argsort(-against[good], kind="stable")]
-    sure = (inside[top] >= SUPPORT) & (inside[top] >= PRECISION * have[top])
-    lexicon = top[sure][:LEXICON_TERMS]
-    likely = (inside[top] >= SUPPORT) & (inside[top] >= have[top] / 2)
-    chosen = sorted({*SEEDS, *terms[top[likely][:TERMS]], *terms[low[: TERMS // 20]]})
+    frequent = (inside >= SUPPORT) & (inside >= have / 2)
+    lexicon = np.flatnonzero(frequent & (inside >= PRECISION * have) & (odds > 0))
+    clean = (rest >= SUPPORT * n0 / n1) & (odds <= -math.log(CLEAN_ODDS))
+    chosen = sorted({*SEEDS, *terms[np.flatnonzero(frequent | clean)]})
 
     stems = {stem: k % LEXICONS for k, stem in enumerate(sorted({terms[i][:4] for i in lexicon}))}
     of = np.full(len(ids), -1)
@@ -159,17 +160,16 @@ def learn(texts: list[str | None], labels: list[int | None]) -> Model:
     names = ["seeds", *(f"lexicon{k}" for k in range(LEXICONS)), "none", "patterns0", "patterns1", "patterns2", "patterns3", "annotator"]
     seeds = [ids[t] for t in SEEDS if t in ids]
     votes = np.zeros((len(rows), len(names)), np.int8)
-    for i, (row, text, label) in enumerate(zip(rows, texts, labels)):
+    for i, (row, pattern, label) in enumerate(zip(rows, patterns, labels)):
         hits = np.zeros(LEXICONS + 1, np.int8)
         hits[0] = np.isin(seeds, row).any()
         hits[1 + np.unique(of[row][of[row] >= 0])] = 1
-        votes[i] = [*hits, 0 if hits.any() else -1, *patterns_of(text), 0 if label is None else 1 if label else -1]
+        votes[i] = [*hits, 0 if hits.any() else -1, *pattern, 0 if label is None else 1 if label else -1]
     posterior, by, correlation = label_model(votes, lead=len(names) - 1)
     accuracies = {name: (float(by[1][j][2]), float(by[0][j][2])) for j, name in enumerate(names)}
 
     index = {t: k for k, t in enumerate(chosen)}
-    x = list(vectors(texts, index))
-    weights, bias = logistic(x, posterior, len(index))
+    weights, bias = logistic(list(vectors(bags, index)), posterior, len(index))
     return Model({t: float(weights[k]) for t, k in index.items() if weights[k]}, bias, accuracies, correlation)
 
 
@@ -201,74 +201,69 @@ def score_texts(texts: Iterator[str | None], model: Model) -> Iterator[float]:
     names = list(model.weights)
     index = {t: k for k, t in enumerate(names)}
     w = np.fromiter(model.weights.values(), float, len(names))
-    for at, value in vectors(texts, index):
+    for at, value in vectors(map(bag_of, texts), index):
         z = model.bias + float(w[at] @ value) if len(at) else model.bias
         yield 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
-    """doc_id, text and label (or null) of rows that are not held out, chosen by a hash of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, unlabelled: float = UNLABELLED) -> DataFrame:
+    """doc_id, text and label (or null) of rows that are not held out, chosen by hashes.
 
-    About `most` labelled rows at most, and about UNLABELLED times as many others.
+    About `most` labelled rows at most, and about `unlabelled` times as many
+    others. Rows without an id have no label and are not read; rows that repeat
+    id and text count once, so that no repeated row exceeds the bound.
     """
     own = labels.where(~held_out(4, 2) & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))
     docs = docs.where(~held_out(4, 2) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    share, other = train_fraction(own.count(), most), train_fraction(docs.count(), int(most * UNLABELLED))
-    chosen = lambda df, x: df.where(hashed_below(F.col("doc_id"), x)) if x < 1 else df
-    labelled = chosen(docs, share).join(chosen(own, share), "doc_id")
-    without = chosen(docs, other).join(chosen(own.select("doc_id"), other), "doc_id", "left_anti")
-    return labelled.unionByName(without.withColumn("label", F.lit(None).cast("int")))
+    other = train_fraction(docs.count(), int(most * unlabelled))
+    without = docs.where(hashed_below(other, "doc_id", "text")).join(own.select("doc_id"), "doc_id", "left_anti").dropDuplicates()
+    return labelled_sample(docs, own, most).unionByName(without.withColumn("label", F.lit(None).cast("int")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Learns from rows that are not held out; see training_sample()."""
-    sample = training_sample(docs, labels, target, max_train_rows)
-    # one bounded task learns, and only the model comes to the driver
-    schema = "terms array<string>, weights array<double>, bias double"
+    """Learns from rows that are not held out; see training_sample(). Without any the score is that of a low bias.
+
+    Whole texts become bags of words where they are; one task with a bounded
+    number of bags learns, and only the model comes to the driver.
+    """
+    bags = "doc_id long, words array<string>, counts array<int>, total long, patterns array<int>, label int"
+    model = "terms array<string>, weights array<double>, bias double, voters array<string>, accuracies array<double>, correlations array<double>"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32())]
+        for batch in batches:
+            rows = [(*bag_of(t), patterns_of(t)) for (t,) in _rows_of(batch.select([1]))]
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], [x.split()[0] for x in bags.split(", ")])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in _rows_of(b)), key=lambda r: (r[0], r[1] or ""))
+        rows = sorted((r for b in batches for r in _rows_of(b)), key=lambda r: (r[0], r[3], r[1], r[2]))
         if rows:
-            model = learn([r[1] for r in rows], [r[2] for r in rows])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([list(model.weights)], pa.list_(pa.string())),
-                    pa.array([list(model.weights.values())], pa.list_(pa.float64())),
-                    pa.array([model.bias]),
-                ],
-                ["terms", "weights", "bias"],
-            )
+            m = learn([r[1:4] for r in rows], [r[4] for r in rows], [r[5] for r in rows])
+            accuracies = [x for pair in m.accuracies.values() for x in pair]
+            lists = [list(m.weights), list(m.weights.values()), list(m.accuracies), accuracies, m.correlations.ravel().tolist()]
+            made = [pa.array([x], pa.list_(k)) for x, k in zip(lists, [pa.string(), pa.float64(), pa.string(), pa.float64(), pa.float64()])]
+            made.insert(2, pa.array([m.bias], pa.float64()))
+            yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in model.split(", ")])
 
-    thin = thinned(sample)
-    found = thin.repartition(1).mapInArrow(train, schema).collect()
+    sample = training_sample(docs, labels, target, max_train_rows)
+    found = sample.mapInArrow(make, bags).repartition(1).mapInArrow(train, model).collect()
     if not found:
         return Model({}, -2.0, {}, np.zeros((0, 0)))
-    terms, weights, bias = found[0]
-    return Model(dict(zip(terms, weights)), bias, {}, np.zeros((0, 0)))
-
-
-def thinned(sample: DataFrame) -> DataFrame:
-    """The sample with every k-th word only of texts over TRAIN_WORDS words, so that its size is bounded."""
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for (text,) in _rows_of(batch.select([1])):
-                words = (text or "").split(" ")
-                texts.append(" ".join(words[:: max(1, -(-len(words) // TRAIN_WORDS))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["doc_id", "text", "label"])
-
-    return sample.mapInArrow(thin, "doc_id long, text string, label int")
+    terms, weights, bias, voters, accuracies, correlations = found[0]
+    pairs = dict(zip(voters, zip(accuracies[::2], accuracies[1::2])))
+    return Model(dict(zip(terms, weights)), bias, pairs, np.reshape(correlations, (len(voters), len(voters))))
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, score, predicted.
 
     Null and empty texts have no term and get the score of the bias. Repeated
-    rows each get a row; only doc_id and text are read.
+    rows each get a row; only doc_id and text are read, texts as a whole. An
+    empty table gives an empty result.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,29 @@ def test_context_finds_what_no_pattern_matches(documents):
     assert done[99] == "lorem ipsum account-number [card] dolor sit" and done[98] == "nothing here 77 to see"
 
 
+def test_each_row_is_redacted_by_its_own_spans(documents):
+    texts = [
+        (1, "nothing to hide in this text, not a bit"), (1, "mail ann@example.org now"), (None, "write to ann@example.org"), (None, "call +1 (555) 123-4567"),
+        (None, None), (2, "a@b.c"), (2, "a@b.c"), (3, "ann@1.2.3.4 x"), (4, ""),
+    ]
+    docs = documents(texts, extra=True).withColumn("_found", F.lit("clash")).withColumn("redacted", F.lit("clash"))
+    done = pii.redact(docs)
+    assert sorted(done.columns) == sorted(docs.columns)
+    got = sorted((str(r["text"]), r["redacted"]) for r in done.collect())
+    assert got == sorted([
+        ("nothing to hide in this text, not a bit", "nothing to hide in this text, not a bit"), ("mail ann@example.org now", "mail [email] now"),
+        ("write to ann@example.org", "write to [email]"), ("call +1 (555) 123-4567", "call [phone]"), ("None", ""), ("a@b.c", "[email]"), ("a@b.c", "[email]"),
+        ("ann@1.2.3.4 x", "[email] x"), ("", ""),
+    ])
+
+
+def test_many_matches_in_one_text(documents):
+    text = "a@b.c, " * 4_000
+    r = pii.report(pii.personal_data(documents([(1, text)]))).first()
+    joined, counts = base(text, PERSONAL)
+    assert r["n_email"] == counts[0] == 4_000 and r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_contexts_reach_forms_that_no_base_pattern_matches(documents):
     rng = random.Random(5)
     filler = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(7))
@@ -124,9 +148,26 @@ def test_markov_models_tell_random_from_ordinary(documents):
     texts = [(i, " ".join(word() for _ in range(30)) + (f" password={rand(24)}" if i % 2 else "")) for i in range(200)]
     table = secret_scan.fit(documents(texts))
     hidden, plain = rand(32) + "7a", "therconverted2lorami_nalkabo_therconverted"
-    test = documents([(1, f"see {hidden} there"), (2, f"see {plain} there"), (3, None)])
+    letters = "".join(rng.choice(string.ascii_letters) for _ in range(20))
+    test = documents([(1, f"see {hidden} there"), (2, f"see {plain} there"), (3, None), (4, f"{letters}, {plain} {letters}"), (5, "12345678 " * 9 + "=" * 90)])
     rows = {r["doc_id"]: r["spans"] for r in secret_scan.report(secret_scan.secrets(test, table)).collect()}
-    assert rows == {1: f"random:4:{4 + len(hidden)}", 2: "", 3: ""}
+    assert rows == {1: f"random:4:{4 + len(hidden)}", 2: "", 3: "", 4: f"random:0:20,random:{23 + len(plain)}:{43 + len(plain)}", 5: ""}
+    # held-out strings of each length, and ordinary words
+    strings = {n: [rand(n) for _ in range(100)] for n in (12, 16, 24)}
+    rows = [(n * 1000 + i, f"x {v} y") for n, vs in strings.items() for i, v in enumerate(vs)] + [(i, word()) for i in range(300)]
+    found = {r["doc_id"] for r in secret_scan.report(secret_scan.secrets(documents(rows), table)).where("spans != ''").collect()}
+    caught = {n: sum(n * 1000 <= i < n * 1000 + 100 for i in found) for n in strings}
+    assert caught[24] == 100 and caught[16] > 90 and caught[12] > 50 and not any(i < 300 for i in found)
+
+
+def test_secret_models_learn_from_all_secrets(documents):
+    rng = random.Random(6)
+    rand = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows = [(i, "ordinary words therefore stand everywhere") for i in range(400)] + [(500 + i, f"password={rand(30)}") for i in range(20)]
+    hidden = rand(30)
+    table = secret_scan.fit(documents(rows), max_train_rows=40)  # so few documents hold hardly a secret
+    r = secret_scan.report(secret_scan.secrets(documents([(1, f"at {hidden} end")]), table)).first()
+    assert r["spans"] == "random:3:33"
 
 
 def test_empty_and_odd_tables(spark, documents):
@@ -147,6 +188,57 @@ def test_language_of_held_out_rows(spark):
     assert row["right"] > 0.98 and 0 <= row[1] <= row[2] <= 1
 
 
+def test_predictions_are_those_of_plain_vectors(documents):
+    import numpy as np
+
+    words = {"aa": "kalo mira tesu nolan", "bb": "schrund wilk perzt ößa", "cc": "quix vopp zzyt 日本"}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(1, 9))), lang) for i in range(120) for lang in [rng.choice(list(words))]]
+    docs = documents(rows + [(500, "..."), (501, None)])
+    letters = langid.Profiles().letters.astype(float)
+
+    def bundle(text):
+        v = 0
+        for a, b, c in zip(*(f" {text.lower()} "[k:] for k in range(3))):
+            if b.isalpha():
+                s = [0 if not x.isalpha() else 1 + ord(x) - 97 if "a" <= x <= "z" else 27 + (ord(x) * 2_654_435_761 >> 7) % 37 for x in (a, b, c)]
+                v = v + np.roll(letters[s[0]], 2) * np.roll(letters[s[1]], 1) * letters[s[2]]
+        return v / np.linalg.norm(v)
+
+    prototypes = {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            prototypes[lang] = prototypes.get(lang, 0) + bundle(text)
+    names = sorted(prototypes)
+    matrix = np.stack([prototypes[x] / np.linalg.norm(prototypes[x]) for x in names])
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, text, _ in rows:
+        cosines = matrix @ bundle(text)
+        assert got[i]["lang_pred"] == names[int(cosines.argmax())] and abs(got[i]["score"] - max(0, cosines.max())) < 1e-4
+    assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und"
+
+
+def test_sql_of_queries(spark, tmp_path, documents):
+    import duckdb
+
+    rng = random.Random(11)
+    rand = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    planted = [(i, f"café therefore ordinary words {rand(28) if i % 30 == 7 else 'everywhere'}; token={rand(20)}" if i % 3 else "therefore  ordinary words") for i in range(90)]
+    documents(planted).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for sf, names in (("/root/testdata/sf0.001", list(queries.ORACLES)), (str(tmp_path), ["op5_exact_dedup", "op9_secret_scan"])):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS FROM read_parquet('{sf}/documents.parquet{'' if sf.endswith('1') and 'sf0' in sf else '/*.parquet'}')")
+        con.execute("CREATE VIEW benchmark AS FROM '/root/testdata/sf0.001/benchmark.parquet'")
+        for name in names:
+            got = queries.QUERIES[name](spark, sf)
+            want = con.execute(queries.ORACLES[name])
+            columns = [c[0] for c in want.description]
+            assert sorted(columns) == sorted(got.columns)
+            rows = sorted(map(repr, map(tuple, got.select(*columns).collect())))
+            assert rows == sorted(map(repr, want.fetchall())), name
+    assert any("random:" in r for r in rows)
+
+
 def test_bundles_are_bindings_of_letters():
     import numpy as np
 
