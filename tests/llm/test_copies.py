@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orthoflow.llm import packing, scratch, sharding, simhash
+from orthoflow.llm import packing, queries, scratch, sharding, simhash
 from orthoflow.llm.decontamination import contamination, drop_contaminated, matches
 from orthoflow.llm.exact_dedup import drop_duplicates, exact_duplicates
 
@@ -51,6 +51,14 @@ def test_hot_group_and_pipeline_stage(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({0, *(i for i in range(900) if i % 3)})
 
 
+def test_contents_that_share_a_digest_stay_apart(documents):
+    rows = [(i, f"text {i % 7}" if i % 2 else None) for i in range(60)] + [(None, "text 1"), (3, "text  3"), (3, "text 3")]
+    key = lambda r: (str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"])
+    want = sorted(map(key, exact_duplicates(documents(rows)).collect()))
+    for weak in (lambda c: F.substring(F.sha2(c, 256), 1, 0), lambda c: F.length(c).cast("string")):
+        assert sorted(map(key, exact_duplicates(documents(rows), digest=weak).collect())) == want
+
+
 def fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
@@ -113,6 +121,25 @@ def test_gray_index_finds_all_components(seed):
     assert len(i) == len(codes) - len(set(want.tolist()))
 
 
+def test_tree_prunes_what_pairs_would_compare():
+    codes = np.unique(np.random.default_rng(8).integers(0, 2**64, 40_000, dtype=np.uint64))
+    seen = {}
+    simhash.spanning_links(np.zeros(len(codes), np.int64), codes, seen=seen)
+    pairs = len(codes) * (len(codes) - 1) // 2
+    assert seen["fingerprints"] < pairs / 1000 and seen["nodes"] < pairs / 25 and seen["pruned"] > seen["nodes"] / 2
+
+
+def test_divisions_lose_no_pair():
+    rng, levels = random.Random(9), simhash.divisions()
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), 3))
+        masks = [0]
+        for level in levels:
+            masks = [m for old in masks for m in level[old] if not (a ^ b) & m]
+            assert masks
+
+
 def test_gray_rank_sorts_the_gray_code():
     codes = np.arange(64, dtype=np.uint64)
     gray = codes ^ (codes >> np.uint64(1))
@@ -124,7 +151,8 @@ def test_large_buckets_are_split_without_losing_links(spark):
     codes = np.unique(np.uint64(99) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 2)).astype(np.uint64), axis=1)).view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in codes], "fp long")
     whole, split = simhash.components(simhash.bucket_links(df)), simhash.components(simhash.bucket_links(df, bucket_rows=30))
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+    deep = simhash.components(simhash.bucket_links(df, bucket_rows=3))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect())) == sorted(map(tuple, deep.collect()))
     assert whole.select("root").distinct().count() == 1 and whole.count() == len(codes) - 1
 
 
@@ -195,7 +223,7 @@ def test_contamination_against_brute_force(spark, documents):
     for i, t in rows:
         want.setdefault(i, set()).add(expected(t, items))
     for r in got:
-        assert tuple(r)[1:] in want[r["doc_id"]]
+        assert tuple(r)[1:6] in want[r["doc_id"]]
     assert 5 < sum(r["contaminated"] for r in got) < len(got)
     clean = drop_contaminated(documents(rows), table)
     assert clean.count() == sum(not expected(t, items)[4] for _, t in rows)
@@ -207,6 +235,23 @@ def test_proximity_matches(spark, documents):
     table = spark.createDataFrame([(1, " ".join(v))], "item_id long, text string")
     got = matches(documents([(1, " ".join(shuffled)), (2, "far away")]), table).collect()
     assert got and not any(r["exact"] for r in got) and {r["doc_id"] for r in got} == {1}
+    changed = [*v[:4], "another", *v[5:]]  # no window is whole, and the word that was there is in no document
+    docs = documents([(1, " ".join(changed)), (2, "far away"), (3, " ".join(w for w in v if w != "word4") + " " + " ".join(v[:4])), (4, None)])
+    rows = {r["doc_id"]: (r["n_hit"], r["n_items"], r["n_near"]) for r in contamination(docs, table).collect()}
+    assert rows == {1: (0, 0, 1), 2: (0, 0, 0), 3: (0, 0, 1), 4: (0, 0, 0)}
+
+
+def test_many_terms_are_shuffled_without_loss(spark, documents, monkeypatch):
+    from orthoflow.llm import decontamination
+
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, sentence(rng, rng.choice([5, 12, 40]))) for i in range(8)], "item_id long, text string")
+    parts = [r["text"] for r in items.collect()]
+    docs = documents([(i, f"{sentence(rng, 5)} {parts[i % 8] if i % 3 else ''} {sentence(rng, 9)}") for i in range(40)] + [(None, parts[0]), (1, None)])
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(contamination(docs, items))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    assert key(contamination(docs, items)) == want and any("contaminated=True" in r for r in want)
 
 
 def test_empty_tables(spark, documents):
@@ -214,7 +259,7 @@ def test_empty_tables(spark, documents):
     empty_items = spark.createDataFrame([], "item_id long, text string")
     for df in (
         exact_duplicates(none), simhash.near_duplicates(none), contamination(none, empty_items), sharding.digest(sharding.shuffled(none, 4)),
-        drop_duplicates(none), simhash.drop_near_duplicates(none), drop_contaminated(none, empty_items),
+        drop_duplicates(none), simhash.drop_near_duplicates(none), drop_contaminated(none, empty_items), packing.pack(none, queries.word_tokenizer()),
     ):
         assert df.count() == 0
     assert contamination(documents(ODD), empty_items).where("contaminated").count() == 0
@@ -239,6 +284,41 @@ def test_shuffle_is_a_balanced_permutation(documents):
     assert d[1]["size"] == 8 and d[8]["size"] == 8 + len("é ü 日本 😀".encode()) and d[8]["text_crc32"] == zlib.crc32("é ü 日本 😀".encode())
 
 
+def spark_hash(*values):
+    """xxhash64() of Spark over longs, ints as (int,) and texts; None leaves the seed."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (seed >> 63 << 64)
+
+
+def test_shuffle_is_the_permutation_that_plain_python_makes(documents):
+    rows = [(i * 7, "z" * (i % 50)) for i in range(400)] + ODD + [(5, "again")] * 30
+    got = sharding.shuffled(documents(rows), 7, bucket_bytes=2000, tasks=3, copies=10).collect()
+    total = sum(len((t or "").encode()) + 8 for _, t in rows)
+    buckets, held, again = -(-total // 2000), {}, 0
+    for i, t in rows:
+        key = [(sharding.SEED,), i, spark_hash(t)]
+        if t == "again":
+            key, again = [*key, again], again + 1
+        held.setdefault(spark_hash(*key) % buckets, []).append((i, t))
+    want, first = [], lambda x: (x[0] is not None, x[0] or 0, spark_hash(x[1]))
+    for b in sorted(held):
+        members = sorted(held[b], key=first)
+        want += [members[k] for k in sharding.fisher_yates(len(members), sharding.SEED * 1_000_003 + b)]
+    place = {(r["slot"] * 7 + r["shard"]): (r["doc_id"], r["text"]) for r in got}
+    assert [place[k] for k in range(len(rows))] == want
+
+
+def test_one_repeated_row_spreads_over_the_buckets(documents, spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit("the same text again").alias("text"), F.lit(None).alias("lang"))
+    many = rows.unionByName(rows.limit(20_000).withColumn("doc_id", F.lit(None).cast("int")))
+    sizes = [r["count"] for r in sharding.shuffled(many, 24, bucket_bytes=300_000).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 120_000 and len(sizes) == 11 and max(sizes) < 1.1 * sum(sizes) / len(sizes)
+
+
 def test_fisher_yates_is_uniform():
     seen = np.zeros((5, 5))
     for seed in range(3000):
@@ -293,30 +373,90 @@ def test_packing_holds_every_id_once(documents, tokenizer):
             assert offset == end
             end += length
         assert end <= 2048
-    flat = sorted((i, np.array(sum((x[2] for x in sorted(p)), []), "<u4").tobytes()) for i, p in docs.items() if len({x[0] for x in p}) == len(p))
-    assert set(flat) <= set(want) and len(flat) > 180
+    once = {i for i, p in docs.items() if len({x[0] for x in p}) == len(p)}
+    flat = sorted((i, np.array(sum((x[2] for x in sorted(docs[i])), []), "<u4").tobytes()) for i in once)
+    assert flat == [w for w in want if w[0] in once] and len(flat) > 180
     total = sum(r["length"] for r in got)
     assert total == sum(len(b) // 4 for _, b in want)
     assert len(bins) <= -(-total // 2048) + 4 * 2
 
 
+def best_fit(lengths, capacity, limit):
+    """(bin, offset) of each piece, by a list of the open bins' free spaces; the bin that was left last wins ties."""
+    left, out, bins = [], [], 0
+    for n in lengths:
+        fits = [x for x in left if x[0] >= n]
+        if fits:
+            least = min(f for f, _ in fits)
+            free, b = next(x for x in reversed(left) if x[0] == least)
+            left.remove((free, b))
+        else:
+            if len(left) == limit and n < capacity:
+                full = min(f for f, _ in left)
+                left.remove(next(x for x in reversed(left) if x[0] == full))
+            free, b, bins = capacity, bins, bins + 1
+        out.append((b, capacity - free))
+        if free > n:
+            left.append((free - n, b))
+    return out
+
+
 def test_open_bins_are_bounded_and_best_fitting():
     rng = random.Random(7)
-    bins, left = packing.Bins(100, 5), []
-    for _ in range(2000):
-        n = rng.randrange(1, 101)
-        fits = [f for f in left if f >= n]
-        _, offset = bins.place(n)
-        if fits:
-            assert 100 - offset == min(fits)
-            left.remove(min(fits))
-        elif len(left) == 5:
-            left.remove(min(left))
-        if offset + n < 100:
-            left.append(100 - offset - n)
-        assert len(left) == bins.open <= 5
+    lengths = [rng.choice([100, rng.randrange(1, 101)]) for _ in range(3000)]
+    bins, got = packing.Bins(100, 5), []
+    for n in lengths:
+        got.append(bins.place(n))
+        assert bins.open <= 5 and bins.open == sum(map(len, bins.free))
+    assert got == best_fit(lengths, 100, 5)
+
+
+def test_a_full_piece_closes_no_bin():
+    bins = packing.Bins(2048, 1)
+    bins.place(1000)
+    assert bins.place(2048) == (1, 0) and bins.open == 1 and bins.place(1048) == (0, 1000)
+
+
+def test_packing_is_what_plain_python_makes(documents, tokenizer):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, rng.choice([0, 3, 40, 300, 2500]))) for i in range(150)] + [(7, None), (7, ""), (None, "a b")]
+    docs = documents(rows).coalesce(1)
+    got = packing.pack(docs, tokenizer, capacity=512, open_bins=4).collect()
+    ids, pieces = packing.Ids(tokenizer), []
+    for i, t in (tuple(r) for r in docs.select("doc_id", "text").collect()):
+        data = ids(t or "") + b"\0\0\0\0"
+        for piece, start in enumerate(range(0, len(data) // 4, 512)):
+            own = data[4 * start : 4 * (start + 512)]
+            pieces.append((i, piece, start, len(own) // 4, zlib.crc32(own)))
+    pieces.sort(key=lambda p: -p[3])
+    want = [(*p, *at) for p, at in zip(pieces, best_fit([p[3] for p in pieces], 512, 4))]
+    assert list(map(tuple, got)) == want
 
 
 def test_scratch_tables_are_released(spark):
     df = scratch.stored(spark.range(5), "five")
     assert df.count() == 5 and scratch.release(spark) >= 1
+
+
+def test_samples_are_sound_at_any_size(spark, documents):
+    ids = spark.range(200_000_000)
+    assert 10 < ids.where(scratch.hashed_below(scratch.train_fraction(10**11, 20_000), "id")).count() < 90
+    nameless = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert 4_500 < nameless.where(scratch.hashed_below(0.25, "doc_id", "text")).count() < 5_500
+    assert nameless.where(scratch.hashed_below(1.0, "doc_id", "text")).count() == 20_000
+    # one id with many texts, and one row many times
+    hot = documents([(1, f"t{i}") for i in range(900)] + [(2, "same")] * 500 + [(i, "x") for i in range(3, 100)])
+    own = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, label int")
+    found = scratch.labelled_sample(hot.select("doc_id", "text"), own, 100)
+    assert 60 < found.count() < 140 and found.where("doc_id = 2").count() <= 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf, master = spark.conf, "spark://host:7077"
+        sparkContext = property(lambda self: self)
+        getConf = lambda self: {}
+
+    monkeypatch.setattr(Cluster, "conf", type("Conf", (), {"get": staticmethod(lambda *a: None)}))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Cluster())
