@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import stored
+from orthoflow.sources.scratch import stored
 
 #: Quantile of a 99 % confidence interval, and the factor of the biweight's scale.
 SIGMAS, TUNE = 2.575, 6.9460
