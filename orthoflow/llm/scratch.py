@@ -1,62 +1,19 @@
-"""Tables that cut lineage, and joins that survive a hot key.
+"""Joins that survive a hot key, and samples of a bounded size.
 
-Executors can be lost at any time, so what is used more than once is written
-once as Parquet below ``spark.checkpoint.dir``, the folder that driver and
-executors share. Only where that setting is empty (tests, a laptop) a local
-folder takes its place.
+stored() and release() are those of orthoflow.sources.scratch.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A group with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 200
-
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local session without one gets a local one, a cluster is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="orthoflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from orthoflow.sources.scratch import marked, release, shared_dir, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, with no lineage before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orthoflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["attach", "fresh", "hashed_below", "labelled_sample", "marked", "release", "shared_dir", "stored", "train_fraction"]
 
-
-def marked() -> int:
-    """How many tables stored() has written in this process and not released."""
-    return len(_made)
-
-
-def release(spark: SparkSession, since: int = 0, kept: int = 0) -> int:
-    """Deletes what stored() has written in this process after the first `since` tables, but for the last `kept` ones.
-
-    Call it when results are safe: what still reads these tables fails then.
-    """
-    paths = _made[since : len(_made) - kept]
-    _made[since : len(_made) - kept] = []
-    n = 0
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+#: A group with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
+HOT_SHARE = 200
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -52,7 +52,7 @@ def test_run_over_odd_tables(spark, documents, tmp_path):
 
 
 def test_run_deletes_what_earlier_stages_stored(spark, tmp_path, monkeypatch):
-    from orthoflow.llm import scratch
+    from orthoflow.sources import scratch
 
     monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
     corpus_pipeline.run(spark, SF).count()
