@@ -38,23 +38,55 @@ def box_of(ring: Column) -> dict[str, Column]:
     return {"xmin": F.array_min(x), "xmax": F.array_max(x), "ymin": F.array_min(y), "ymax": F.array_max(y)}
 
 
-def zones(cells: DataFrame, rings: DataFrame, most: int = 10_000) -> DataFrame:
+def zones(cells: DataFrame, rings: DataFrame, most: int = 100_000, block: int = 64) -> DataFrame:
     """cells with det_id, the highest detector whose ring holds the cell; others have no row.
 
-    Rings are broadcast if they are at most `most` rows; else cells and rings
-    meet on the rows of 64 cells that their boxes touch.
+    Cells and rings meet on the blocks of `block` by `block` cells that the rings'
+    boxes touch, all rings of a block in one row, so that each cell stays one row
+    and nothing is aggregated. The blocks are broadcast if they hold at most
+    `most` points of rings in all, else they are shuffled.
     """
     rings = rings.select("det_id", snapped(F.col("ring")).alias("ring"))
-    rings = rings.select("det_id", "ring", *[v.alias(k) for k, v in box_of(F.col("ring")).items()])
-    near = F.col("c").between(F.col("xmin"), F.col("xmax")) & F.col("r").between(F.col("ymin"), F.col("ymax"))
-    if rings.limit(most + 1).count() <= most:
-        met = cells.join(F.broadcast(rings), near)
+    box = box_of(F.col("ring"))
+    at = lambda x: F.floor(x / block).cast("int")
+    tiled = rings.withColumn("_br", F.explode(F.sequence(at(box["ymin"]), at(box["ymax"])))).withColumn("_bc", F.explode(F.sequence(at(box["xmin"]), at(box["xmax"]))))
+    points = tiled.agg(F.sum(F.size("ring"))).first()[0] or 0
+    held = tiled.groupBy("_br", "_bc").agg(F.collect_list(F.struct("det_id", "ring")).alias("_rings"))
+    placed = cells.withColumns({"_br": at(F.col("r")), "_bc": at(F.col("c"))})
+    met = placed.join(F.broadcast(held) if points <= most else held, ["_br", "_bc"])
+    inside = F.filter("_rings", lambda d: contains(d["ring"], F.col("c"), F.col("r")))
+    found = F.array_max(F.transform(inside, lambda d: d["det_id"]))
+    return met.withColumn("det_id", found).where("det_id is not null").select(*cells.columns, "det_id")
+
+
+def nearest(cells: DataFrame, points: DataFrame, n: int, most: int = 10_000) -> DataFrame:
+    """The n nearest points (det_id, i, x, y) of each cell (r, c), with rn from 1; ties by det_id, then i.
+
+    A cell keeps the best n of the points of a part in one array, so that cells
+    are neither multiplied nor sorted. Points are few as a rule (the vertices of
+    footprints); more of them meet the cells part by part, and the bests of all
+    parts are merged by an aggregate.
+    """
+    point = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "det_id", F.col("i").cast("int").alias("i"))
+    count = points.count()
+    parts = points.select(F.pmod(F.xxhash64("det_id", "i"), F.lit(max(1, -(-count // most)))).alias("part"), point.alias("p"))
+    parts = parts.groupBy("part").agg(F.collect_list("p").alias("ps"))  # arrays of about `most` points
+    away = lambda p: (p["x"] - F.col("c")) * (p["x"] - F.col("c")) + (p["y"] - F.col("r")) * (p["y"] - F.col("r"))
+    seen = F.transform("ps", lambda p: F.struct(away(p).alias("d"), p["det_id"].alias("det_id"), p["i"].alias("i")))
+    if count <= most:  # one row of a counted size
+        found = cells.join(F.broadcast(parts)).select("r", "c", F.slice(F.array_sort(seen), 1, n).alias("best"))
     else:
-        strip = lambda x: F.floor(x / 64)
-        wide = rings.withColumn("_strip", F.explode(F.sequence(strip(F.col("ymin")), strip(F.col("ymax")))))
-        met = cells.withColumn("_strip", strip(F.col("r"))).join(wide, "_strip").where(near).drop("_strip")
-    held = met.where(contains(F.col("ring"), F.col("c"), F.col("r")))
-    return held.groupBy(*cells.columns).agg(F.max("det_id").alias("det_id"))
+        met = cells.join(parts).select("r", "c", F.slice(F.array_sort(seen), 1, n).alias("best"))
+        found = met.groupBy("r", "c").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n).alias("best"))
+    return found.select("r", "c", F.posexplode("best").alias("_rn", "_b")).select("r", "c", "_b.det_id", "_b.i", (F.col("_rn") + 1).alias("rn"))
+
+
+def mid_points(ring: Column, descending: bool = False) -> Column:
+    """The middles x, y of a closed ring's edges by y, then x; or the other way round."""
+    pairs = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("p"), F.slice(ring, 2, F.size(ring) - 1).alias("q"))
+    middle = lambda e, k: (e["p"][k] + e["q"][k]) / 2
+    by_y = F.array_sort(F.transform(pairs, lambda e: F.struct(middle(e, "y").alias("y"), middle(e, "x").alias("x"))))
+    return F.transform(F.reverse(by_y) if descending else by_y, lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y")))
 
 
 def outline(cells: DataFrame, rings: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,35 +37,52 @@ def cubic_weight(distance: Column, a: float) -> Column:
     return F.when(x <= 1, near).when(x < 2, far).otherwise(0.0)
 
 
+def neighbourhoods(source: DataFrame, value: str, size: tuple[int, int] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The 4 by 4 values from (r - 1, c - 1) to (r + 2, c + 2) of each cell whose square touches the raster: keys, _br, _bc, _taps.
+
+    Two windows, along single rows and then single columns, carry the values to
+    their cells, so no row is multiplied. Missing cells count as 0. With a size
+    (rows, cols), cells beyond it have the value of the nearest one.
+    """
+    if size:
+        last = [n - 1 for n in size]
+        bounds = source.select(*keys).distinct() if keys else source.sparkSession.range(1).select()
+        bounds = bounds.select(*keys, F.lit(0).alias("_r0"), F.lit(last[0]).alias("_r1"), F.lit(0).alias("_c0"), F.lit(last[1]).alias("_c1"))
+    else:
+        bounds = source.groupBy(*keys).agg(F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
+    wide = lambda low, high: F.explode(F.sequence(F.col(low) - 4, F.col(high) + 4))
+    cells = bounds.where("_r0 is not null").withColumn("_br", wide("_r0", "_r1")).withColumn("_bc", wide("_c0", "_c1"))
+    near = lambda x, low, high: F.greatest(F.col(low), F.least(F.col(x), F.col(high))) if size else F.col(x)
+    cells = cells.withColumns({"_sr": near("_br", "_r0", "_r1"), "_sc": near("_bc", "_c0", "_c1")})
+    own = source.select(*keys, F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(value).cast("double").alias("_v"))
+    cells = cells.join(own, [*keys, "_sr", "_sc"], "left").select(*keys, "_br", "_bc", F.coalesce("_v", F.lit(0.0)).alias("_v"))
+    across, down = Window.partitionBy(*keys, "_br").orderBy("_bc"), Window.partitionBy(*keys, "_bc").orderBy("_br")
+    four = lambda x, w: F.array(F.lag(x, 1).over(w), x, F.lead(x, 1).over(w), F.lead(x, 2).over(w))
+    rows = cells.select(*keys, "_br", "_bc", four(F.col("_v"), across).alias("_row"))
+    return rows.select(*keys, "_br", "_bc", four(F.col("_row"), down).alias("_taps"))
+
+
 def cubic(
-    target: DataFrame, source: DataFrame, y: Column, x: Column, value: str = "v", a: float = -0.75,
-    border: Callable[[Column, Column], tuple[Column, Column]] | None = None, keys: Sequence[str] = (), id_cols: Sequence[str] = ("r", "c"),
+    target: DataFrame, source: DataFrame, y: Column, x: Column, value: str = "v", a: float = -0.75, size: tuple[int, int] | None = None,
+    keys: Sequence[str] = (), id_cols: Sequence[str] = ("r", "c"),
 ) -> DataFrame:
-    """Cubic convolution of the source at places y, x: id_cols and `got`.
+    """Cubic convolution of the source at places y, x: keys, id_cols and `got`.
 
-    Sixteen taps are joined and summed by weight. Taps outside count as 0, or are
-    moved by border() first (to replicate edges).
+    Each target meets the neighbourhood of its place in one join. Taps outside
+    count as 0, or with a size (rows, cols) of the source as the nearest cell.
     """
-    taps = F.array(*[F.lit(k) for k in (-1, 0, 1, 2)])
+    floor = lambda v: F.floor(v).cast("int")
+    # so far outside all taps are alike, as near the edge
+    held = (lambda v, n: F.greatest(F.lit(-3), F.least(v, F.lit(n + 1)))) if size else (lambda v, n: v)
+    rows, cols = size or (0, 0)
     asked = target.select(*keys, *id_cols, y.alias("_y"), x.alias("_x"))
-    asked = asked.withColumn("_tr", F.explode(F.transform(taps, lambda k: F.floor("_y").cast("int") + k)))
-    asked = asked.withColumn("_tc", F.explode(F.transform(taps, lambda k: F.floor("_x").cast("int") + k)))
-    asked = asked.withColumn("_w", cubic_weight(F.col("_y") - F.col("_tr"), a) * cubic_weight(F.col("_x") - F.col("_tc"), a))
-    if border:
-        r, c = border(F.col("_tr"), F.col("_tc"))
-        asked = asked.withColumns({"_tr": r, "_tc": c})
-    src = source.select(*keys, F.col("r").alias("_tr"), F.col("c").alias("_tc"), F.col(value).alias("_v"))
-    return (
-        asked.join(src, [*keys, "_tr", "_tc"], "left")
-        .groupBy(*keys, *id_cols)
-        .agg(F.sum(F.col("_w") * F.coalesce(F.col("_v"), F.lit(0))).alias("got"))
-    )
-
-
-def replicate(rows: int, cols: int) -> Callable[[Column, Column], tuple[Column, Column]]:
-    """Border rule: taps outside take the nearest cell."""
-    clamp = lambda x, n: F.greatest(F.lit(0), F.least(x, F.lit(n - 1)))
-    return lambda r, c: (clamp(r, rows), clamp(c, cols))
+    asked = asked.withColumns({"_br": held(floor(F.col("_y")), rows), "_bc": held(floor(F.col("_x")), cols)})
+    met = asked.join(neighbourhoods(source, value, size, keys), [*keys, "_br", "_bc"], "left")
+    weight = lambda at, k: cubic_weight(at - F.floor(at) - F.lit(k), a)
+    line = lambda i: sum(weight(F.col("_x"), j - 1) * F.get(F.get("_taps", F.lit(i)), F.lit(j)) for j in range(4))
+    got = sum(weight(F.col("_y"), i - 1) * line(i) for i in range(4))
+    # places that touch no cell have no neighbourhood; the canvas is wider than any square that touches the raster
+    return met.select(*keys, *id_cols, F.when(F.col("_y").isNotNull() & F.col("_x").isNotNull(), F.coalesce(got, F.lit(0.0))).alias("got"))
 
 
 def zoom_in(source: DataFrame, factor: int, rows: int, cols: int, value: str = "v", a: float = -0.75) -> DataFrame:
@@ -74,7 +91,7 @@ def zoom_in(source: DataFrame, factor: int, rows: int, cols: int, value: str = "
     fine = source.select(F.col("r").alias("_r"), F.col("c").alias("_c")).withColumn("_i", F.explode(each)).withColumn("_j", F.explode(each))
     fine = fine.select((F.col("_r") * factor + F.col("_i")).alias("r"), (F.col("_c") * factor + F.col("_j")).alias("c"))
     at = lambda n: (F.col(n) + 0.5) / factor - 0.5
-    return cubic(fine, source, at("r"), at("c"), value, a, replicate(rows, cols))
+    return cubic(fine, source, at("r"), at("c"), value, a, (rows, cols))
 
 
 @dataclass(frozen=True)
@@ -122,13 +139,17 @@ def rotate(source: DataFrame, rows: int, cols: int, degrees: float, value: str =
     return gather(canvas(source, turn.rows, turn.cols), source, at_r, at_c, value)
 
 
-def destripe(source: DataFrame, rows: int, cols: int, degrees: float, value: str = "v", along: bool = True, across: bool = False) -> DataFrame:
-    """value less the medians of the columns (and rows) of the rotated image: r, c, v, stripe.
+def destripe(source: DataFrame, rows: int, cols: int, degrees: float, value: str = "v", along: bool = True, across: bool = False, option: str = "median") -> DataFrame:
+    """value less the averages of the columns (and rows) of the rotated image: r, c, v, stripe.
 
     Each source cell takes the profile of the canvas cell that it turns to, which
-    is the inverse rotation with the intended shift on both axes. Row medians are
-    those of the input, not of what is left after the columns.
+    is the inverse rotation with the intended shift on both axes. Row averages are
+    those of the input, not of what is left after the columns. option: median,
+    mean, or mode (of 3 decimals, the smallest of equals).
     """
+    averages = {"mean": F.avg("got"), "median": F.percentile("got", F.lit(0.5)), "mode": F.mode(F.round("got", 3), True)}
+    if option not in averages:
+        raise ValueError(f"unknown average: {option}")
     turn = rotation(rows, cols, degrees)
     rotated = rotate(source, rows, cols, degrees, value)
     a, b, c, d, e, f = turn.inverse
@@ -139,10 +160,10 @@ def destripe(source: DataFrame, rows: int, cols: int, degrees: float, value: str
     out = source.select("r", "c", F.col(value).alias("v")).withColumns({"rr": rr, "rc": rc})
     total = F.lit(0.0)
     if along:
-        profile = rotated.groupBy(F.col("c").alias("rc")).agg(F.percentile("got", F.lit(0.5)).alias("along"))
+        profile = rotated.groupBy(F.col("c").alias("rc")).agg(averages[option].alias("along"))
         out, total = out.join(profile, "rc", "left"), total + F.coalesce("along", F.lit(0.0))
     if across:
-        profile = rotated.groupBy(F.col("r").alias("rr")).agg(F.percentile("got", F.lit(0.5)).alias("across"))
+        profile = rotated.groupBy(F.col("r").alias("rr")).agg(averages[option].alias("across"))
         out, total = out.join(profile, "rr", "left"), total + F.coalesce("across", F.lit(0.0))
     return out.select("r", "c", (F.col("v") - total).alias("v"), total.alias("stripe"))
 
@@ -195,7 +216,7 @@ def align(source: DataFrame, of: dict, to: dict, rows: int, cols: int, nearest:
     if nearest:
         got = gather(target, source, F.floor(y + 0.5).cast("int"), F.floor(x + 0.5).cast("int"))
     else:
-        got = cubic(target, source, y, x, a=-0.5, border=replicate(*_size(source)))
+        got = cubic(target, source, y, x, a=-0.5, size=_size(source))
     return got.select("r", "c", F.col("got").alias("v"))
 
 

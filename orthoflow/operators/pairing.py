@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 def by_date(scenes: DataFrame, key: list[str] | None = None) -> DataFrame:
     """scenes with rn, the place by date (ties by scene_id), within key columns if given.
 
-    Without a key all scenes are one sequence: a table of scenes, not of pixels.
+    Without a key all scenes are one sequence: they are ranked within months, and
+    a month's first place is the count of all before it. Months are few whatever
+    the table, as dates are bounded.
     """
-    return scenes.withColumn("rn", F.row_number().over(Window.partitionBy(*(key or [])).orderBy("date", "scene_id")))
+    order = ["date", "scene_id"]
+    if key:
+        return scenes.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    ranked = scenes.withColumn("_month", F.trunc("date", "month"))
+    before = F.sum("_n").over(Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
+    months = ranked.groupBy("_month").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_month").alias("_m"), F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = ranked.withColumn("_rn", F.row_number().over(Window.partitionBy("_month").orderBy(*order)))
+    out = ranked.join(F.broadcast(months), F.col("_month").eqNullSafe(F.col("_m")))
+    return out.withColumn("rn", (F.col("_before") + F.col("_rn")).cast("int")).drop("_month", "_m", "_before", "_rn")
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.functions.raster import cc_stack, hypot
+from orthoflow.sources.rasters import blocks
 
 
 def densify(df: DataFrame, rows: int, cols: int, fill: dict[str, object], r: str = "r", c: str = "c") -> DataFrame:
@@ -57,16 +58,38 @@ def block_mean(df: DataFrame, value: str, radius: int, keys: Sequence[str] = ())
     )
 
 
-def block_median(df: DataFrame, value: str, radius: int, keys: Sequence[str] = ()) -> DataFrame:
-    """As block_mean(), with the exact median; a row carries the values of its square, and none is multiplied."""
-    cells = df.groupBy(*keys, "r", "c").agg(F.collect_list(F.col(value).cast("double")).alias("_in"))
-    across = Window.partitionBy(*keys, "r").orderBy("c").rangeBetween(-radius, radius)
-    down = Window.partitionBy(*keys, "c").orderBy("r").rangeBetween(-radius, radius)
-    half = filled(cells, keys).withColumn("_in", F.flatten(F.collect_list("_in").over(across)))
-    full = half.withColumn("_in", F.array_sort(F.flatten(F.collect_list("_in").over(down)))).where("_own")
-    n = F.size("_in")
-    middle = F.get("_in", F.floor((n - 1) / 2).cast("int")) * 0.5 + F.get("_in", F.floor(n / 2).cast("int")) * 0.5
-    return full.select(*keys, "r", "c", F.when(n > 0, middle).alias("filtered"))
+def block_median(df: DataFrame, value: str, radius: int, keys: Sequence[str] = (), size: int = 64) -> DataFrame:
+    """As block_mean(), with the exact median.
+
+    Cells are sent to blocks of `size` cells with a halo of the radius, about
+    once for each cell, and a task holds one block.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [*keys, "r", "c"]
+    cells = df.select(*names, F.col(value).cast("double").alias("_v"))
+    parts = blocks(cells, size, radius)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields], "filtered double"])
+
+    def medians(group: pd.DataFrame) -> pd.DataFrame:
+        at = [group["br"].to_numpy(), group["bc"].to_numpy()]
+        depth = group.groupby(["br", "bc"]).cumcount().to_numpy()
+        full = np.full((size + 2 * radius, size + 2 * radius, int(depth.max()) + 1), np.nan)
+        full[at[0], at[1], depth] = group["_v"].to_numpy()
+        own = group[group["own"].to_numpy() & (depth == 0)]
+        around = np.lib.stride_tricks.sliding_window_view(full, (2 * radius + 1, 2 * radius + 1), axis=(0, 1))
+        out = np.full(len(own), np.nan)
+        rows, cols = own["br"].to_numpy() - radius, own["bc"].to_numpy() - radius
+        step = max(1, 4_000_000 // (full.shape[2] * (2 * radius + 1) ** 2))
+        for lo in range(0, len(own), step):
+            found = np.sort(around[rows[lo : lo + step], cols[lo : lo + step]].reshape(len(rows[lo : lo + step]), -1), axis=1)  # nan last
+            n = (~np.isnan(found)).sum(axis=1)
+            pick = lambda k: np.take_along_axis(found, np.maximum(k, 0)[:, None], 1)[:, 0]  # noqa: B023, E731
+            out[lo : lo + step] = np.where(n > 0, pick((n - 1) // 2) * 0.5 + pick(n // 2) * 0.5, np.nan)
+        return own[names].assign(filtered=pd.Series(out, index=own.index).astype(object).where(~np.isnan(out), None))
+
+    return parts.groupBy(*keys, "block_r", "block_c").applyInPandas(medians, schema)
 
 
 def disk(radius_r: int, radius_c: int) -> list[tuple[int, int]]:
@@ -200,37 +223,64 @@ def stack_products(stack: DataFrame, p: StackParameters, layers: int, rows: int,
     return base.join(mean_velocity(stack, p.min_cc, layers, duration), ["r", "c"], "left")
 
 
-def denoise_tiles(df: DataFrame, schema: str, h: float = 2.0, search: int = 21, patch: int = 7) -> DataFrame:
-    """Non-local means of whole tiles (tile, data array of rows of floats), stretched to bytes and back.
+def option_error(o: dict[str, Column]) -> Column:
+    """What is wrong with a row of options (window, only_multitemporal, min_matches, folder, layers, max_layers), null if nothing is."""
+    one = F.when(o["folder"].isNotNull(), 1).otherwise(0) + F.when(o["layers"].isNotNull(), 1).otherwise(0)
+    return (
+        F.when((o["window"] < 1) | (o["window"] % 2 == 0), "the window must be odd")
+        .when(~o["only_multitemporal"].isin(0, 1), "only_multitemporal must be 0 or 1")
+        .when((o["min_matches"] < 0) | (o["min_matches"] > 1), "min_matches must be in 0..1")
+        .when(one != 1, "either a folder or layers must be given")
+        .when(o["max_layers"].isNotNull() & o["layers"].isNotNull(), "max_layers needs a folder")
+    )
 
-    A documented stand-in for a multi-frame filter: each pixel becomes the mean
-    of the pixels of its search window, weighted by the likeness of their patches.
+
+def denoise_frames(df: DataFrame, key: str, h: float = 2.0, search: int = 21, patch: int = 7, window: int | None = None) -> DataFrame:
+    """Non-local means of the middle frame of each stack (key, frames: arrays of rows of floats): key, data.
+
+    The frames of a stack are stretched to bytes together. Each pixel becomes the
+    mean of the pixels of its search window in `window` frames round the middle
+    one (an odd number; all of them if none is given), weighted by the likeness
+    of their patches. Frames of a stack have one size and fit one task.
     """
     import pandas as pd
 
+    if window is not None and window % 2 == 0:
+        raise ValueError("the window of frames must be odd")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for batch in batches:
             done = []
-            for data in batch["data"]:
-                x = np.array([np.asarray(row, float) for row in data])
+            for frames in batch["frames"]:
+                x = np.array([[np.asarray(row, float) for row in frame] for frame in frames])
                 low, high = np.nanmin(x), np.nanmax(x)
                 y = (x - low) / (high - low) * 255 if high > low else np.zeros_like(x)
-                half, s = patch // 2, search // 2
-                padded = np.pad(y, half + s, mode="reflect" if min(y.shape) > half + s else "edge")
-                total, weight = np.zeros_like(y), np.zeros_like(y)
-                core = padded[s:-s or None, s:-s or None]
-                for dr in range(-s, s + 1):
-                    for dc in range(-s, s + 1):
-                        moved = padded[s + dr : s + dr + core.shape[0], s + dc : s + dc + core.shape[1]]
-                        apart = np.pad((core - moved) ** 2, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-                        dist = (apart[patch:, patch:] - apart[:-patch, patch:] - apart[patch:, :-patch] + apart[:-patch, :-patch]) / patch**2
-                        w = np.exp(-dist / (h * h))
-                        total += w * moved[half : half + y.shape[0], half : half + y.shape[1]]
-                        weight += w
+                half, s, middle = patch // 2, search // 2, len(y) // 2
+                reach = len(y) if window is None else window // 2
+                y = y[max(0, middle - reach) : middle + reach + 1]
+                shape = y.shape[1:]
+                mode = "reflect" if min(shape) > half + s else "edge"
+                padded = [np.pad(f, half + s, mode=mode) for f in y]
+                core = padded[min(middle, reach)][s : -s or None, s : -s or None]
+                total, weight = np.zeros(shape), np.zeros(shape)
+                for frame in padded:
+                    for dr in range(-s, s + 1):
+                        for dc in range(-s, s + 1):
+                            moved = frame[s + dr : s + dr + core.shape[0], s + dc : s + dc + core.shape[1]]
+                            apart = np.pad((core - moved) ** 2, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+                            dist = (apart[patch:, patch:] - apart[:-patch, patch:] - apart[patch:, :-patch] + apart[:-patch, :-patch]) / patch**2
+                            w = np.exp(-dist / (h * h))
+                            total += w * moved[half : half + shape[0], half : half + shape[1]]
+                            weight += w
                 done.append((total / weight / 255 * (high - low) + low).tolist())
-            batch["data"] = done
-            yield batch
+            yield pd.DataFrame({key: batch[key], "data": done})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, "frames").mapInPandas(run, f"{key} {kind}, data array<array<double>>")
+
 
-    return df.mapInPandas(run, schema)
+def denoise_tiles(df: DataFrame, key: str, h: float = 2.0, search: int = 21, patch: int = 7) -> DataFrame:
+    """denoise_frames() of single tiles (key, data)."""
+    return denoise_frames(df.select(key, F.array("data").alias("frames")), key, h, search, patch)

@@ -16,6 +16,7 @@ from orthoflow.plans.measured import clip_sql
 from orthoflow.plans.registry import query
 from orthoflow.plans.stacks import BOXES, P
 from orthoflow.sources import scenes as S
+from orthoflow.sources.scratch import stored
 
 _COHERENCE = """CASE WHEN sqrt((ew / nullif(7 - na, 0)) ** 2 + (ns / nullif(7 - na, 0)) ** 2) > 0.15 AND na <= 7 * 0.6
   AND NOT bna > 25 * 7 * 0.4 THEN sqrt(bew * bew + bns * bns) / nullif(bpath, 0) ELSE 0 END"""
@@ -90,7 +91,7 @@ def distinct_classes(spark, sf_dir):
 @query(f"""WITH RECURSIVE {GRID}, s AS MATERIALIZED (SELECT ew AS v FROM grid), {clip_sql("g", "s")}
 SELECT r, c, k, CASE WHEN ew > mu - 2.575 * sg AND ew < mu + 2.575 * sg THEN CAST(ew AS DOUBLE) END AS ew FROM grid, g""")
 def input_outlier_mask(spark, sf_dir):
-    g = grid(spark, sf_dir).cache()
+    g = stored(grid(spark, sf_dir), "grid")
     found = gaussian_clip(g, "ew")
     return g.select("r", "c", "k", outlier_mask(F.col("ew").cast("double"), found.sigma, found.mu).alias("ew"))
 
@@ -140,8 +141,16 @@ def ring_text(spark, sf_dir):
     return again.select("det_id", R.wkt(F.col("ring")).alias("wkt"))
 
 
-@query()
+@query(f"""WITH {EDGES}, ends AS (SELECT det_id, y1 AS y, min(x1) AS x0, max(x1) AS x1 FROM edges GROUP BY det_id, y1),
+middle AS (SELECT det_id, y, coalesce((lag(x1) OVER w + x0) / 2, x0) AS x0, coalesce((x1 + lead(x0) OVER w) / 2, x1) AS x1 FROM ends WINDOW w AS (PARTITION BY y ORDER BY det_id))
+SELECT 'g' AS granule, det_id, round(sum(x1 - x0) / 2 * 63, 6) AS area FROM middle GROUP BY det_id""")
 def footprint_mid_lines(spark, sf_dir):
-    """No SQL: overlapping footprints made to abut; tested against rings worked out by hand."""
+    """Overlapping footprints made to abut."""
     old = rings(spark).select(F.lit("g").alias("granule"), F.lit("2017-01-01").cast("date").alias("sensed"), "det_id", "ring")
     return Y.resolve_footprints(old).select("granule", "det_id", F.round(Y.area(F.col("ring")), 6).alias("area"))
+
+
+@query(f"""WITH {EDGES} SELECT det_id, CAST(row_number() OVER (PARTITION BY det_id ORDER BY y1 + y2, x1 + x2) - 1 AS INTEGER) AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM edges""")
+def sorted_mid_points(spark, sf_dir):
+    """The middles of the footprints' edges by height."""
+    return rings(spark).select("det_id", F.posexplode(Y.mid_points(F.col("ring"))).alias("i", "p")).select("det_id", "i", "p.x", "p.y")

@@ -10,6 +10,7 @@ from orthoflow.operators.gridding import zoom_out
 from orthoflow.plans.fixtures import LAYER, TILES, layer, table, tiles
 from orthoflow.plans.measured import clip_sql, rounded
 from orthoflow.plans.registry import query
+from orthoflow.sources.scratch import stored
 
 
 def surface(spark, sf_dir):
@@ -46,20 +47,20 @@ m{i} AS MATERIALIZED (SELECT quantile_cont(abs(a * x + b * y + c - z), 0.5) AS m
 
 @query(f"WITH {SURFACE}, {plane_sql('pts', 3)} SELECT round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM b3")
 def plane_fit(spark, sf_dir):
-    p = S.fit_plane(surface(spark, sf_dir).cache(), iterations=3)
+    p = S.fit_plane(stored(surface(spark, sf_dir), "surface"), iterations=3)
     return rounded(spark.createDataFrame([(p.a, p.b, p.c)], "a double, b double, c double"), "a", "b", "c")
 
 
 @query(f"WITH {SURFACE}, {plane_sql('pts', 3)} " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS step, round(m, 6) AS mad FROM m{i}" for i in range(4)))
 def plane_mad_trace(spark, sf_dir):
-    p = S.fit_plane(surface(spark, sf_dir).cache(), iterations=3)
+    p = S.fit_plane(stored(surface(spark, sf_dir), "surface"), iterations=3)
     return rounded(spark.createDataFrame(list(enumerate(p.trace)), "step int, mad double"), "mad")
 
 
 @query(f"""WITH RECURSIVE sample AS MATERIALIZED (SELECT value AS v FROM events), {clip_sql("g", "sample")}
 SELECT round(mu, 6) AS mu, round(sg, 6) AS sigma, round(rmse, 6) AS rmse, n, CAST(rounds AS INTEGER) AS rounds FROM g""")
 def gaussian_clip(spark, sf_dir):
-    g = S.gaussian_clip(table(spark, sf_dir, "events").select("value").cache(), "value")
+    g = S.gaussian_clip(stored(table(spark, sf_dir, "events").select("value"), "values"), "value")
     return rounded(
         spark.createDataFrame([(g.mu, g.sigma, g.rmse, g.n, g.rounds)], "mu double, sigma double, rmse double, n long, rounds int"), "mu", "sigma", "rmse"
     )
@@ -87,7 +88,8 @@ def deramp(spark, sf_dir):
     z = zoom_out(layer(spark, sf_dir), 4, ["ew"], ["cc"])
     pts = z.select(
         linspace(F.col("c"), 16).alias("x"), linspace(F.col("r"), 16).alias("y"), mask_low_cc(F.col("ew"), F.col("cc"), -0.6).alias("z")
-    ).where(F.abs("z") <= 50).cache()
+    )
+    pts = stored(pts.where(F.abs("z") <= 50), "points")
     p = S.fit_plane(pts, iterations=3)
     stages = pts.select(F.lit("input").alias("stage"), F.col("z").alias("v")).unionByName(
         pts.select(F.lit("plane_corrected").alias("stage"), (F.col("z") - p.at(F.col("x"), F.col("y"))).alias("v"))

@@ -9,6 +9,7 @@ from orthoflow.operators.gridding import warp_parameters, zoom_out
 from orthoflow.functions.raster import mask_low_cc
 from orthoflow.plans.fixtures import GRID, LAYER, grid, layer, table
 from orthoflow.plans.registry import query
+from orthoflow.sources.scratch import stored
 
 
 def rounded(df, *columns):
@@ -92,5 +93,6 @@ def rmse_xy(spark, sf_dir):
     zoomed = zoom_out(layer(spark, sf_dir), 4, ["ew", "ns"], ["cc"])
     kept = zoomed.select(
         mask_low_cc(F.col("ew"), F.col("cc"), -0.6).alias("px1"), mask_low_cc(F.col("ns"), F.col("cc"), -0.6).alias("px2")
-    ).cache()
+    )
+    kept = stored(kept, "kept")
     return rounded(S.rmse_xy(kept, S.gaussian_clip(kept, "px1"), S.gaussian_clip(kept, "px2")), "rmse_xy")

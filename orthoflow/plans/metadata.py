@@ -51,20 +51,63 @@ def band_subset(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.select_bands(some, ["B03", "B04"]), ",").alias("bands"))
 
 
-_MODES = "(CASE p_size % 3 WHEN 0 THEN 'coregis' WHEN 1 THEN 'displacement' ELSE 'bathy' END)"
-_TEMPLATES = "CASE p_size % 3 WHEN 0 THEN '{}' WHEN 1 THEN '{}' ELSE '{}' END".format(*[T.template(m) for m in ("coregis", "displacement", "bathy")])
-
-
-@query(f"""SELECT p_partkey, {_MODES} AS mode, replace(regexp_replace({_TEMPLATES}, '<Symb> Inc=[0-9.]+ </Symb>', '<Symb> Inc=' || p_size || ' </Symb>'),
-'<Mask>MASK</Mask>', '<Mask>m' || p_partkey || '.tif</Mask>') AS params FROM part""")
+_LINES = """CASE p_size % 3 WHEN 0 THEN '<Symb> DirMEC=MEC/ </Symb>
+<Symb> Pyr=Pyram/ </Symb>' WHEN 1 THEN '<Symb> Dir=MEC/ </Symb>' ELSE '<Symb> Dir=MEC/ </Symb>
+<Symb> Pyr=PyramSat/ </Symb>' END"""
+
+
+@query(f"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'coregis' WHEN 1 THEN 'displacement' ELSE 'bathy' END AS mode, '<ParamMICMAC>
+<DicoLoc>
+<Symb> Im1=a' || p_partkey || '.tif </Symb>
+<Symb> Im2=b' || p_partkey || '.tif </Symb>
+<Symb> Masq=$m' || p_partkey || '.stop </Symb>
+' || {_LINES} || '
+<Symb> Inc=' || p_size || ' </Symb>
+<Symb> Pas=0.2 </Symb>
+<Symb> Teta0=0 </Symb>
+<Symb> UseMasq=true </Symb>
+<Symb> UseTeta=false </Symb>
+<Symb> RegulBase=' || CASE p_size % 3 WHEN 0 THEN '0.3' WHEN 1 THEN '0.2' ELSE '0.4' END || ' </Symb>
+<Symb> UseDequant=true </Symb>
+<Symb> SzW=' || p_size % 7 || ' </Symb>
+<Symb> CorrelMin=' || CASE p_size % 3 WHEN 1 THEN '0.2' ELSE '0.5' END || ' </Symb>
+<Symb> GammaCorrel=2 </Symb>
+<Symb> PdsF=0.1 </Symb>
+<Symb> NbDir=7 </Symb>
+' || (SELECT string_agg('<eSymb> P' || k || '= / ${{PdsF}} +   ${{PdsF}} / ' || k || ' ${{NbDir}} </eSymb>', chr(10) ORDER BY k) FROM range(8) t(k)) || '
+<Symb> VPds=[${{P0}},${{P1}},${{P2}},${{P3}},${{P4}},${{P5}},${{P6}},${{P7}},${{P6}},${{P7}},${{P4}},${{P3}},${{P2}},${{P1}}] </Symb>
+<eSymb> NbDirTot=* 2 ${{NbDir}} </eSymb>
+<eSymb> Regul=* ${{RegulBase}}  ? ${{UseTeta}} 3 1 </eSymb>
+' || CASE p_size % 3 WHEN 0 THEN '<Symb> SsResolOpt=4 </Symb>
+<eSymb> SsResolOptInterm1=* 4 ${{SsResolOpt}} </eSymb>
+<eSymb> SsResolOptInterm2=* 2 ${{SsResolOpt}} </eSymb>
+<Symb> Px1Moy=0 </Symb>
+<Symb> Px2Moy=0 </Symb>
+<Symb> ZoomInit=1 </Symb>
+<eSymb> WithZ4= SupEq ${{ZoomInit}} 4 </eSymb>
+<eSymb> WithZ2= SupEq ${{ZoomInit}} 2 </eSymb>
+' ELSE '' END || '</DicoLoc>
+</ParamMICMAC>' AS params FROM part""")
 def param_template(spark, sf_dir):
+    """Parameter texts of all modes with their images, mask, window and search area."""
     mode = F.when(F.col("p_size") % 3 == 0, "coregis").when(F.col("p_size") % 3 == 1, "displacement").otherwise("bathy")
-    mask = F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".tif"))
-    text = T.set_inputs(T.set_symbol(T.parameter_file(mode), "Inc", F.col("p_size")), F.lit("IM1"), F.lit("IM2"), mask)
+    named = lambda a, b: F.concat(F.lit(a), F.col("p_partkey").cast("string"), F.lit(b))
+    text = T.parameter_file(mode, window=F.col("p_size") % 7, search=F.col("p_size"))
+    text = T.set_inputs(text, named("a", ".tif"), named("b", ".tif"), named("$m", ".stop"))
     return table(spark, sf_dir, "part").select("p_partkey", mode.alias("mode"), text.alias("params"))
 
 
-@query("""SELECT p_partkey, '<FileOriMnt><NameFileMnt>' || p_name || '</NameFileMnt><NombrePixels>' || p_size * 100 || ' ' || p_size * 50 || '</NombrePixels></FileOriMnt>' AS xml FROM part""")
+@query("""SELECT p_partkey, '<?xml version="1.0" ?>
+<FileOriMnt>
+     <NameFileMnt>./' || p_name || '</NameFileMnt>
+     <NombrePixels>' || p_size * 100 || ' ' || p_size * 50 || '</NombrePixels>
+     <OriginePlani>0 0</OriginePlani>
+     <ResolutionPlani>1 1</ResolutionPlani>
+     <OrigineAlti>0</OrigineAlti>
+     <ResolutionAlti>1</ResolutionAlti>
+     <Geometrie>eGeomMNTFaisceauIm1PrCh_Px1D</Geometrie>
+</FileOriMnt>
+' AS xml FROM part""")
 def mask_xml(spark, sf_dir):
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select("p_partkey", T.mask_file(F.col("p_name"), size * 100, size * 50).alias("xml"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orthoflow.functions import raster as R
@@ -109,16 +108,19 @@ def project_point(spark, sf_dir):
 @query(f"""WITH {EDGES}, {LAYER}, d AS (SELECT l.r, l.c, det_id, i, row_number() OVER (PARTITION BY l.r, l.c ORDER BY (x1 - l.c) ** 2 + (y1 - l.r) ** 2, det_id, i) AS rn FROM layer l, edges)
 SELECT r, c, det_id, CAST(i AS INTEGER) AS i, CAST(rn AS INTEGER) AS rn FROM d WHERE rn <= 2""")
 def nearest_two(spark, sf_dir):
-    """The two nearest vertices of the footprints (a handful of rows) for each cell."""
-    v = F.broadcast(Y.edges(rings(spark)).select("det_id", "i", "x1", "y1"))
-    d = (F.col("x1") - F.col("c")) * (F.col("x1") - F.col("c")) + (F.col("y1") - F.col("r")) * (F.col("y1") - F.col("r"))
-    w = Window.partitionBy("r", "c").orderBy(d, "det_id", "i")
-    return layer(spark, sf_dir).select("r", "c").join(v).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("r", "c", "det_id", "i", "rn")
+    """The two nearest vertices of the footprints for each cell."""
+    vertices = Y.edges(rings(spark)).select("det_id", "i", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return Y.nearest(layer(spark, sf_dir).select("r", "c"), vertices, 2)
 
 
-@query()
+#: At the top and the bottom of the footprints, which are trapezoids, their left and right ends.
+ENDS = "ends AS (SELECT det_id, y1 AS y, min(x1) AS x0, max(x1) AS x1 FROM edges GROUP BY det_id, y1)"
+
+
+@query(f"""WITH {EDGES}, {ENDS} SELECT a.det_id AS id_a, b.det_id AS id_b, round(sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) / 2 * 63, 6) AS area
+FROM ends a JOIN ends b ON b.det_id = a.det_id + 1 AND b.y = a.y GROUP BY ALL""")
 def polygon_clip(spark, sf_dir):
-    """No SQL: pairwise intersections of neighbouring footprints; tested against areas worked out by hand."""
+    """Intersections of neighbouring footprints."""
     r = rings(spark)
     a, b = r.select(F.col("det_id").alias("id_a"), F.col("ring").alias("ring_a")), r.select(F.col("det_id").alias("id_b"), F.col("ring").alias("ring_b"))
     got = Y.intersections(a.join(b, F.col("id_b") == F.col("id_a") + 1))

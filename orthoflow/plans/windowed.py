@@ -57,10 +57,29 @@ def stretch_uint8(spark, sf_dir):
     return tiles(spark, sf_dir).select("tile", "r", "c", stretch(F.col("v"), F.min("v").over(w), F.max("v").over(w)).alias("v"))
 
 
-@query()
+def _mirrored(x: str) -> str:
+    return f"CASE WHEN {x} < 0 THEN -({x}) WHEN {x} > 7 THEN 14 - ({x}) ELSE {x} END"
+
+
+@query(f"""WITH {TILES}, frames AS (SELECT tile // 3 AS stack, tile % 3 AS k, r, c, v FROM tiles),
+whole AS (SELECT stack, min(v) AS low, max(v) AS high FROM frames GROUP BY stack HAVING count(*) = 192),
+y AS MATERIALIZED (SELECT stack, k, r, c, (v - low) / (high - low) * 255 AS v FROM frames JOIN whole USING (stack)),
+padded AS MATERIALIZED (SELECT stack, k, pr, pc, y.v FROM y JOIN (SELECT a AS pr, {_mirrored('CAST(a AS INTEGER)')} AS r FROM range(-3, 11) t(a)) USING (r)
+  JOIN (SELECT a AS pc, {_mirrored('CAST(a AS INTEGER)')} AS c FROM range(-3, 11) t(a)) USING (c)),
+pixels AS (SELECT stack, r, c FROM y WHERE k = 1),
+steps AS (SELECT dr, dc, a, b FROM range(-2, 3) t(dr), range(-2, 3) u(dc), range(-1, 2) v(a), range(-1, 2) w(b)),
+asked AS MATERIALIZED (SELECT stack, r, c, dr, dc, r + a AS mr, c + b AS mc, r + dr + a AS fr, c + dc + b AS fc FROM pixels, steps),
+own AS MATERIALIZED (SELECT q.*, v AS mv FROM asked q JOIN (SELECT stack, pr AS mr, pc AS mc, v FROM padded WHERE k = 1) USING (stack, mr, mc)),
+apart AS MATERIALIZED (SELECT stack, r, c, k, dr, dc, sum((mv - v) * (mv - v)) / 9 AS d FROM own JOIN (SELECT stack, k, pr AS fr, pc AS fc, v FROM padded) USING (stack, fr, fc) GROUP BY ALL),
+mixed AS (SELECT stack, r, c, sum(exp(-d / 4.0) * v) / sum(exp(-d / 4.0)) AS v FROM (SELECT *, r + dr AS pr, c + dc AS pc FROM apart) JOIN (SELECT stack, k, pr, pc, v FROM padded) USING (stack, k, pr, pc) GROUP BY ALL)
+SELECT stack, r, c, round(v / 255 * (high - low) + low, 6) AS v FROM mixed JOIN whole USING (stack)""")
 def nlm_denoise(spark, sf_dir):
-    """No SQL: patch weights are a tile function; tested against brute force."""
-    rows = tiles(spark, sf_dir).groupBy("tile", "r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("p"))
-    rows = rows.select("tile", "r", F.transform("p", lambda s: s["v"]).alias("row"))
-    data = rows.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda s: s["row"]).alias("data"))
-    return W.denoise_tiles(data, "tile long, data array<array<double>>", search=5, patch=3)
+    """Non-local means over stacks of three tiles."""
+    rows = tiles(spark, sf_dir).groupBy("tile", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("row"))
+    frames = rows.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda s: s["row"]).alias("data"))
+    stacks = frames.groupBy(F.floor(F.col("tile") / 3).alias("stack")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("tile", "data"))), lambda s: s["data"]).alias("frames")
+    )
+    done = W.denoise_frames(stacks.where(F.size("frames") == 3), "stack", search=5, patch=3)
+    cells = done.select("stack", F.posexplode("data").alias("r", "row")).select("stack", "r", F.posexplode("row").alias("c", "v"))
+    return cells.select("stack", "r", "c", F.round("v", 6).alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.functions.raster import two_dates
 
-#: Bands of a Sentinel-2 granule in order; B8A stands behind B08.
+#: The bands of a Sentinel-2 granule in order; B8A stands behind B08.
 S2_BANDS = ["B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B09", "B10", "B11", "B12"]
 
 
@@ -56,11 +56,30 @@ def select_bands(paths: Column, parts: list[str]) -> Column:
     return F.filter(paths, lambda p: F.exists(wanted, lambda w: F.contains(p, w)))
 
 
+def granules(files: DataFrame) -> DataFrame:
+    """Folders of scenes that hold the files (path): those whose names end in SAFE or start with LC8, and how many files lie in each."""
+    name = F.regexp_extract("path", r"/((?:[^/]*SAFE)|(?:LC8[^/]*))/(?:[^/]*)$", 1)
+    return files.select(name.alias("folder")).where("folder <> ''").groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
+
+
 def scene_folders(spark: SparkSession, root: str) -> DataFrame:
-    """Folders of scenes below root: those whose names end in SAFE or start with LC8, by Spark's file listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    name = F.regexp_extract("path", r"/((?:[^/]*SAFE)|(?:LC8[^/]*))/[^/]*$", 1)
-    return files.select(name.alias("folder")).where("folder <> ''").distinct()
+    """granules() below root, by Spark's file listing."""
+    return granules(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")).select("folder")
+
+
+def first_match(files: DataFrame, key: str, pattern: str) -> DataFrame:
+    """key and the smallest path whose file name matches a regular expression as a whole; keys without one have no row."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return files.where(name.rlike(f"^(?:{pattern})$")).groupBy(key).agg(F.min("path").alias("path"))
+
+
+def path_parts(path: Column) -> Column:
+    """folder, base, stem and extension (with its dot, empty without one) of a path; a leading dot starts no extension."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.struct(
+        F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), base.alias("base"),
+        F.regexp_extract(base, r"^(.+?)(?:\.[^.]*)?$", 1).alias("stem"), F.regexp_extract(base, r"^.+(\.[^.]*)$", 1).alias("extension"),
+    )
 
 
 def layers(files: DataFrame, only_multitemporal: bool = True, most: int | None = None) -> DataFrame:
@@ -116,3 +135,19 @@ def ring_of_wkt(text: Column) -> Column:
     points = F.split(F.trim(inner), r"\s*,\s*")
     number = lambda p, i: F.get(F.split(p, r"\s+"), F.lit(i)).cast("double")
     return F.transform(points, lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
+
+
+def footprints_of_gml(texts: DataFrame, dimension: int = 3) -> DataFrame:
+    """Detector footprints of mask texts (path, xml): path, gml_id, det_id, sensed, ring, and orbit order `i` within the text.
+
+    Features and their coordinate lists are met by their order; z is dropped. The
+    detector is the number in the third part of the id from the end.
+    """
+    ids = F.expr("xpath(xml, \"//*[local-name()='MaskFeature']/@*[local-name()='id']\")")
+    lists = F.expr("xpath(xml, \"//*[local-name()='posList']/text()\")")
+    each = texts.select("path", F.posexplode(F.arrays_zip(ids.alias("gml_id"), lists.alias("positions"))).alias("i", "f"))
+    part = F.element_at(F.split("f.gml_id", "-"), -3)
+    return each.select(
+        "path", "i", F.col("f.gml_id").alias("gml_id"), F.regexp_extract(part, r"(\d+)$", 1).cast("int").alias("det_id"),
+        sensing_date(F.col("path")).alias("sensed"), ring_of(F.col("f.positions"), dimension).alias("ring"),
+    )

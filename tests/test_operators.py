@@ -127,7 +127,7 @@ def test_denoise_keeps_flat_tiles_and_range(spark):
     rng = np.random.default_rng(2)
     noisy = rng.normal(size=(8, 8)).tolist()
     df = spark.createDataFrame([(1, [[3.0] * 8] * 8), (2, noisy)], "tile long, data array<array<double>>")
-    got = {r["tile"]: np.array(r["data"]) for r in windows.denoise_tiles(df, "tile long, data array<array<double>>", search=5, patch=3).collect()}
+    got = {r["tile"]: np.array(r["data"]) for r in windows.denoise_tiles(df, "tile", search=5, patch=3).collect()}
     assert np.allclose(got[1], 3.0)
     x = np.array(noisy)
     low, high = x.min(), x.max()
@@ -339,8 +339,10 @@ def test_correction_takes_off_plane_and_detectors(spark):
     found = correction.estimate(field, None, p)
     assert np.allclose(image(correction.apply(field, found, None, p), a.shape), 0, atol=1e-6)
     assert {r["stage"] for r in found.log.collect()} == {"input", "plane_corrected"}
-    all_pairs = correction.correct_pairs(field.withColumn("pair", F.lit(1)), "pair", p)
-    assert np.allclose(image(all_pairs, a.shape), 0, atol=1e-6)
+    both = field.select(F.lit(1).alias("pair"), "r", "c", F.col("v").alias("px1"), (-F.col("v")).alias("px2"), "cc")
+    done = correction.correct_all(both, "pair", None, p)
+    for axis in ("px1", "px2"):
+        assert np.allclose(image(done.fields.withColumn("v", F.col(axis)), a.shape), 0, atol=1e-6)
 
 
 def test_all_pairs_are_corrected_like_one(spark):
@@ -350,7 +352,7 @@ def test_all_pairs_are_corrected_like_one(spark):
     sf = "/root/testdata/sf0.001"
     key = lambda rows: {(r["r"], r["c"]): r["v"] for r in rows}
     one = key(QUERIES["correction_pipeline"](spark, sf).collect())
-    many = key(QUERIES["correct_all_steps"](spark, sf).where("k = 1").collect())
+    many = key(QUERIES["correct_all"](spark, sf).where("k = 1").withColumn("v", F.col("px1")).collect())
     assert one.keys() == many.keys()
     for at, v in one.items():
         assert v == many[at] or abs(v - many[at]) < 1e-5
@@ -394,12 +396,96 @@ def test_layer_listing(spark):
 def test_tiff_round_trip(spark, tmp_path, dtype):
     a = (np.random.default_rng(6).uniform(0, 200, (7, 9))).astype(dtype)
     (tmp_path / "a.tif").write_bytes(rasters.encode(a, (300000.0, 10.0, 0, 4900020.0, 0, -10.0)))
-    got = image(rasters.read_tiff(spark, str(tmp_path)), a.shape)
+    got = image(rasters.read_tiff(rasters.tiff_files(spark, str(tmp_path))), a.shape)
     assert np.array_equal(got, a.astype(float))
-    content = rasters.as_tiff(rasters.read_tiff(spark, str(tmp_path)), 7, 9, "path", dtype).first()["content"]
+    content = rasters.as_tiff(rasters.read_tiff(rasters.tiff_files(spark, str(tmp_path))), 7, 9, "path", dtype).first()["content"]
     assert np.array_equal(rasters.decode(bytes(content)), a)
 
 
+def lzw(data):
+    """A TIFF's LZW stream, written with a plain table."""
+    codes, table, now, width, out = [(256, 9)], {bytes([k]): k for k in range(256)}, b"", 9, 0
+    size = 258
+    for k in range(len(data)):
+        if now + data[k : k + 1] in table:
+            now += data[k : k + 1]
+            continue
+        codes.append((table[now], width))
+        table[now + data[k : k + 1]] = size
+        size += 1
+        width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
+        now = data[k : k + 1]
+        if size == 4094:
+            codes.append((table[now], width))
+            codes.append((256, width))
+            table, size, width, now = {bytes([k]): k for k in range(256)}, 258, 9, b""
+    if now:
+        codes.append((table[now], width))
+        size += 1
+        width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
+    codes.append((257, width))
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_unpacking():
+    rng = np.random.default_rng(4)
+    for data in (b"aaaaaaaaabababab" * 9, bytes(rng.integers(0, 4, 3000, dtype=np.uint8)), bytes(rng.integers(0, 256, 20_000, dtype=np.uint8))):
+        assert rasters.unpacked_lzw(lzw(data)) == data
+    assert rasters.unpacked_bits(b"\x02abc\xfed\x80\x00e") == b"abcddde"
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_windows_of_files(spark, compress):
+    a = np.arange(70, dtype="int16").reshape(7, 10)
+    data = rasters.encode(a, None, compress)
+    assert np.array_equal(rasters.decode(data, (2, 4, 3, 99)), a[2:5, 3:])
+    files = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
+    got = {(r["r"], r["c"]): r["v"] for r in rasters.read_tiff(files, (-5, 1, 8, 9)).collect()}
+    assert got == {(r, c): a[r, c] for r in (0, 1) for c in (8, 9)}
+
+
+def test_frames_are_denoised_together(spark):
+    x = np.random.default_rng(5).normal(size=(3, 9, 9))
+    df = spark.createDataFrame([("s", x.tolist())], "stack string, frames array<array<array<double>>>")
+    got = np.array(windows.denoise_frames(df, "stack", search=3, patch=3, window=3).first()["data"])
+    low, high = x.min(), x.max()
+    y = [np.pad((f - low) / (high - low) * 255, 2, mode="reflect") for f in x]
+    i, j = 4, 7
+    own = y[1][i + 1 : i + 4, j + 1 : j + 4]
+    seen = [(np.exp(-((y[k][i + 1 + a : i + 4 + a, j + 1 + b : j + 4 + b] - own) ** 2).mean() / 4), y[k][i + 2 + a, j + 2 + b]) for k in range(3) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    want = sum(w * v for w, v in seen) / sum(w for w, _ in seen) / 255 * (high - low) + low
+    assert abs(got[i, j] - want) < 1e-9
+    with pytest.raises(ValueError):
+        windows.denoise_frames(df, "stack", window=2)
+
+
+def test_bands_beyond_the_grid_are_refused(spark):
+    from orthoflow.plans import correction as plans
+
+    offsets = spark.createDataFrame([(0, 0, 1.0, 0.0)], "r int, c int, px1 double, px2 double")
+    band = spark.createDataFrame([(0, 0, 5)], "r int, c int, v int")
+    with pytest.raises(ValueError, match="cover"):
+        correction.correct_bands({"b": (band, plans.BASE | {"cols": 65})}, offsets, plans.BASE)
+
+
+def test_many_rings_are_shuffled_without_loss(spark):
+    rng = np.random.default_rng(3)
+    boxes = [(k, x, y, x + w, y + h) for k, (x, y, w, h) in enumerate(rng.integers(0, 150, (40, 4)).tolist())]
+    rings = spark.createDataFrame(
+        [(k, [(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d)), (float(a), float(b))]) for k, a, b, c, d in boxes],
+        "det_id int, ring array<struct<x:double,y:double>>",
+    )
+    cells = spark.range(300).select(F.col("id").cast("int").alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(299), F.lit(7))))
+    want = {(r, c): max((k for k, x0, y0, x1, y1 in boxes if x0 <= c <= x1 and y0 <= r <= y1), default=None) for r in range(300) for c in range(0, 300, 7)}
+    for most in (10**6, 1):
+        got = {(x["r"], x["c"]): x["det_id"] for x in geometry.zones(cells, rings, most).collect()}
+        assert got == {k: v for k, v in want.items() if v is not None}
+    points = spark.createDataFrame([(k, 0, float(a), float(b)) for k, a, b, _, _ in boxes], "det_id int, i int, x double, y double")
+    few = cells.where("r < 9")
+    assert sorted(map(tuple, geometry.nearest(few, points, 3, 5).collect())) == sorted(map(tuple, geometry.nearest(few, points, 3).collect()))
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         rasters.decode(b"PNG.....")
@@ -463,7 +549,7 @@ def test_grids(spark):
 def test_raster_information(spark, tmp_path):
     gt = (300000.0, 10.0, 0.0, 4900020.0, 0.0, -10.0)
     (tmp_path / "a.tif").write_bytes(rasters.encode(np.zeros((3, 5), "uint16"), gt))
-    row = rasters.tiff_info(spark, str(tmp_path)).first()
+    row = rasters.tiff_info(rasters.tiff_files(spark, str(tmp_path))).first()
     assert (row["rows"], row["cols"], row["tiled"], tuple(row["geotransform"])) == (3, 5, False, gt)
     meta = spark.createDataFrame([("a", "b", [1.0], "x")], "raster string, ref string, geotransform array<double>, srs_wkt string")
     ref = spark.createDataFrame([("b", [2.0], "y")], "raster string, geotransform array<double>, srs_wkt string")
