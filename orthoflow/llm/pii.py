@@ -202,15 +202,13 @@ def discovered(docs: DataFrame, extract: float = EXTRACT) -> DataFrame:
     return best.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("extra"))
 
 
-def _with_spans(docs: DataFrame, found: str, base: str) -> DataFrame:
-    """docs with the columns found (all spans) and base (those of base patterns), each row by its own id and text."""
-    extra_id, extra_hash, extra = (fresh(docs, x) for x in ("_extra_id", "_extra_hash", "_extra"))
+def _with_spans(docs: DataFrame, rows: DataFrame, text_hash: str, found: str, base: str) -> DataFrame:
+    """rows of docs, which have doc_id, text_hash and base (those of base patterns), with all spans in found."""
+    extra_id, extra_hash, extra = (fresh(rows, x) for x in ("_extra_id", "_extra_hash", "_extra"))
     more = discovered(docs).toDF(extra_id, extra_hash, extra)
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    same = docs["doc_id"].eqNullSafe(more[extra_id]) & (F.xxhash64(docs["text"]) == more[extra_hash])
-    rows = docs.withColumn(base, base_spans(text)).join(more, same, "left")
+    same = rows["doc_id"].eqNullSafe(more[extra_id]) & (rows[text_hash] == more[extra_hash])
     new = F.filter(F.coalesce(extra, nothing()), lambda s: ~overlaps(s, F.col(base)))
-    return rows.withColumn(found, F.array_sort(F.concat(base, new))).drop(extra_id, extra_hash, extra)
+    return rows.join(more, same, "left").withColumn(found, F.array_sort(F.concat(base, new))).drop(extra_id, extra_hash, extra, text_hash)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -221,7 +219,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     id and text get equal results; further columns are ignored. An empty table
     gives an empty result; texts are read whole, however long.
     """
-    return _with_spans(docs.select("doc_id", "text"), "found", "base").select("doc_id", "found", "base")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # texts are not carried through the join
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), base_spans(text).alias("base"))
+    return _with_spans(docs, rows, "text_hash", "found", "base").select("doc_id", "found", "base")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -238,9 +239,10 @@ def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     what lies behind it. Null texts are empty; a column `redacted` of docs is
     replaced.
     """
-    found, base = fresh(docs, "_found"), fresh(docs, "_base")
-    rows = _with_spans(docs.drop("redacted"), found, base)
+    docs = docs.drop("redacted")
+    found, base, text_hash = fresh(docs, "_found"), fresh(docs, "_base"), fresh(docs, "_hash")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = _with_spans(docs, docs.withColumns({base: base_spans(text), text_hash: F.xxhash64("text")}), text_hash, found, base)
     before, after = mark.split("{kind}")
 
     def step(acc: Column, s: Column) -> Column:
