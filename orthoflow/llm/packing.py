@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 OPEN_BINS = 1024
 LOOKAHEAD = 1024
-#: Words, and parts of words, whose ids are held in memory.
+#: Parts of words whose ids are held in memory.
 CACHED = 400_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: Texts of these characters alone can be cut at white space; others go to the tokenizer whole.
-_OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
+#: Texts of these characters alone can be cut into parts here; others go to the tokenizer whole.
+_KNOWN = bytes([9, 10, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
@@ -38,13 +38,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def known(text: str) -> bool:
+    """Whether a text has no character but those of _KNOWN, and no special token."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not raw.translate(None, _KNOWN) and b"<|" not in raw
+
+
 class Ids:
     """Token ids of a text as little-endian unsigned 32-bit numbers, the same as the tokenizer's.
 
     words=True is for the lower-casing word-level vocabulary: there no token
-    spans white space, so each distinct word is tokenised once while it stays in
-    the cache. Any other file, and any text with unusual characters, goes through
-    the tokenizer as a whole.
+    spans two parts of a word, so each distinct part is tokenised once while it
+    stays in the cache. Any other file, and any text with unusual characters, goes
+    through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, words: bool = True) -> None:
@@ -70,12 +79,11 @@ class Ids:
                 x = x.encode().decode("latin-1").translate(letters)
             return b"".join(t.id.to_bytes(4, "little") for t in part(x))
 
-        parts = Cache(of_part)
-        self.cache = Cache(lambda w: b"".join([parts[x] for x in _PARTS.findall(w.lower())]))
+        self.parts = Cache(of_part)
 
     def __call__(self, text: str) -> bytes:
-        if self.words and not _OTHER.search(text):
-            return b"".join(map(self.cache.__getitem__, text.split()))
+        if self.words and known(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
