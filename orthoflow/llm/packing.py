@@ -10,10 +10,10 @@ open bins and the word cache.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,13 +22,19 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 OPEN_BINS = 1024
 LOOKAHEAD = 1024
-#: Parts of words whose ids are held in memory.
-CACHED = 400_000
+#: Parts of words whose ids are held in memory, and characters of texts whose ids are made together.
+CACHED, TOGETHER = 800_000, 4 << 20
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 #: Texts of these characters alone can be cut into parts here; others go to the tokenizer whole.
 _KNOWN = bytes([9, 10, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+#: What a lower-case character is: 0 white space, 1 letter, 2 digit, 3 any other.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_CLASS[48:58] = 2
+#: Letters that belong to an apostrophe before them.
+_ONE, _TWO = b"stmd", (b"re", b"ve", b"ll")
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,13 +53,37 @@ def known(text: str) -> bool:
     return not raw.translate(None, _KNOWN) and b"<|" not in raw
 
 
+def part_starts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a part of a word starts in lower-case text that ends in three blanks, and where no white space is.
+
+    Parts are runs of letters, single digits, runs of other characters, and an
+    apostrophe that starts such a run together with the letters it takes.
+    """
+    kind = _CLASS[raw]
+    solid = kind != 0
+    starts = np.empty(len(raw), bool)
+    starts[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts |= kind == 2
+    starts &= solid
+    quote = np.flatnonzero((raw == ord("'")) & starts)
+    one, two = raw[quote + 1], raw[quote + 2]
+    short = np.isin(one, np.frombuffer(_ONE, np.uint8))
+    long = np.any([(one == a) & (two == b) for a, b in _TWO], axis=0)
+    starts[quote[short | long] + 1] = False
+    after = np.concatenate([quote[short] + 2, quote[long] + 3])
+    starts[after[solid[after]]] = True
+    # what is no letter starts a part there anyway
+    return starts, solid
+
+
 class Ids:
-    """Token ids of a text as little-endian unsigned 32-bit numbers, the same as the tokenizer's.
+    """Token ids of texts as little-endian unsigned 32-bit numbers, the same as the tokenizer's.
 
     words=True is for the lower-casing word-level vocabulary: there no token
-    spans two parts of a word, so each distinct part is tokenised once while it
-    stays in the cache. Any other file, and any text with unusual characters, goes
-    through the tokenizer as a whole.
+    spans two parts of a word, so many texts are cut into parts at once, and each
+    distinct part is tokenised once while it stays in the cache. Any other file, and
+    any text with unusual characters, goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, words: bool = True) -> None:
@@ -74,18 +104,68 @@ class Ids:
                 found = self[key] = self.make(key)
                 return found
 
-        def of_part(x: str) -> bytes:
-            if not x.isascii():
-                x = x.encode().decode("latin-1").translate(letters)
-            return b"".join(t.id.to_bytes(4, "little") for t in part(x))
+        def of_part(x: bytes) -> bytes:
+            text = x.decode("latin-1")
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(letters)
+            return b"".join(t.id.to_bytes(4, "little") for t in part(text))
 
         self.parts = Cache(of_part)
 
     def __call__(self, text: str) -> bytes:
-        if self.words and known(text):
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return next(self.many([text]))
+
+    def many(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """The ids of each text, about TOGETHER characters at a time."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            if not self.words or not known(text):
+                yield from self._together(held)
+                held, size = [], 0
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield np.asarray(ids, "<u4").tobytes()
+                continue
+            raw = text.lower().encode("latin-1")
+            if size + len(raw) > TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+            if len(raw) > TOGETHER:  # cut where no part is
+                cuts = [0, *(raw.find(b" ", k) for k in range(TOGETHER, len(raw), TOGETHER))]
+                cuts = sorted({k for k in cuts if k >= 0}) + [len(raw)]
+                yield b"".join(ids for a, b in zip(cuts, cuts[1:]) for ids in self._together([raw[a:b]]))
+                continue
+            held.append(raw)
+            size += len(raw)
+        yield from self._together(held)
+
+    def _together(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of lower-cased texts: those of each distinct part, gathered for all its places."""
+        if not texts:
+            return
+        raw = np.frombuffer(b" ".join(texts) + b"   ", np.uint8)
+        starts, solid = part_starts(raw)
+        data = raw[solid]
+        offsets = np.append(np.flatnonzero(starts[solid]), len(data))
+        count = len(offsets) - 1
+        if not count:
+            yield from [b""] * len(texts)
+            return
+        parts = pa.Array.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        _, bounds, blob = coded.dictionary.buffers()
+        bounds, blob = np.frombuffer(bounds, np.int64, len(coded.dictionary) + 1).tolist(), blob.to_pybytes()
+        table = [self.parts[blob[a:b]] for a, b in zip(bounds, bounds[1:])]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        first, place = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[place]
+        ends = np.append(0, np.cumsum(each))
+        at = np.repeat(first[place] - ends[:-1], each) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(table), "<u4")[at].tobytes()
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = (4 * ends[np.searchsorted(np.flatnonzero(starts), begin)]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b]
 
 
 class Bins:
@@ -150,8 +230,9 @@ def pack(
             for lo in range(0, batch.num_rows, LOOKAHEAD):
                 part = batch.slice(lo, LOOKAHEAD)
                 pieces = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    data = ids_of(text or "") + b"\0\0\0\0"
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc_id, data in zip(part.column(0).to_pylist(), ids_of.many(texts)):
+                    data += b"\0\0\0\0"
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)

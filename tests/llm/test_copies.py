@@ -356,6 +356,17 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("together", [1, 300, packing.TOGETHER])
+def test_ids_of_many_texts_are_those_of_each(tokenizer, together, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    ids, rng = packing.Ids(tokenizer), random.Random(8)
+    letters = "abcXYZéÉßñ'.,!-_0123  \n\t\r\"#\u3000\x0b\xa0\x85"
+    texts = TEXTS + ["", " ", "\n a", "<|endoftext|> x"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(80)]
+    texts += ["".join(rng.choice(letters[:20]) for _ in range(rng.randrange(200))) for _ in range(80)]
+    assert list(ids.many(texts)) == [ids(t) for t in texts]
+    assert list(ids.many([])) == [] and list(packing.Ids(tokenizer, words=False).many(texts[:9])) == [ids(t) for t in texts[:9]]
+
+
 def test_packing_holds_every_id_once(documents, tokenizer):
     rng = random.Random(6)
     rows = [(i, sentence(rng, rng.randrange(1, 120))) for i in range(200)] + [(i, t) for i, t in ODD if i != 7] + [(7, sentence(rng, 4000))]
