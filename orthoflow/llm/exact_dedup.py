@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.scratch import attach, fresh, stored
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
+#: Numbers of equal rows that a task makes from one row at most.
+CHUNK = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -53,6 +55,23 @@ def content_groups(docs: DataFrame, salts: int = 64, digest: Callable[[Column],
     )
 
 
+def numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """Each row of rows (columns key) with its number among its equals, copy, from 1.
+
+    Equal rows are counted, in each task first, and made anew from their count:
+    no task holds a group. Beyond CHUNK of them the numbers are made in several tasks.
+    """
+    counted = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "counted-rows")
+    few = counted.where(F.col("n") <= CHUNK).select(*key, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    many = counted.where(F.col("n") > CHUNK)
+    if many.isEmpty():
+        return few
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
+    parts = many.withColumn("part", part).repartition(*key, "part")
+    copies = F.sequence(F.col("part") * CHUNK + 1, F.least((F.col("part") + 1) * CHUNK, F.col("n")))
+    return few.unionByName(parts.select(*key, F.explode(copies).alias("copy")))
+
+
 def exact_duplicates(docs: DataFrame, salts: int = 64, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, copy.
 
@@ -64,17 +83,16 @@ def exact_duplicates(docs: DataFrame, salts: int = 64, digest: Callable[[Column]
     """
     groups = stored(content_groups(docs, salts, digest), "content-groups")
     content = normalised(F.col("text"))
-    rows = stored(docs.select("doc_id", digest(content).alias("text_sha256")), "digests")
-    joined = attach(rows, groups, "text_sha256", "group_size").withColumn("apart", F.lit(None).cast("string"))
+    rows = numbered(docs.select("doc_id", digest(content).alias("text_sha256")), "doc_id", "text_sha256")
+    joined = attach(rows, groups, "text_sha256", "group_size")
     shared = groups.where("contents > 1").select("text_sha256")
     if not shared.isEmpty():
         own = docs.select("doc_id", digest(content).alias("text_sha256"), content.alias("apart")).join(shared, "text_sha256")
         own = stored(own, "shared-digests")
         by_content = own.groupBy("text_sha256", "apart").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        joined = joined.where("contents = 1").drop("contents").unionByName(own.join(by_content, ["text_sha256", "apart"]))
-    # rows with one id and one text: the first of them alone is kept
-    copy = F.row_number().over(Window.partitionBy("text_sha256", "apart", "doc_id").orderBy("keep_id"))
-    return joined.withColumn("copy", copy).select(
+        own = numbered(own, "doc_id", "text_sha256", "apart").join(by_content, ["text_sha256", "apart"]).drop("apart")
+        joined = joined.where("contents = 1").drop("contents").unionByName(own)
+    return joined.select(
         "doc_id",
         "keep_id",
         "group_size",

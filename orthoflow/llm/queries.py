@@ -33,7 +33,7 @@ SELECT doc_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
        text_sha256,
-       CAST(row_number() OVER (PARTITION BY text_sha256, doc_id) AS INTEGER) AS copy
+       row_number() OVER (PARTITION BY text_sha256, doc_id) AS copy
 FROM rows
 """
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orthoflow.llm import packing, queries, scratch, sharding, simhash
+from orthoflow.llm import exact_dedup, packing, queries, scratch, sharding, simhash
 from orthoflow.llm.decontamination import contamination, drop_contaminated, matches
 from orthoflow.llm.exact_dedup import drop_duplicates, exact_duplicates
 
@@ -59,6 +59,16 @@ def test_contents_that_share_a_digest_stay_apart(documents):
         assert sorted(map(key, exact_duplicates(documents(rows), digest=weak).collect())) == want
 
 
+def test_repeated_rows_are_numbered_in_chunks(documents, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CHUNK", 10)
+    rows = [(None, "a b")] * 95 + [(1, "a  b")] * 20 + [(2, "c")] * 3 + [(3, None)]
+    for digest in (exact_dedup.sha256, lambda c: F.substring(c, 1, 0)):
+        got = exact_duplicates(documents(rows), digest=digest).collect()
+        copies = sorted((r["group_size"], r["doc_id"] or 0, r["copy"]) for r in got)
+        assert copies == [(1, 3, 1)] + [(3, 2, k + 1) for k in range(3)] + [(115, 0, k + 1) for k in range(95)] + [(115, 1, k + 1) for k in range(20)]
+        assert sorted((r["doc_id"], r["copy"]) for r in got if r["kept"]) == [(1, 1), (2, 1), (3, 1)]
+
+
 def fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
