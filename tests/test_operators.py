@@ -297,8 +297,8 @@ def test_pairs_by_date_take_all_scenes(spark):
     dates = [r["date"] for r in scenes(spark, sf).collect()]
     split = datetime.date(1998, 1, 1)
     early = sum(d < split for d in dates)
-    assert QUERIES["pairs_star_by_date_all"](spark, sf).count() == len(dates) - 1
-    assert QUERIES["pairs_before_after_all"](spark, sf).count() == 2 * early * (len(dates) - early)
+    assert QUERIES["pairs_star_by_date"](spark, sf).count() == len(dates) - 1
+    assert QUERIES["pairs_before_after"](spark, sf).count() == 2 * early * (len(dates) - early)
 
 
 def test_polygons(spark):
