@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+_current: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,29 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, with no lineage before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orthoflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """Stored tables that one run owns, below a folder of its own.
+
+    Within `with Tables(spark):` whatever stored() writes in this thread belongs to
+    the block and is deleted at its end; what still reads these tables fails then.
+    """
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/orthoflow/{uuid.uuid4().hex}"
 
-def marked() -> int:
-    """How many tables stored() has written in this process and not released."""
-    return len(_made)
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df to the folder and reads it back, with no lineage before it."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> bool:
+        """Deletes the folder; whether there was any."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def release(spark: SparkSession, since: int = 0, kept: int = 0) -> int:
-    """Deletes what stored() has written in this process after the first `since` tables, but for the last `kept` ones.
+    def __enter__(self) -> Tables:
+        self._token = _current.set(self)
+        return self
 
-    Call it when results are safe: what still reads these tables fails then.
-    """
-    paths = _made[since : len(_made) - kept]
-    _made[since : len(_made) - kept] = []
-    n = 0
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+    def __exit__(self, *_: object) -> None:
+        _current.reset(self._token)
+        self.release()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A stored table of the Tables block that this runs in; outside of one it stays until its folder is deleted."""
+    return (_current.get() or Tables(df.sparkSession)).stored(df, name)
