@@ -15,7 +15,7 @@ from orthoflow.llm.decontamination import drop_contaminated
 from orthoflow.llm.exact_dedup import drop_duplicates
 from orthoflow.llm.packing import pack
 from orthoflow.llm.queries import table, word_tokenizer
-from orthoflow.llm.scratch import marked, release, stored
+from orthoflow.llm.scratch import Tables
 from orthoflow.llm.simhash import drop_near_duplicates
 
 #: No SQL: the language profiles, the fingerprints and the tokenizer have no SQL form.
@@ -60,10 +60,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each of them keeps is written before the next one reads it.
 
     As soon as a stage's rows are written, the tables that led to them, those of
-    the stage before included, are deleted from the shared folder.
+    the stage before included, are deleted from the shared folder. Only tables of
+    this run are.
     """
-    docs, since = table(spark, sf_dir, "documents"), marked()
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        release(spark, since, kept=1)
+        own = Tables(spark)
+        with Tables(spark):
+            docs = own.stored(stage(spark, docs, sf_dir), name)
+        if before:
+            before.release()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
