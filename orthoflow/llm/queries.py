@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoflow.llm import pii, quality, secret_scan, toxicity
+from orthoflow.llm import periods, pii, quality, secret_scan, suffixes, toxicity
+from orthoflow.llm.collocations import collocations
 from orthoflow.llm.decontamination import contamination
 from orthoflow.llm.exact_dedup import exact_duplicates
 from orthoflow.llm.langid import held_out, identify
@@ -206,6 +207,75 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document."""
+    return periods.report(periods.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its strings of 400 bytes that start anywhere else as well."""
+    return suffixes.report(suffixes.kept_texts(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT k, s, md5_number(b[s:s + 399]) AS h FROM (SELECT k, b, unnest(range(1, octet_length(b) - 398)) AS s FROM d WHERE octet_length(b) >= 400)
+), again AS (
+  SELECT k, s FROM starts WHERE h IN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1)
+), steps AS (
+  SELECT k, s, s - coalesce(lag(s) OVER (PARTITION BY k ORDER BY s), -1000000) > 400 AS new FROM again
+), numbered AS (
+  SELECT k, s, sum(CAST(new AS INT)) OVER (PARTITION BY k ORDER BY s) AS run FROM steps
+), spans AS (
+  SELECT k, run, min(s) AS a, max(s) + 399 AS z FROM numbered GROUP BY k, run
+), kept AS (
+  SELECT k, a - 1 AS z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) + 1 AS a FROM (FROM (SELECT k, a, z FROM spans) UNION ALL SELECT k, octet_length(b) + 1, octet_length(b) + 1 FROM d)
+), texts AS (
+  SELECT k, unhex(string_agg(hex(b[a:z]), '' ORDER BY a)) AS own FROM kept JOIN d USING (k) WHERE z >= a GROUP BY k
+), sums AS (
+  SELECT k, sum(z - a + 1) AS removed, count(*) AS n FROM spans GROUP BY k
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(coalesce(own, ''::BLOB)) AS kept_sha256
+FROM d LEFT JOIN sums USING (k) LEFT JOIN texts USING (k)
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), phrases AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM phrases WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[:c], ' ') AS part, array_to_string(w[c + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)
+), scores AS (
+  SELECT cuts.lang, cuts.phrase, a, c, p.f AS l, q.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (p.f + q.f) AS BIGINT) AS score
+  FROM cuts JOIN phrases p ON p.lang = cuts.lang AND p.phrase = part JOIN phrases q ON q.lang = cuts.lang AND q.phrase = rest
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), kept AS (
+  SELECT * FROM lowest x WHERE NOT EXISTS (
+    FROM candidates y WHERE y.lang = x.lang AND y.k > len(string_split(x.phrase, ' ')) AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= 80 * x.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -217,5 +287,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_collocations": op13_collocations,
+}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
+    "op9_secret_scan": OP9_SQL,
+    "op12_suffix_dedup": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_secret_scan": OP9_SQL}

@@ -1,6 +1,6 @@
 """Joins that survive a hot key, and samples of a bounded size.
 
-stored() and release() are those of orthoflow.sources.scratch.
+stored() and Tables are those of orthoflow.sources.scratch.
 """
 
 from __future__ import annotations
@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.sources.scratch import marked, release, shared_dir, stored
+from orthoflow.sources.scratch import Tables, shared_dir, stored
 
-__all__ = ["attach", "fresh", "hashed_below", "labelled_sample", "marked", "release", "shared_dir", "stored", "train_fraction"]
+__all__ = ["Tables", "attach", "fresh", "hashed_below", "labelled_sample", "shared_dir", "stored", "train_fraction"]
 
 #: A group with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 200

@@ -454,9 +454,14 @@ def test_packing_is_what_plain_python_makes(documents, tokenizer):
     assert list(map(tuple, got)) == want
 
 
-def test_scratch_tables_are_released(spark):
-    df = scratch.stored(spark.range(5), "five")
-    assert df.count() == 5 and scratch.release(spark) >= 1
+def test_scratch_tables_belong_to_their_block(spark):
+    with scratch.Tables(spark) as outer:
+        one = scratch.stored(spark.range(5), "five")
+        with scratch.Tables(spark) as inner:
+            assert scratch.stored(one, "five").count() == 5
+        assert not inner.release() and one.count() == 5
+    assert not outer.release()
+    assert scratch.stored(spark.range(5), "five").count() == 5
 
 
 def test_samples_are_sound_at_any_size(spark, documents):

@@ -56,5 +56,13 @@ def test_run_deletes_what_earlier_stages_stored(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
     corpus_pipeline.run(spark, SF).count()
-    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "orthoflow").iterdir()}
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "orthoflow").glob("*/*")}
     assert left == {"decontaminate"}
+
+
+def test_two_runs_in_one_driver_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())), range(2))
+    assert one == two and one
