@@ -27,7 +27,7 @@ DEPTH = 4
 LEAST = 30
 BEST = 2000
 #: Words that one trie of a shard is made from, and bytes of text for each prefix range.
-SHARD_WORDS, RANGE_BYTES = 1 << 22, 16 << 20
+SHARD_WORDS, RANGE_BYTES = 1 << 20, 8 << 20
 #: Texts and, of each, phrases that splitters are sampled from.
 SAMPLED_TEXTS, SAMPLED_PHRASES = 2_000, 25
 #: Parts of each language that are ranked before the best of all parts are.
