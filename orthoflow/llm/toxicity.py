@@ -1,19 +1,21 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of terms (words and word beginnings), found
-by their odds in a labelled sample, and patterns of punctuation and case. Where a
-row has a label, an annotator votes as well, and the first guess follows it. A
-generative label model estimates each voter's accuracy by class and the
-correlation of voters within a class, and gives posterior labels to labelled and
-unlabelled rows; a linear classifier over terms is trained on those.
+Voters look at a text and at nothing else: insults that need no label, lexicons
+of terms (words and word beginnings), and patterns of address, marks and case.
+Labels choose the terms of the lexicons in a bounded sample, and no more. A
+generative label model is fitted to the votes of all rows: it estimates each
+voter's precision and the correlation of voters within a class, and gives each
+combination of votes a posterior. A linear classifier over terms is trained on
+the posterior labels of a bounded sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.langid import _rows_of, held_out
-from orthoflow.llm.scratch import hashed_below, labelled_sample, train_fraction
+from orthoflow.llm.scratch import labelled_sample
 
-#: So many labelled rows are read to learn at most; unlabelled rows, which the label model labels, are a share of that at most.
-MAX_TRAIN_ROWS, UNLABELLED = 10_000, 0.3
-#: Lexicon voters, and the rows that a term needs.
-LEXICONS, SUPPORT = 24, 5
-#: Terms of the classifier are toxic in half of their labelled rows at least, or so many times rarer in toxic rows than in others.
+#: So many labelled rows are read to choose terms, and the classifier is trained on their posteriors.
+MAX_TRAIN_ROWS = 10_000
+#: Lexicon voters, and the toxic rows that a term needs. There are at most 2**(voters) combinations of votes.
+LEXICONS, SUPPORT = 14, 3
+#: Terms of the classifier are toxic in half of their rows at least, or so many times rarer in toxic rows than in others.
 CLEAN_ODDS = 4
 #: Share of a lexicon term's labelled rows that are toxic, at least.
 PRECISION = 0.8
@@ -55,28 +57,72 @@ def bag_of(text: str | None) -> tuple[list[str], list[int], int]:
     return list(counts), list(counts.values()), len(words)
 
 
-def patterns_of(text: str | None) -> list[int]:
-    """Votes of the pattern voters: 1 toxic, -1 clean, 0 none."""
-    text = text or ""
-    letters = sum(map(text.count, "aeiounrst")) + 1
-    capitals = sum(map(text.count, "AEIOUNRST"))
-    marks = text.count("!")
-    you = len(re.findall(r"\b(?:you|your|tu|du|vous|usted)\b", text, re.I))
-    return [
-        1 if capitals > letters and marks > 3 else 0,
-        1 if you > 3 and marks else 0,
-        -1 if text.count("\n") > 40 else 0,
-        -1 if re.search(r"\b(?:licen[sc]ed?|copyright|all rights reserved)\b", text, re.I) else 0,
-    ]
+_ORDER = re.compile(r"\b(?:shut up|get lost|get out|go away|go to hell|screw you|drop dead)\b")
+_TERMS = re.compile(r"\b(?:licen[sc]ed?|copyright|all rights reserved|terms of use)\b")
+_YOU = {"you", "your", "youre", "ya", "tu", "toi", "vous", "du", "dich", "ihr", "usted", "eres"}
+#: Voters beside the lexicons, with the precision that they are thought to have before any text is seen.
+OTHERS = {"seeds": 0.8, "address": 0.5, "orders": 0.5, "marks": 0.2, "shouting": 0.2, "terms": 0.02}
+VOTERS = [*OTHERS, *(f"lexicon{k}" for k in range(LEXICONS))]
+
+
+def lexicon_voter(term: str) -> int:
+    """The lexicon of a term; a hash deals them, so that each lexicon has terms of all languages."""
+    return zlib.crc32(term.encode()) % LEXICONS
+
+
+def voter(lexicon: list[str]) -> Callable[[str | None], int]:
+    """A function that gives the votes of a text: bit k is set if voter k says toxic (of `terms`, clean)."""
+    own = set(lexicon)
+    seeds = set(SEEDS)
+    cache: dict[str, int] = {}
+
+    def bits_of(word: str) -> int:
+        found = cache.get(word)
+        if found is None:
+            if len(cache) >= CACHED:
+                cache.clear()
+            found = 0
+            for t in terms_of(word):
+                if t in own:
+                    found |= 1 << len(OTHERS) + lexicon_voter(t)
+            cache[word] = found
+        return found
+
+    def votes(text: str | None) -> int:
+        text = text or ""
+        low = text.lower()
+        words = _WORD.findall(low)
+        different = set(words)
+        out = 0
+        for word in different:
+            out |= bits_of(word)
+        if different & seeds:
+            out |= 1
+            if any(w in seeds and _YOU & set(words[max(i - 3, 0) : i + 4]) for i, w in enumerate(words)):
+                out |= 2
+        if _ORDER.search(low):
+            out |= 4
+        if "!!" in text or "?!" in text:
+            out |= 8
+        if low != text:
+            loud = sum(w.isupper() for w in _WORD.findall(text) if len(w) > 2)
+            if loud > 3 and 3 * loud > len(words):
+                out |= 16
+        if _TERMS.search(low):
+            out |= 32
+        return out
+
+    return votes
 
 
 @dataclass
 class Model:
-    """Weights by term and the bias; of the label model, the voters' chances of a toxic vote by class (toxic, clean), and correlations."""
+    """Weights by term and the bias; the lexicon; of the label model, each voter's precision, and correlations."""
 
     weights: dict[str, float]
     bias: float
-    accuracies: dict[str, tuple[float, float]]
+    lexicon: list[str]
+    precisions: dict[str, float]
     correlations: np.ndarray
 
 
@@ -98,79 +144,79 @@ def vectors(bags: Iterator[tuple], index: dict[str, int]) -> Iterator[tuple[np.n
         yield at, np.log1p(values) * (1 + np.log1p(1000 * values / max(total, 50))) / 4
 
 
-def label_model(votes: np.ndarray, rounds: int = 40, lead: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 by row, the votes' distributions by class, and correlations within classes.
+def label_model(
+    votes: np.ndarray, counts: np.ndarray, thought: np.ndarray, rounds: int = 50, strength: float = 1.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of class 1 by combination of votes, the voters' precisions, and correlations within classes.
 
-    votes: rows by voters in {-1, 0, 1}. Expectation maximisation from the vote
-    of the voter `lead`, or the majority's without one; then each voter's log-odds are divided by its share of
-    correlated voters, so that copies of one voter do not count as many.
+    votes: combinations by voters, 0 or 1; counts: rows of each combination;
+    thought: the share of class 1 among the rows of a voter that is believed
+    before, worth `strength` times the voter's rows. Expectation maximisation;
+    each voter's log-odds are divided by its share of correlated voters, so that
+    copies of one voter do not count as many.
     """
-    n, m = votes.shape
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    total = votes.sum(axis=1)
-    if lead is not None:
-        total = np.where(votes[:, lead], 1.8 * votes[:, lead], total)
-    posterior = np.clip(0.5 + 0.25 * total, 0.02, 0.98)
-    share, correlation = np.ones(m), np.eye(m)
+    votes = votes.astype(float)
+    n, rows = counts.sum(), counts @ votes
+    posterior = np.where(votes @ (thought >= 0.5) > 0, 0.8, 0.02)
+    share, correlation = np.ones(votes.shape[1]), np.eye(votes.shape[1])
     for r in range(rounds):
-        prior = np.clip(posterior.mean(), 0.005, 0.995)
-        by = np.stack([(w[:, None, None] * onehot).sum(axis=0) + 0.5 for w in (1 - posterior, posterior)])
-        by /= by.sum(axis=2, keepdims=True)
+        one = np.clip(counts @ posterior, 1e-3 * n, (1 - 1e-3) * n)
+        prior = one / n
+        precision = ((counts * posterior) @ votes + strength * thought * rows + thought) / ((1 + strength) * rows + 1)
+        by = np.clip(np.stack([(1 - precision) * rows / (n - one), precision * rows / one]), 1e-9, 0.999)
         if r % 5 == 0:  # from the first round on, so that copies of a voter cannot lead
-            expected = (1 - posterior)[:, None] * (by[0] @ [-1, 0, 1]) + posterior[:, None] * (by[1] @ [-1, 0, 1])
-            rest = votes - expected
-            size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            correlation = (rest.T @ rest) / n / np.outer(size, size)
-            share = 1 / np.maximum(1, np.abs(np.where(np.abs(correlation) > 0.2, correlation, 0)).sum(axis=1))
-            if lead is not None:
-                share[lead] = 1
-        odds = np.log(by[1]) - np.log(by[0])
-        z = math.log(prior / (1 - prior)) + np.einsum("nmv,mv,m->n", onehot, odds, share)
+            rest = votes - by[0] - posterior[:, None] * (by[1] - by[0])
+            size = np.sqrt(counts @ rest**2 / n) + 1e-9
+            correlation = (rest * counts[:, None]).T @ rest / n / np.outer(size, size)
+            share = 1 / np.maximum(1, np.where(correlation > 0.2, correlation, 0).sum(axis=1))
+        given, absent = np.log(by[1]) - np.log(by[0]), np.log1p(-by[1]) - np.log1p(-by[0])
+        z = math.log(prior / (1 - prior)) + (votes * given + (1 - votes) * absent) @ share
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return posterior, by, correlation
-
-
-def learn(bags: list[tuple], patterns: list[list[int]], labels: list[int | None]) -> Model:
-    """Model from bag_of() and patterns_of() texts with labels 1, 0 or None; with one class only, a model without terms."""
-    first = sorted(range(len(labels)), key=lambda i: labels[i] is None)  # labelled rows, then the others
-    bags, patterns, labels = ([x[i] for i in first] for x in (bags, patterns, labels))
-    given = sum(x is not None for x in labels)
-    y = np.asarray(labels[:given], float)
-    n1, n0 = y.sum(), given - y.sum()
-    if not n1 or not n0:
-        return Model({}, math.log((n1 + 0.5) / (n0 + 0.5)), {}, np.zeros((0, 0)))
-    ids: dict[str, int] = {}
-    rows = []
-    for words, _, _ in bags:
+    return posterior, precision, correlation
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    return codes[:, None] >> np.arange(len(VOTERS)) & 1
+
+
+def posteriors(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[str, float], np.ndarray]:
+    """label_model() of combinations of votes as bits, with its precisions by name."""
+    thought = np.array([*OTHERS.values(), *[PRECISION] * LEXICONS])
+    posterior, precision, correlation = label_model(_bits(codes), counts.astype(float), thought)
+    return posterior, dict(zip(VOTERS, precision.tolist())), correlation
+
+
+def choose_lexicon(bags: list[tuple], labels: list[int]) -> list[str]:
+    """Terms whose labelled rows are mostly toxic; of a term and its beginnings the shortest. The only use of labels."""
+    have, inside = Counter(), Counter()
+    for (words, _, _), label in zip(bags, labels):
         own = {t for w in words for t in terms_of(w)}
-        rows.append(np.unique(np.fromiter((ids.setdefault(t, len(ids)) for t in own), np.int32, len(own))))
-    inside = np.bincount(np.concatenate([r for r, label in zip(rows, labels) if label]), minlength=len(ids)).astype(float)
-    have = np.bincount(np.concatenate(rows[:given]), minlength=len(ids)).astype(float)
-    rest = have - inside
-    odds = np.log((inside + 0.5) / (n1 + 1)) - np.log((rest + 0.5) / (n0 + 1))
-    terms = np.array(list(ids), dtype=object)
-    frequent = (inside >= SUPPORT) & (inside >= have / 2)
-    lexicon = np.flatnonzero(frequent & (inside >= PRECISION * have) & (odds > 0))
-    clean = (rest >= SUPPORT * n0 / n1) & (odds <= -math.log(CLEAN_ODDS))
-    chosen = sorted({*SEEDS, *terms[np.flatnonzero(frequent | clean)]})
-
-    stems = {stem: k % LEXICONS for k, stem in enumerate(sorted({terms[i][:4] for i in lexicon}))}
-    of = np.full(len(ids), -1)
-    of[lexicon] = [stems[terms[i][:4]] for i in lexicon]
-    names = ["seeds", *(f"lexicon{k}" for k in range(LEXICONS)), "none", "patterns0", "patterns1", "patterns2", "patterns3", "annotator"]
-    seeds = [ids[t] for t in SEEDS if t in ids]
-    votes = np.zeros((len(rows), len(names)), np.int8)
-    for i, (row, pattern, label) in enumerate(zip(rows, patterns, labels)):
-        hits = np.zeros(LEXICONS + 1, np.int8)
-        hits[0] = np.isin(seeds, row).any()
-        hits[1 + np.unique(of[row][of[row] >= 0])] = 1
-        votes[i] = [*hits, 0 if hits.any() else -1, *pattern, 0 if label is None else 1 if label else -1]
-    posterior, by, correlation = label_model(votes, lead=len(names) - 1)
-    accuracies = {name: (float(by[1][j][2]), float(by[0][j][2])) for j, name in enumerate(names)}
-
-    index = {t: k for k, t in enumerate(chosen)}
+        have.update(own)
+        if label:
+            inside.update(own)
+    good = {t for t, n in inside.items() if n >= SUPPORT and n >= PRECISION * have[t]}
+    longer = lambda t: len(t) - (2 if t.endswith("*") else 1)  # noqa: E731  the longest beginning that is shorter than the term
+    return sorted(t for t in good if not any(t[:k] + "*" in good for k in range(PREFIXES[0], longer(t) + 1)))
+
+
+def learn(bags: list[tuple], posterior: np.ndarray, lexicon: list[str]) -> tuple[dict[str, float], float]:
+    """Weights by term and bias of the classifier, from bag_of() texts and their posterior labels."""
+    n1 = float(posterior.sum())
+    n0 = len(posterior) - n1
+    have, inside = Counter(), Counter()
+    for (words, _, _), p in zip(bags, posterior.tolist()):
+        for t in {t for w in words for t in terms_of(w)}:
+            have[t] += 1
+            inside[t] += p
+    chosen = {*SEEDS, *lexicon}
+    for t, n in have.items():
+        one, rest = inside[t], n - inside[t]
+        odds = math.log((one + 0.5) / (n1 + 1)) - math.log((rest + 0.5) / (n0 + 1))
+        if one >= SUPPORT and one >= n / 2 or rest * n1 >= SUPPORT * n0 and odds <= -math.log(CLEAN_ODDS):
+            chosen.add(t)
+    index = {t: k for k, t in enumerate(sorted(chosen))}
     weights, bias = logistic(list(vectors(bags, index)), posterior, len(index))
-    return Model({t: float(weights[k]) for t, k in index.items() if weights[k]}, bias, accuracies, correlation)
+    return {t: float(weights[k]) for t, k in index.items() if weights[k]}, bias
 
 
 def logistic(x: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size: int, epochs: int = 30, l2: float = 2e-5):
@@ -206,56 +252,80 @@ def score_texts(texts: Iterator[str | None], model: Model) -> Iterator[float]:
         yield 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, unlabelled: float = UNLABELLED) -> DataFrame:
-    """doc_id, text and label (or null) of rows that are not held out, chosen by hashes.
+def learnable(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the rows that are not held out and have an id."""
+    docs = docs.where(~held_out(4, 2) & F.col("doc_id").isNotNull())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    About `most` labelled rows at most, and about `unlabelled` times as many
-    others. Rows without an id have no label and are not read; rows that repeat
-    id and text count once, so that no repeated row exceeds the bound.
+
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
+    """doc_id, text and label of labelled rows that are not held out, chosen by hashes, about `most` at most.
+
+    Rows that repeat id and text count once, so that no repeated row exceeds the bound.
     """
     own = labels.where(~held_out(4, 2) & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("label"))
-    docs = docs.where(~held_out(4, 2) & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
-    other = train_fraction(docs.count(), int(most * unlabelled))
-    without = docs.where(hashed_below(other, "doc_id", "text")).join(own.select("doc_id"), "doc_id", "left_anti").dropDuplicates()
-    return labelled_sample(docs, own, most).unionByName(without.withColumn("label", F.lit(None).cast("int")))
+    return labelled_sample(learnable(docs), own, most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Learns from rows that are not held out; see training_sample(). Without any the score is that of a low bias.
+def vote_counts(docs: DataFrame, lexicon: list[str]) -> DataFrame:
+    """Rows of docs for each combination of votes: votes (bits), n. At most 2**len(VOTERS) rows."""
 
-    Whole texts become bags of words where they are; one task with a bounded
-    number of bags learns, and only the model comes to the driver.
-    """
-    bags = "doc_id long, words array<string>, counts array<int>, total long, patterns array<int>, label int"
-    model = "terms array<string>, weights array<double>, bias double, voters array<string>, accuracies array<double>, correlations array<double>"
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = voter(lexicon)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for (t,) in _rows_of(batch)], pa.int32())], ["votes"])
+
+    return docs.select("text").mapInArrow(vote, "votes int").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BAGS = "doc_id long, words array<string>, counts array<int>, total long, votes int, label int"
+
+
+def _bags(sample: DataFrame, lexicon: list[str]) -> DataFrame:
+    """Texts of a sample as bags of words and votes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32())]
+        types, votes = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int32()], voter(lexicon)
         for batch in batches:
-            rows = [(*bag_of(t), patterns_of(t)) for (t,) in _rows_of(batch.select([1]))]
+            rows = [(*bag_of(t), votes(t)) for (t,) in _rows_of(batch.select([1]))]
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], [x.split()[0] for x in bags.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], [x.split()[0] for x in _BAGS.split(", ")])
+
+    return sample.mapInArrow(make, _BAGS)
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
+    """Learns from rows that are not held out. Without a labelled row the score is that of a low bias.
+
+    One task chooses the lexicon from the labelled sample, all rows vote, the
+    label model is fitted to the counts of their combinations, and one task trains
+    the classifier on the sample's posteriors. Such a task holds the bags of words
+    of at most about max_train_rows whole texts; only lexicon, combinations of
+    votes and model come to the driver.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in _rows_of(b)]
+        yield pa.RecordBatch.from_arrays([pa.array(choose_lexicon([r[1:4] for r in rows], [r[5] for r in rows]), pa.string())], ["term"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in _rows_of(b)), key=lambda r: (r[0], r[3], r[1], r[2]))
-        if rows:
-            m = learn([r[1:4] for r in rows], [r[4] for r in rows], [r[5] for r in rows])
-            accuracies = [x for pair in m.accuracies.values() for x in pair]
-            lists = [list(m.weights), list(m.weights.values()), list(m.accuracies), accuracies, m.correlations.ravel().tolist()]
-            made = [pa.array([x], pa.list_(k)) for x, k in zip(lists, [pa.string(), pa.float64(), pa.string(), pa.float64(), pa.float64()])]
-            made.insert(2, pa.array([m.bias], pa.float64()))
-            yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in model.split(", ")])
+        weights, bias = learn([r[1:4] for r in rows], np.array([of[r[4]] for r in rows]), lexicon)
+        made = [pa.array([list(weights)], pa.list_(pa.string())), pa.array([list(weights.values())], pa.list_(pa.float64())), pa.array([bias])]
+        yield pa.RecordBatch.from_arrays(made, ["terms", "weights", "bias"])
 
     sample = training_sample(docs, labels, target, max_train_rows)
-    found = sample.mapInArrow(make, bags).repartition(1).mapInArrow(train, model).collect()
-    if not found:
-        return Model({}, -2.0, {}, np.zeros((0, 0)))
-    terms, weights, bias, voters, accuracies, correlations = found[0]
-    pairs = dict(zip(voters, zip(accuracies[::2], accuracies[1::2])))
-    return Model(dict(zip(terms, weights)), bias, pairs, np.reshape(correlations, (len(voters), len(voters))))
+    if sample.isEmpty():
+        return Model({}, -2.0, [], {}, np.zeros((0, 0)))
+    lexicon = sorted(r["term"] for r in _bags(sample, []).repartition(1).mapInArrow(choose, "term string").collect())
+    combined = sorted(map(tuple, vote_counts(learnable(docs), lexicon).collect()))
+    codes, counts = (np.array(x, np.int64) for x in zip(*combined))
+    posterior, precisions, correlations = posteriors(codes, counts)
+    of = dict(zip(codes.tolist(), posterior.tolist()))
+    schema = "terms array<string>, weights array<double>, bias double"
+    terms, weights, bias = _bags(sample, lexicon).repartition(1).mapInArrow(train, schema).first()
+    return Model(dict(zip(terms, weights)), bias, lexicon, precisions, correlations)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -274,14 +274,69 @@ def test_factorisation_identity():
     assert np.isclose(quality.raw_score(m, at, x), 0.3 + float(m.weights[at] @ x) + pairs, rtol=1e-4)
 
 
-def test_label_model_recovers_accuracies_and_correlations():
+def test_label_model_recovers_precisions_and_correlations():
     import numpy as np
 
     rng = np.random.default_rng(6)
-    y = rng.random(4000) < 0.3
-    noisy = lambda p: np.where(rng.random(4000) < p, y, ~y)
-    a, b, c, d = noisy(0.9), noisy(0.8), noisy(0.85), noisy(0.75)
-    votes = np.stack([np.where(v, 1, -1) for v in (a, b, c, d, d)], axis=1)
-    posterior, by, correlation = toxicity.label_model(votes)
-    assert ((posterior > 0.5) == y).mean() > 0.9
-    assert abs(by[1][0][2] - 0.9) < 0.05 and correlation[3, 4] > 0.95 > 0.3 > abs(correlation[0, 1])
+    y = rng.random(40_000) < 0.2
+    noisy = lambda hit, miss: np.where(y, rng.random(40_000) < hit, rng.random(40_000) < miss)
+    a, b, c, d = noisy(0.8, 0.02), noisy(0.6, 0.05), noisy(0.7, 0.02), noisy(0.5, 0.01)
+    rows = np.stack([a, b, c, d, d], axis=1).astype(int)
+    votes, place, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    posterior, precision, correlation = toxicity.label_model(votes, counts, np.full(5, 0.8))
+    assert ((posterior[place.ravel()] > 0.5) == y).mean() > 0.95
+    assert abs(precision[0] - y[a].mean()) < 0.08 and correlation[3, 4] > 0.9 > 0.3 > abs(correlation[0, 1])
+    # a copy of a voter adds nothing
+    alone, _, _ = toxicity.label_model(votes[:, :4], counts, np.full(4, 0.8))
+    assert np.abs(alone - posterior).mean() < 0.05
+
+
+def test_votes_come_from_texts_alone(spark):
+    """Labels choose lexicon terms and nothing else: no voter is a function of the label, nor is the posterior."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    sample = toxicity.training_sample(docs, labels, "toxic", toxicity.MAX_TRAIN_ROWS).toPandas()
+    bags = [toxicity.bag_of(t) for t in sample["text"]]
+    y = sample["label"].to_numpy()
+    lexicon = toxicity.choose_lexicon(bags, y.tolist())
+    counted = toxicity.vote_counts(toxicity.learnable(docs), lexicon).toPandas().sort_values("votes")
+    posterior, precisions, _ = toxicity.posteriors(counted["votes"].to_numpy(np.int64), counted["n"].to_numpy())
+    assert counted["n"].sum() == toxicity.learnable(docs).count()  # all rows, labelled or not
+    votes = toxicity.voter(lexicon)
+    codes = np.array([votes(t) for t in sample["text"]])
+    for k in range(len(toxicity.VOTERS)):
+        bit = codes >> k & 1
+        assert (bit != y).any() and (bit == y).any()
+    of = dict(zip(counted["votes"].tolist(), posterior.tolist()))
+    guess = np.array([of[c] for c in codes.tolist()]) > 0.5
+    agreement, recall = (guess == y).mean(), guess[y == 1].mean()
+    assert 0.95 < agreement < 1 and 0.8 < recall < 1
+    assert precisions["seeds"] > 0.8 > precisions["terms"]
+
+
+def test_patterns_vote():
+    votes = toxicity.voter(["zork*", "blim"])
+    names = lambda text: {n for k, n in enumerate(toxicity.VOTERS) if votes(text) >> k & 1}
+    assert names("You are an idiot") == {"seeds", "address"} and names("an idiot") == {"seeds"}
+    assert names("now SHUT UP!!") == {"orders", "marks"} and names("WHAT ARE THESE THINGS now") == {"shouting"}
+    assert names("Licensed under") == {"terms"} and names(None) == names("") == set()
+    zork = toxicity.VOTERS[len(toxicity.OTHERS) + toxicity.lexicon_voter("zork*")]
+    assert names("Zorking") == {zork} and names("zor") == set()
+
+
+def test_scores_are_those_of_plain_sums(spark, documents):
+    import math
+    from collections import Counter
+
+    docs, labels = queries.table(spark, "/root/testdata/sf0.001", "documents"), queries.table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.fit(docs, labels)
+    texts = [t for (t,) in docs.select("text").limit(60).collect()] + [None, "", "idiot " * 30_000]
+    got = toxicity.toxicity(documents(list(enumerate(texts))), model).collect()
+    for r, text in zip(got, texts):
+        words = toxicity.words_of(text)
+        held = Counter(t for w in words for t in toxicity.terms_of(w) if t in model.weights)
+        z = model.bias + sum(model.weights[t] * math.log1p(n) * (1 + math.log1p(1000 * n / max(len(words), 50))) / 4 for t, n in held.items())
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.3)
