@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import attach, fresh, stored
+from orthoflow.llm.scratch import attach, least_of_ties, stored
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: Numbers of equal rows that a task makes from one row at most.
@@ -103,13 +103,15 @@ def exact_duplicates(docs: DataFrame, salts: int = 64, digest: Callable[[Column]
 
 
 def drop_duplicates(docs: DataFrame, salts: int = 64) -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with all their columns."""
+    """The rows of docs that exact_duplicates() keeps, with all their columns.
+
+    Of rows that share id and text but for white space, the least by text, then by
+    its other columns, stays, however the table is stored. Null texts are empty,
+    and very long ones are compared whole; an empty table gives an empty result.
+    """
     found = stored(exact_duplicates(docs, salts), "exact-duplicates")
     kept = found.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha256"))
-    digest = fresh(docs, "_sha256")
-    named = docs.withColumn(digest, F.sha2(normalised(docs["text"]), 256))
-    match = named["doc_id"].eqNullSafe(kept["_keep_id"]) & (named[digest] == kept["_keep_sha256"])
-    out = named.join(kept, match, "left_semi")
-    if not found.where("copy > 1").isEmpty():  # rows that repeat both id and text
-        out = out.dropDuplicates(["doc_id", digest])
-    return out.drop(digest)
+    digest = F.sha2(normalised(docs["text"]), 256)
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]) & (digest == kept["_keep_sha256"]), "left_semi")
+    ties = found.where("copy = 2").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    return out if ties.isEmpty() else least_of_ties(out, ties, F.sha2(normalised(out["text"]), 256))

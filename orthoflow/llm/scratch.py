@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.sources.scratch import Tables, shared_dir, stored
 
-__all__ = ["Tables", "attach", "fresh", "hashed_below", "labelled_sample", "shared_dir", "stored", "train_fraction"]
+__all__ = ["Tables", "attach", "fresh", "hashed_below", "least_of_ties", "labelled_sample", "shared_dir", "stored", "train_fraction"]
 
 #: A group with more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 200
@@ -38,6 +38,20 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     )
 
 
+def least_of_ties(docs: DataFrame, ties: DataFrame, digest: Column) -> DataFrame:
+    """docs, but of the rows of each tie one: the least by its text, then by its other columns in their order.
+
+    ties has rows (_id, _digest), each once; a row is of a tie if its doc_id and
+    digest are those. So the same row stays however the table is stored.
+    """
+    same = docs["doc_id"].eqNullSafe(ties["_id"]) & (digest == ties["_digest"])
+    names = ["text", *(c for c in docs.columns if c != "text")]
+    key, row = fresh(docs, "_key"), fresh(docs, "_row")
+    own = docs.join(ties, same).select(F.struct("_id", "_digest").alias(key), F.struct(*(docs[c] for c in names)).alias(row))
+    least = own.groupBy(key).agg(F.min(row).alias(row)).select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    return docs.join(ties, same, "left_anti").unionByName(least)
+
+
 def train_fraction(n: int, bound: int) -> float:
     """The share of n rows that a fit bounded to so many rows may read."""
     return 1.0 if n <= bound else bound / n

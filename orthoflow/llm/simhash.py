@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import attach, fresh, stored
+from orthoflow.llm.scratch import attach, least_of_ties, stored
 
 BITS = 64
 BLOCKS = 4
@@ -320,7 +320,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The row of the component's smallest id stays. Rows are told apart by id and
     text, so an id that stands for several texts loses only those that go; of
     rows that share the smallest id, or have none in a component without ids,
-    that of the smallest text hash stays.
+    that of the smallest text hash stays, and of rows with one id and text the
+    least by their other columns. Null texts are wordless ones and link; very long
+    ones are read whole; an empty table gives an empty result.
     """
     found = stored(near_components(docs), "near-duplicates")
     head = F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -337,5 +339,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = docs.join(dropped, same, "left_anti")
     if not ties:
         return kept
-    name = fresh(docs, "_hash")  # rows that repeat id and text
-    return kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
+    repeated = tied.select(F.col("tied_id").alias("_id"), F.col("first").alias("_digest")).distinct()
+    return least_of_ties(kept, repeated, F.xxhash64(kept["text"]))

@@ -454,6 +454,19 @@ def test_packing_is_what_plain_python_makes(documents, tokenizer):
     assert list(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("drop", [drop_duplicates, simhash.drop_near_duplicates])
+def test_ties_do_not_depend_on_the_partitioning(documents, drop):
+    rows = [(1, "a b", "en", "s2", 3), (1, "a b", "en", "s1", 9), (1, "a b", None, "s1", 4), (2, "c d e", "fr", "s", 1), (None, "x", "b", "s", 1), (None, "x", "a", "s", 1)]
+    rows += [(1, "a  b", "en", "s0", 3), (1, "a\tb", "en", "s0", 3)] * (drop is drop_duplicates)
+    found = set()
+    for parts in (1, 2, 3, 7):
+        docs = documents(rows[::-1] if parts % 2 else rows, extra=True).repartition(parts)
+        found.add(tuple(sorted(map(str, drop(docs).collect()))))
+    assert len(found) == 1
+    kept = {r for r in drop(documents(rows)).collect() if r["doc_id"] == 1}
+    assert {(r["text"], r["lang"]) for r in kept} == {("a\tb", "en") if drop is drop_duplicates else ("a b", None)}
+
+
 def test_scratch_tables_belong_to_their_block(spark):
     with scratch.Tables(spark) as outer:
         one = scratch.stored(spark.range(5), "five")
