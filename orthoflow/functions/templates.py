@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the symbols that the three modes share, in their order; a name with a star is worked out of others
-SYMBOLS = (
-    ("Im1", "image1.tif"), ("Im2", "image2.tif"), ("Masq", "mask.stop"), ("DirMEC", "MEC/"), ("Pyr", "Pyram/"), ("Inc", "2.0"), ("Pas", "0.2"),
-    ("Teta0", "0"), ("UseMasq", "true"), ("UseTeta", "false"), ("RegulBase", "0.3"), ("UseDequant", "true"), ("SzW", "4"), ("CorrelMin", "0.5"),
+# fixed values: the symbols behind the folders that all modes have, in their order; a name with a star is worked out of others
+DIRECTIONS = (
     ("GammaCorrel", "2"), ("PdsF", "0.1"), ("NbDir", "7"),
     *((f"P{k}*", f" / ${{PdsF}} +   ${{PdsF}} / {k} ${{NbDir}}") for k in range(8)),
     ("VPds", "[${P0},${P1},${P2},${P3},${P4},${P5},${P6},${P7},${P6},${P7},${P4},${P3},${P2},${P1}]"),
     ("NbDirTot*", "* 2 ${NbDir}"), ("Regul*", "* ${RegulBase}  ? ${UseTeta} 3 1"),
 )
-# fixed values: symbols of the first mode alone
-COREGIS = (
-    ("SsResolOpt", "4"), ("SsResolOptInterm1*", "* 4 ${SsResolOpt}"), ("SsResolOptInterm2*", "* 2 ${SsResolOpt}"), ("Px1Moy", "0"), ("Px2Moy", "0"),
-    ("ZoomInit", "1"), ("WithZ4*", " SupEq ${ZoomInit} 4"), ("WithZ2*", " SupEq ${ZoomInit} 2"),
-)
-# fixed values: what the modes have in place of the shared values; None is a symbol that the mode lacks, and Dir takes the place of DirMEC
+# fixed values: all symbols of each mode, in their order
 MODES = {
-    "coregis": {},
-    "displacement": {"DirMEC": None, "Pyr": None, "Inc": "5", "RegulBase": "0.2", "SzW": "3", "CorrelMin": "0.2"},
-    "bathy": {"DirMEC": None, "Pyr": "PyramSat/", "Inc": "5", "RegulBase": "0.4", "SzW": "4", "CorrelMin": "0.5"},
-}
+    "coregis": (
+        ("Im1", "image1.tif"), ("Im2", "image2.tif"), ("Masq", "mask.stop"), ("DirMEC", "MEC/"), ("Pyr", "Pyram/"), ("Inc", "2.0"), ("Pas", "0.2"),
+        ("Teta0", "0"), ("UseMasq", "true"), ("UseTeta", "false"), ("RegulBase", "0.3"), ("UseDequant", "true"), ("SzW", "4"), ("CorrelMin", "0.5"),
+        *DIRECTIONS,
+        ("SsResolOpt", "4"), ("SsResolOptInterm1*", "* 4 ${SsResolOpt}"), ("SsResolOptInterm2*", "* 2 ${SsResolOpt}"), ("Px1Moy", "0"),
+        ("Px2Moy", "0"), ("ZoomInit", "1"), ("WithZ4*", " SupEq ${ZoomInit} 4"), ("WithZ2*", " SupEq ${ZoomInit} 2"),
+    ),
+    "displacement": (
+        ("Im1", "image1.tif"), ("Im2", "image2.tif"), ("Masq", "mask.stop"), ("Dir", "MEC/"), ("Pyr", "PyramSat/"), ("Inc", "5"), ("Pas", "0.2"),
+        ("Teta0", "0"), ("UseMasq", "true"), ("UseTeta", "false"), ("RegulBase", "0.2"), ("UseDequant", "true"), ("SzW", "3"), ("CorrelMin", "0.2"),
+        *DIRECTIONS,
+    ),
+    "bathy": (
+        ("Im1", "image1.tif"), ("Im2", "image2.tif"), ("Masq", "mask.stop"), ("Dir", "MEC/"), ("Pyr", "PyramSat/"), ("Inc", "5"), ("Pas", "0.2"),
+        ("Teta0", "0"), ("UseMasq", "true"), ("UseTeta", "false"), ("RegulBase", "0.4"), ("UseDequant", "true"), ("SzW", "4"), ("CorrelMin", "0.5"),
+        *DIRECTIONS,
+    ),
+}
 # fixed values: the description of a mask of a whole image in its own geometry
 MASK = (
     '<?xml version="1.0" ?>\n<FileOriMnt>\n     <NameFileMnt>./%s</NameFileMnt>\n     <NombrePixels>%d %d</NombrePixels>\n'
@@ -33,18 +40,11 @@ MASK = (
 )
 
 
-def symbols(mode: str) -> list[tuple[str, str]]:
+def symbols(mode: str) -> tuple[tuple[str, str], ...]:
     """Names and values of a mode's symbols in order; names that end in a star are worked out of others."""
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    own, out = MODES[mode], []
-    for name, value in SYMBOLS + (COREGIS if mode == "coregis" else ()):
-        value = own.get(name, value)
-        if name == "DirMEC" and value is None:
-            out.append(("Dir", "MEC/"))
-        elif value is not None:
-            out.append((name, value))
-    return out
+    return MODES[mode]
 
 
 def template(mode: str, steps: str = "") -> str:

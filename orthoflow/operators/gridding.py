@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -203,16 +203,25 @@ def same_grid(a: dict, b: dict) -> bool:
     return all(a[k] == b[k] for k in ("ulx", "uly", "xres", "yres"))
 
 
-def align(source: DataFrame, of: dict, to: dict, rows: int, cols: int, nearest: bool = True) -> DataFrame:
+def align(
+    source: DataFrame, of: dict, to: dict, rows: int, cols: int, nearest: bool = True,
+    change: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """The source (r, c, v) on another grid of rows by cols: r, c, v, null outside with nearest cells.
 
-    Grids that are one are returned as they are, with no join.
+    change gives the coordinates of a place of the new grid in those of the
+    source's (a struct of x, y), where the two have different projections. Grids that are one are
+    returned as they are, with no join.
     """
-    if same_grid(of, to):
+    if same_grid(of, to) and change is None:
         return source
-    y = (F.lit(float(to["uly"])) + (F.col("r") + 0.5) * to["yres"] - of["uly"]) / of["yres"] - 0.5
-    x = (F.lit(float(to["ulx"])) + (F.col("c") + 0.5) * to["xres"] - of["ulx"]) / of["xres"] - 0.5
+    y = F.lit(float(to["uly"])) + (F.col("r") + 0.5) * to["yres"]
+    x = F.lit(float(to["ulx"])) + (F.col("c") + 0.5) * to["xres"]
     target = canvas(source, rows, cols)
+    if change:
+        target = target.withColumn("_at", change(x, y))
+        x, y = F.col("_at.x"), F.col("_at.y")
+    y, x = (y - of["uly"]) / of["yres"] - 0.5, (x - of["ulx"]) / of["xres"] - 0.5
     if nearest:
         got = gather(target, source, F.floor(y + 0.5).cast("int"), F.floor(x + 0.5).cast("int"))
     else:
@@ -220,6 +229,35 @@ def align(source: DataFrame, of: dict, to: dict, rows: int, cols: int, nearest:
     return got.select("r", "c", F.col("got").alias("v"))
 
 
+def area_resample(
+    df: DataFrame, scale_r: float, scale_c: float, rows: int, cols: int, columns: Sequence[str], masks: Sequence[str] = (), keys: Sequence[str] = ()
+) -> DataFrame:
+    """Means of `columns` over cells of scale_r by scale_c source cells, by the shares of area that they overlap: keys, r, c, columns, masks.
+
+    Any factor: a source cell goes to the targets that it touches, at most four
+    if no scale is below one. Null values have no weight, and a mean over none is
+    null. masks are columns of 0 and 1 (or booleans); a target is masked where
+    more than half of its covered area is. rows, cols: the size of the new raster.
+    """
+
+    def touched(at: str, scale: float, n: int) -> Column:
+        last = F.ceil((F.col(at) + 1) / F.lit(float(scale))).cast("int") - 1
+        first = F.floor(F.col(at) / F.lit(float(scale))).cast("int")
+        return F.explode(F.when(first < n, F.sequence(first, F.least(last, F.lit(n - 1)))))
+
+    def overlap(at: str, to: str, scale: float) -> Column:
+        s = F.lit(float(scale))
+        return F.least(F.col(at) + 1, (F.col(to) + 1) * s) - F.greatest(F.col(at).cast("double"), F.col(to) * s)
+
+    sent = df.withColumn("_r", touched("r", scale_r, rows)).withColumn("_c", touched("c", scale_c, cols))
+    w = F.col("_w")
+    sent = sent.withColumn("_w", overlap("r", "_r", scale_r) * overlap("c", "_c", scale_c)).where("_w > 1e-12")
+    mean = lambda x: F.try_divide(F.sum(w * F.col(x)), F.sum(F.when(F.col(x).isNotNull(), w)))
+    half = lambda x: F.sum(w * F.col(x).cast("int")) / F.sum(w) > 0.5
+    out = sent.groupBy(*keys, F.col("_r").alias("_tr"), F.col("_c").alias("_tc")).agg(*[mean(x).alias(x) for x in columns], *[half(x).alias(x) for x in masks])
+    return out.select(*keys, F.col("_tr").alias("r"), F.col("_tc").alias("c"), *columns, *masks)
+
+
 def _size(source: DataFrame) -> tuple[int, int]:
     last = source.agg(F.max("r"), F.max("c")).first()
     return (last[0] or 0) + 1, (last[1] or 0) + 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orthoflow.plans import composed, correction, files, gridded, iterated, masked, measured, metadata, pairs, shapes, stacks, windowed  # noqa: F401
+from orthoflow.plans import composed, correction, files, gridded, iterated, masked, matched, measured, metadata, pairs, projected, shapes, stacks, windowed  # noqa: F401
 from orthoflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -127,13 +127,6 @@ def outline_intersection(spark, sf_dir):
     return Y.outline_intersection(layer(spark, sf_dir).select("r", "c"), rings(spark).where("det_id < 3"), box_ring)
 
 
-@query(f"WITH {EDGES} SELECT det_id, round(sum(x1 * y2 - x2 * y1) / 2 * (0.5 * 2.0), 6) AS area FROM edges GROUP BY det_id")
-def reprojected_area(spark, sf_dir):
-    """Area after an affine change of coordinates whose determinant is one."""
-    moved = rings(spark).select("det_id", Y.affine(F.col("ring"), [0.5, 0, 300000, 0, 2.0, -10]).alias("ring"))
-    return moved.select("det_id", F.round(Y.area(F.col("ring")), 6).alias("area"))
-
-
 @query(f"""WITH {EDGES} SELECT det_id, 'POLYGON ((' || string_agg(x1 || ' ' || y1, ', ' ORDER BY i) || ', ' || arg_min(x1 || ' ' || y1, i) || '))' AS wkt FROM edges GROUP BY det_id""")
 def ring_text(spark, sf_dir):
     """Rings as text, after text was read as rings."""

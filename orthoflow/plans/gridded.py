@@ -40,6 +40,35 @@ def pan_synthesis(spark, sf_dir):
     return b.select("r", "c", G.pan(F.col("b2"), F.col("b3"), F.col("b4")).alias("pan")).where("pan is not null")
 
 
+def _area_sql(scale: float, n: int) -> str:
+    touch = lambda x, t: f"least({x} + 1, ({t} + 1) * {scale}::DOUBLE) - greatest({x}, {t} * {scale}::DOUBLE)"
+    return f"""WITH {GRID}, target AS (SELECT CAST(a AS INTEGER) AS t FROM range({n}) x(a)),
+w AS (SELECT k, i.t AS r, j.t AS c, ({touch('g.r', 'i.t')}) * ({touch('g.c', 'j.t')}) AS w, ew, CAST(cc > 100 AS INTEGER) AS low
+  FROM grid g JOIN target i ON g.r + 1 > i.t * {scale}::DOUBLE AND g.r < (i.t + 1) * {scale}::DOUBLE JOIN target j ON g.c + 1 > j.t * {scale}::DOUBLE AND g.c < (j.t + 1) * {scale}::DOUBLE)
+SELECT k, r, c, round(sum(w * ew) / sum(w), 6) AS ew, sum(w * low) / sum(w) > 0.5 AS low FROM w WHERE w > 1e-12 GROUP BY k, r, c"""
+
+
+def _resampled(scale: float, n: int):
+    def run(spark, sf_dir):
+        cells = grid(spark, sf_dir).select("k", "r", "c", "ew", (F.col("cc") > 100).alias("low"))
+        out = G.area_resample(cells, scale, scale, n, n, ["ew"], ["low"], ["k"])
+        return out.select("k", "r", "c", F.round("ew", 6).alias("ew"), "low")
+
+    return run
+
+
+@query(_area_sql(2.5, 26))
+def area_shrink(spark, sf_dir):
+    """All layers at two and a half times their cell size, with a mask by area."""
+    return _resampled(2.5, 26)(spark, sf_dir)
+
+
+@query(_area_sql(0.3, 213))
+def area_grow(spark, sf_dir):
+    """All layers at three tenths of their cell size, with a mask by area."""
+    return _resampled(0.3, 213)(spark, sf_dir)
+
+
 CANVAS = "(SELECT CAST(a AS INTEGER) AS r, CAST(b AS INTEGER) AS c FROM range({0}) t(a), range({1}) u(b))"
 
 

@@ -51,8 +51,9 @@ def band_subset(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.select_bands(some, ["B03", "B04"]), ",").alias("bands"))
 
 
+# fixed values: the folders of each mode, and below all texts of the parameter file and the mask file
 _LINES = """CASE p_size % 3 WHEN 0 THEN '<Symb> DirMEC=MEC/ </Symb>
-<Symb> Pyr=Pyram/ </Symb>' WHEN 1 THEN '<Symb> Dir=MEC/ </Symb>' ELSE '<Symb> Dir=MEC/ </Symb>
+<Symb> Pyr=Pyram/ </Symb>' ELSE '<Symb> Dir=MEC/ </Symb>
 <Symb> Pyr=PyramSat/ </Symb>' END"""
 
 

@@ -503,6 +503,9 @@ def test_pixel_tables(spark, tmp_path):
 def test_templates(spark):
     text = F.lit(T.template("coregis"))
     assert "Inc=7 " in spark.range(1).select(T.set_symbol(text, "Inc", F.lit(7))).first()[0]
+    names = [n.rstrip("*") for n, _ in T.symbols("displacement")]
+    assert names[:6] == ["Im1", "Im2", "Masq", "Dir", "Pyr", "Inc"] and dict(T.symbols("displacement"))["Pyr"] == "PyramSat/"
+    assert len(T.symbols("coregis")) == len(T.symbols("bathy")) + 8
     with pytest.raises(ValueError):
         T.template("other")
 
