@@ -10,7 +10,7 @@ from orthoflow.operators import gridding as G
 from orthoflow.operators import masks, windows
 from orthoflow.operators.statistics import gaussian_clip, outlier_mask
 from orthoflow.plans.correction import zone_sql
-from orthoflow.plans.fixtures import CLASSES, EDGES, GRID, LAYER, LAYERS, SIDE, classes, grid, layer, rings, table
+from orthoflow.plans.fixtures import CLASSES, EDGES, GRID, LAYER, LAYERS, SIDE, classes, grid, layer, rings, supplier_edges, supplier_rings, table
 from orthoflow.plans.gridded import CANVAS
 from orthoflow.plans.measured import clip_sql
 from orthoflow.plans.registry import query
@@ -38,21 +38,21 @@ def band_order(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names, ",").alias("bands"))
 
 
-@query(f"WITH {EDGES} SELECT det_id, min(x1) AS xmin, max(x1) AS xmax, min(y1) AS ymin, max(y1) AS ymax FROM edges GROUP BY det_id")
+@query(f"WITH {supplier_edges()} SELECT det_id, min(x1) AS xmin, max(x1) AS xmax, min(y1) AS ymin, max(y1) AS ymax FROM edges GROUP BY det_id")
 def scene_extent(spark, sf_dir):
-    return Y.extent(rings(spark), ["det_id"])
+    return Y.extent(supplier_rings(spark, sf_dir), ["det_id"])
 
 
-@query(f"WITH {EDGES} SELECT det_id, CAST(i AS INTEGER) AS i, x2 - x1 AS dx, y2 - y1 AS dy FROM edges")
+@query(f"WITH {supplier_edges()} SELECT det_id, CAST(i AS INTEGER) AS i, x2 - x1 AS dx, y2 - y1 AS dy FROM edges")
 def segment_deltas(spark, sf_dir):
-    return Y.edges(rings(spark)).select("det_id", "i", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"))
+    return Y.edges(supplier_rings(spark, sf_dir)).select("det_id", "i", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"))
 
 
-@query(f"WITH {EDGES} SELECT det_id, arg_min(y1, x1 * 1000 + y1) AS y_left, arg_max(y1, x1 * 1000 - y1) AS y_right FROM edges GROUP BY det_id")
+@query(f"WITH {supplier_edges()} SELECT det_id, arg_min(y1, x1 * 1000 + y1) AS y_left, arg_max(y1, x1 * 1000 - y1) AS y_right FROM edges GROUP BY det_id")
 def extreme_vertices(spark, sf_dir):
     """Height of the leftmost (lowest of equals) and rightmost (lowest of equals) vertex."""
     x, y = F.col("x1"), F.col("y1")
-    return Y.edges(rings(spark)).groupBy("det_id").agg(F.min_by(y, x * 1000 + y).alias("y_left"), F.max_by(y, x * 1000 - y).alias("y_right"))
+    return Y.edges(supplier_rings(spark, sf_dir)).groupBy("det_id").agg(F.min_by(y, x * 1000 + y).alias("y_left"), F.max_by(y, x * 1000 - y).alias("y_right"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'grid10' WHEN 1 THEN 'grid20' ELSE 'grid60' END AS grid FROM part""")
@@ -127,23 +127,24 @@ def outline_intersection(spark, sf_dir):
     return Y.outline_intersection(layer(spark, sf_dir).select("r", "c"), rings(spark).where("det_id < 3"), box_ring)
 
 
-@query(f"""WITH {EDGES} SELECT det_id, 'POLYGON ((' || string_agg(x1 || ' ' || y1, ', ' ORDER BY i) || ', ' || arg_min(x1 || ' ' || y1, i) || '))' AS wkt FROM edges GROUP BY det_id""")
+@query(f"""WITH {supplier_edges()} SELECT det_id, 'POLYGON ((' || string_agg(x1 || ' ' || y1, ', ' ORDER BY i) || ', ' || arg_min(x1 || ' ' || y1, i) || '))' AS wkt FROM edges GROUP BY det_id""")
 def ring_text(spark, sf_dir):
     """Rings as text, after text was read as rings."""
-    again = rings(spark).select("det_id", S.ring_of_wkt(R.wkt(F.col("ring"))).alias("ring"))
+    again = supplier_rings(spark, sf_dir).select("det_id", S.ring_of_wkt(R.wkt(F.col("ring"))).alias("ring"))
     return again.select("det_id", R.wkt(F.col("ring")).alias("wkt"))
 
 
-@query(f"""WITH {EDGES}, ends AS (SELECT det_id, y1 AS y, min(x1) AS x0, max(x1) AS x1 FROM edges GROUP BY det_id, y1),
-middle AS (SELECT det_id, y, coalesce((lag(x1) OVER w + x0) / 2, x0) AS x0, coalesce((x1 + lead(x0) OVER w) / 2, x1) AS x1 FROM ends WINDOW w AS (PARTITION BY y ORDER BY det_id))
-SELECT 'g' AS granule, det_id, round(sum(x1 - x0) / 2 * 63, 6) AS area FROM middle GROUP BY det_id""")
+@query(f"""WITH {supplier_edges("strip")}, ends AS (SELECT nation, det_id, y1 AS y, min(x1) AS x0, max(x1) AS x1 FROM edges GROUP BY nation, det_id, y1),
+middle AS (SELECT nation, det_id, y, coalesce((lag(x1) OVER w + x0) / 2, x0) AS x0, coalesce((x1 + lead(x0) OVER w) / 2, x1) AS x1 FROM ends WINDOW w AS (PARTITION BY nation, y ORDER BY det_id))
+SELECT 'g' || nation AS granule, det_id, round(sum(x1 - x0) / 2 * 63, 6) AS area FROM middle GROUP BY nation, det_id""")
 def footprint_mid_lines(spark, sf_dir):
-    """Overlapping footprints made to abut."""
-    old = rings(spark).select(F.lit("g").alias("granule"), F.lit("2017-01-01").cast("date").alias("sensed"), "det_id", "ring")
+    """Overlapping footprints of each nation made to abut."""
+    name = F.concat(F.lit("g"), F.col("nation").cast("string"))
+    old = supplier_rings(spark, sf_dir, "strip").select(name.alias("granule"), F.lit("2017-01-01").cast("date").alias("sensed"), "det_id", "ring")
     return Y.resolve_footprints(old).select("granule", "det_id", F.round(Y.area(F.col("ring")), 6).alias("area"))
 
 
-@query(f"""WITH {EDGES} SELECT det_id, CAST(row_number() OVER (PARTITION BY det_id ORDER BY y1 + y2, x1 + x2) - 1 AS INTEGER) AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM edges""")
+@query(f"""WITH {supplier_edges()} SELECT det_id, CAST(row_number() OVER (PARTITION BY det_id ORDER BY y1 + y2, x1 + x2) - 1 AS INTEGER) AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM edges""")
 def sorted_mid_points(spark, sf_dir):
     """The middles of the footprints' edges by height."""
-    return rings(spark).select("det_id", F.posexplode(Y.mid_points(F.col("ring"))).alias("i", "p")).select("det_id", "i", "p.x", "p.y")
+    return supplier_rings(spark, sf_dir).select("det_id", F.posexplode(Y.mid_points(F.col("ring"))).alias("i", "p")).select("det_id", "i", "p.x", "p.y")

@@ -130,10 +130,14 @@ def path_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.path_parts(path).alias("x")).select("p_partkey", "x.*")
 
 
-@query("""SELECT * FROM (VALUES (0, 'a1', 'b1', 'c1', 12.0::DOUBLE), (1, 'a2', 'b2', 'c2', 24.5::DOUBLE)) t(layer, px1, px2, cc, duration_days)""")
+@query("""SELECT o_custkey AS id, CAST(k AS INTEGER) AS layer, 'a' || o_custkey || k AS px1, 'b' || k AS px2, 'c' || k AS cc, CAST(o_custkey % 50 + 0.5 * k AS DOUBLE) AS duration_days
+FROM (SELECT DISTINCT o_custkey FROM orders), range(3) t(k)""")
 def listed_layers(spark, sf_dir):
-    """Layers of a list of arguments in fours."""
-    return S.listed_layers(spark, ["a1", "b1", "c1", "12", "a2", "b2", "c2", "24.5"])
+    """Layers of lists of arguments in fours, one list for each customer."""
+    key = F.col("o_custkey").cast("string")
+    four = lambda k: [F.concat(F.lit("a"), key, F.lit(str(k))), F.lit(f"b{k}"), F.lit(f"c{k}"), (F.col("o_custkey") % 50 + 0.5 * k).cast("string")]
+    lists = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.array(*four(0), *four(1), *four(2)).alias("arguments")).distinct()
+    return S.listed_layers(lists)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size < 1 OR p_size % 2 = 0 THEN 'the window must be odd' WHEN p_partkey % 3 = 2 THEN 'only_multitemporal must be 0 or 1'
@@ -172,3 +176,34 @@ def footprint_rings(spark, sf_dir):
     read = S.footprints_of_gml(texts).select("path", "det_id", F.col("sensed").cast("string").alias("sensed"), F.posexplode("ring").alias("point", "p"))
     supplier_day = F.regexp_extract("path", r"_(\d+)T", 1).cast("long") - 20170101
     return read.select("path", supplier_day.alias("supplier_day"), "det_id", "point", "p.x", "p.y", "sensed")
+
+
+#: Names of folders hold dates of this century, so days of orders are moved by ten years.
+_LAYERS = """dated AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3653 AS d1, CAST(o_orderdate AS DATE) + 3653 + CAST(o_custkey % 3 * 16 AS INTEGER) AS d2 FROM orders),
+named AS (SELECT strftime(d1, '%Y%m%d') || '1034251_x_' || strftime(d2, '%Y%m%d') || '1030181' AS folder, d1, d2 FROM dated)"""
+
+
+def _layer_files(spark, sf_dir):
+    """Three outputs and a stray file for each folder; folders of odd days lack one output."""
+    day = F.date_add(F.to_date("o_orderdate"), 3653)
+    later = F.date_add(day, (F.col("o_custkey") % 3 * 16).cast("int"))
+    text = lambda d: F.date_format(d, "yyyyMMdd")
+    folder = F.concat(text(day), F.lit("1034251_x_"), text(later), F.lit("1030181"))
+    names = F.array(F.lit("Px1_Num6.tif"), F.when(F.dayofmonth(day) % 2 == 0, F.lit("Px2_Num6.tif")), F.lit("Correl_Num_5.tif"), F.lit("Px1_Num6.xml"))
+    rows = table(spark, sf_dir, "orders").select(folder.alias("folder"), F.explode(F.array_compact(names)).alias("name")).distinct()
+    return rows.select(F.concat(F.lit("/out/"), "folder", F.lit("/"), "name").alias("path"))
+
+
+@query(f"""WITH {_LAYERS} SELECT folder, CAST(d1 AS VARCHAR) AS date1, CAST(d2 AS VARCHAR) AS date2, CAST(d2 - d1 AS INTEGER) AS duration_days, '/out/' || folder || '/Px1_Num6.tif' AS px1
+FROM named WHERE day(d1) % 2 = 0 AND d1 <> d2""")
+def search_layers(spark, sf_dir):
+    """Complete layers among the files below a folder."""
+    found = S.layers(_layer_files(spark, sf_dir))
+    return found.select("folder", F.col("date1").cast("string").alias("date1"), F.col("date2").cast("string").alias("date2"), "duration_days", "px1")
+
+
+@query(f"WITH {_LAYERS} SELECT count(*) FILTER (d1 <> d2) AS multitemporal, count(*) AS layers FROM named WHERE day(d1) % 2 = 0")
+def count_layers(spark, sf_dir):
+    """How many complete layers there are, with and without those of one date."""
+    found = S.layers(_layer_files(spark, sf_dir), only_multitemporal=False)
+    return found.agg(F.count_if(F.col("date1") != F.col("date2")).alias("multitemporal"), F.count(F.lit(1)).alias("layers"))

@@ -102,3 +102,31 @@ def rings(spark: SparkSession) -> DataFrame:
 EDGES = "edges(det_id, i, x1, y1, x2, y2) AS (VALUES " + ", ".join(
     f"({k}, {i}, {a[0]}.0, {a[1]}.0, {b[0]}.0, {b[1]}.0)" for k, ring in RINGS.items() for i, (a, b) in enumerate(zip(ring, ring[1:]))
 ) + ")"
+
+
+#: Footprints of suppliers: corners of a convex ring, of one with a dent, and of a strip beside the others of its nation.
+_SHAPES = {
+    "convex": [("x", "y"), ("x + 3 + s % 7", "y + s % 3"), ("x + 2 + s % 5", "y + 8 + s % 4"), ("x - s % 2", "y + 6")],
+    "dented": [("x", "y"), ("x + 8", "y + 2"), ("x + 3", "y + 3 + s % 3"), ("x + 6", "y + 9"), ("x - 1", "y + 5")],
+    "strip": [("20 * i + s % 3", "0"), ("20 * i + 24 + s % 5", "0"), ("20 * i + 22 + s % 5", "63"), ("20 * i - s % 4", "63")],
+}
+_PLACED = """SELECT s_suppkey AS s, s_nationkey AS nation, s_nationkey * 2 AS x, s_suppkey % 17 AS y,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier"""
+
+
+def supplier_rings(spark: SparkSession, sf_dir: str, shape: str = "convex") -> DataFrame:
+    """det_id (the supplier), nation and ring, closed."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("_ring_suppliers")
+    placed = spark.sql(_PLACED.replace("FROM supplier", "FROM _ring_suppliers"))
+    corners = [F.struct(F.expr(a).cast("double").alias("x"), F.expr(b).cast("double").alias("y")) for a, b in _SHAPES[shape]]
+    return placed.select(F.col("s").cast("int").alias("det_id"), F.col("nation").cast("int").alias("nation"), F.array(*corners, corners[0]).alias("ring"))
+
+
+def supplier_edges(shape: str = "convex", name: str = "edges") -> str:
+    """The edges of supplier_rings() in SQL."""
+    corners = _SHAPES[shape]
+    sides = " UNION ALL ".join(
+        f"SELECT s AS det_id, nation, {i} AS i, CAST({a[0]} AS DOUBLE) AS x1, CAST({a[1]} AS DOUBLE) AS y1, CAST({b[0]} AS DOUBLE) AS x2, CAST({b[1]} AS DOUBLE) AS y2 FROM placed"
+        for i, (a, b) in enumerate(zip(corners, [*corners[1:], corners[0]]))
+    )
+    return f"{name} AS (WITH placed AS ({_PLACED}) {sides})"

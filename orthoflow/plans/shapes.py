@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from orthoflow.functions import raster as R
 from orthoflow.operators import geometry as Y
+from orthoflow.operators.overlay import overlay, overlay_area
 from orthoflow.operators.pairing import bbox_overlaps
-from orthoflow.plans.fixtures import EDGES, LAYER, layer, rings, table
+from orthoflow.plans.fixtures import EDGES, LAYER, layer, rings, supplier_edges, supplier_rings, table
 from orthoflow.plans.registry import query
 
 SIDE_OF = "(x2 - x1) * (l.r - y1) - (l.c - x1) * (y2 - y1)"
@@ -77,10 +78,10 @@ def bbox_semi_filter(spark, sf_dir):
     return b.join(one, bbox_overlaps({n: F.col(n) for n in names}, {n: F.col(f"o.{n}") for n in names}), "left_semi").select("id")
 
 
-@query(f"""WITH {EDGES}, a AS (SELECT 90 - degrees(atan2(abs(y2 - y1), abs(x2 - x1))) AS angle FROM edges)
+@query(f"""WITH {supplier_edges()}, a AS (SELECT 90 - degrees(atan2(abs(y2 - y1), abs(x2 - x1))) AS angle FROM edges)
 SELECT round(avg(angle), 6) AS mean, round(stddev_pop(angle), 6) AS std, count(*) AS n FROM a WHERE angle NOT BETWEEN 89.5 AND 90.5 AND angle NOT BETWEEN -0.5 AND 0.5""")
 def edge_angles(spark, sf_dir):
-    return Y.stripe_angle(rings(spark)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+    return Y.stripe_angle(supplier_rings(spark, sf_dir)).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS k, l_quantity AS q, l_suppkey AS s,
@@ -113,15 +114,46 @@ def nearest_two(spark, sf_dir):
     return Y.nearest(layer(spark, sf_dir).select("r", "c"), vertices, 2)
 
 
-#: At the top and the bottom of the footprints, which are trapezoids, their left and right ends.
-ENDS = "ends AS (SELECT det_id, y1 AS y, min(x1) AS x0, max(x1) AS x1 FROM edges GROUP BY det_id, y1)"
+def overlay_sql(shape: str, held: str) -> str:
+    """Trapezoids of the pairs of one nation's footprints, by slabs: pieces (id_a, id_b, own area)."""
+    return f"""WITH {supplier_edges(shape, "given")}, pairs AS (SELECT DISTINCT a.det_id AS id_a, b.det_id AS id_b FROM given a JOIN given b ON a.nation = b.nation AND a.det_id < b.det_id),
+edges AS (SELECT id_a, id_b, second, CASE WHEN y1 < y2 THEN x1 ELSE x2 END AS x1, least(y1, y2) AS y1, CASE WHEN y1 < y2 THEN x2 ELSE x1 END AS x2, greatest(y1, y2) AS y2 FROM (
+  SELECT id_a, id_b, 0 AS second, g.* FROM pairs JOIN given g ON g.det_id = id_a UNION ALL SELECT id_a, id_b, 1, g.* FROM pairs JOIN given g ON g.det_id = id_b) WHERE y1 <> y2),
+cuts AS (SELECT a.id_a, a.id_b, a.y1 + ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / c * (a.y2 - a.y1) AS y
+  FROM (SELECT a, b, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS c FROM edges a JOIN edges b ON a.id_a = b.id_a AND a.id_b = b.id_b AND a.second = 0 AND b.second = 1)
+  WHERE c <> 0 AND ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / c BETWEEN 0 AND 1 AND ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / c BETWEEN 0 AND 1),
+heights AS (SELECT id_a, id_b, y1 AS y FROM edges UNION SELECT id_a, id_b, y2 FROM edges UNION SELECT * FROM cuts),
+slabs AS (SELECT id_a, id_b, y AS s0, lead(y) OVER (PARTITION BY id_a, id_b ORDER BY y) AS s1 FROM heights),
+beside AS (SELECT id_a, id_b, s0, s1, second, x1 + (x2 - x1) * (s0 - y1) / (y2 - y1) AS p, x1 + (x2 - x1) * (s1 - y1) / (y2 - y1) AS q
+  FROM edges JOIN slabs USING (id_a, id_b) WHERE s1 - s0 > 1e-9 AND y1 < (s0 + s1) / 2 AND y2 > (s0 + s1) / 2),
+told AS (SELECT *, sum(1 - second) OVER l % 2 = 1 AS a, sum(second) OVER l % 2 = 1 AS b, lead(p) OVER w + lead(q) OVER w - p - q AS wide FROM beside
+  WINDOW w AS (PARTITION BY id_a, id_b, s0 ORDER BY p + q, p, second), l AS (PARTITION BY id_a, id_b, s0 ORDER BY p + q, p, second ROWS UNBOUNDED PRECEDING))
+SELECT id_a, id_b, round(sum(wide / 2 * (s1 - s0)), 5) AS area, count(*) AS pieces FROM told WHERE wide > 1e-9 AND ({held}) GROUP BY id_a, id_b"""
+
+
+def ring_pairs(spark, sf_dir, shape):
+    """Pairs of footprints of one nation."""
+    r = supplier_rings(spark, sf_dir, shape)
+    a = r.select("nation", F.col("det_id").alias("id_a"), F.col("ring").alias("ring_a"))
+    b = r.select("nation", F.col("det_id").alias("id_b"), F.col("ring").alias("ring_b"))
+    return a.join(b, "nation").where("id_a < id_b").drop("nation")
+
+
+@query(f"SELECT id_a, id_b, round(area, 4) AS area FROM ({overlay_sql('convex', 'a AND b')}) WHERE area > 1e-4")
+def polygon_clip(spark, sf_dir):
+    """Intersections of convex footprints, each as a ring."""
+    got = Y.intersections(ring_pairs(spark, sf_dir, "convex"))
+    return got.select("id_a", "id_b", F.round(F.round(Y.area(F.col("ring")), 5), 4).alias("area")).where("area > 1e-4")
 
 
-@query(f"""WITH {EDGES}, {ENDS} SELECT a.det_id AS id_a, b.det_id AS id_b, round(sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) / 2 * 63, 6) AS area
-FROM ends a JOIN ends b ON b.det_id = a.det_id + 1 AND b.y = a.y GROUP BY ALL""")
-def polygon_clip(spark, sf_dir):
-    """Intersections of neighbouring footprints."""
-    r = rings(spark)
-    a, b = r.select(F.col("det_id").alias("id_a"), F.col("ring").alias("ring_a")), r.select(F.col("det_id").alias("id_b"), F.col("ring").alias("ring_b"))
-    got = Y.intersections(a.join(b, F.col("id_b") == F.col("id_a") + 1))
-    return got.select("id_a", "id_b", F.round(Y.area(F.col("ring")), 6).alias("area"))
+def _overlay(how):
+    def run(spark, sf_dir):
+        found = overlay_area(overlay(ring_pairs(spark, sf_dir, "dented"), how))
+        return found.select("id_a", "id_b", F.round("area", 5).alias("area"), "pieces")
+
+    run.__name__ = f"polygon_{how}"
+    return run
+
+
+for _how, _held in {"both": "a AND b", "either": "a OR b", "first": "a AND NOT b"}.items():
+    query(overlay_sql("dented", _held))(_overlay(_how))

@@ -121,12 +121,12 @@ def ring_of(coordinates: Column, dimension: int = 3) -> Column:
     return F.transform(at, lambda i: F.struct(F.get(numbers, i * dimension).alias("x"), F.get(numbers, i * dimension + 1).alias("y")))
 
 
-def listed_layers(spark: SparkSession, arguments: list[str]) -> DataFrame:
-    """Layers from arguments in fours: px1, px2, cc and the duration in days."""
-    if len(arguments) % 4:
-        raise ValueError("a layer has four arguments")
-    rows = [(i // 4, *arguments[i : i + 3], float(arguments[i + 3])) for i in range(0, len(arguments), 4)]
-    return spark.createDataFrame(rows, "layer int, px1 string, px2 string, cc string, duration_days double")
+def listed_layers(lists: DataFrame) -> DataFrame:
+    """Layers from lists of arguments in fours (id, arguments): id, layer, px1, px2, cc and the duration in days."""
+    whole = F.when(F.size("arguments") % 4 == 0, F.col("arguments")).otherwise(F.raise_error(F.lit("a layer has four arguments")).cast("array<string>"))
+    each = lists.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("arguments"), F.lit(4)), lambda i: F.slice(whole, i, F.lit(4)))).alias("layer", "a"))
+    part = lambda k: F.get("a", F.lit(k))
+    return each.select("id", "layer", part(0).alias("px1"), part(1).alias("px2"), part(2).alias("cc"), part(3).cast("double").alias("duration_days"))
 
 
 def ring_of_wkt(text: Column) -> Column:

@@ -561,6 +561,7 @@ def test_raster_information(spark, tmp_path):
 
 
 def test_listed_layers(spark):
-    assert scenes.listed_layers(spark, ["a", "b", "c", "12"]).first()["duration_days"] == 12
-    with pytest.raises(ValueError):
-        scenes.listed_layers(spark, ["a"])
+    lists = lambda a: spark.createDataFrame([(1, a)], "id int, arguments array<string>")
+    assert [r["duration_days"] for r in scenes.listed_layers(lists(["a", "b", "c", "12", "d", "e", "f", "24.5"])).collect()] == [12, 24.5]
+    with pytest.raises(Exception, match="four arguments"):
+        scenes.listed_layers(lists(["a"])).collect()

@@ -142,3 +142,32 @@ def test_planted_shift_is_found_in_all_layers(spark):
 def test_a_cell_of_correlation_is_decoded(spark):
     got = spark.createDataFrame([(-1.0,), (0.0,), (0.5,), (1.0,)], "cc double").select((matching.cc_byte(F.col("cc")) - 127) / 128).collect()
     assert np.allclose([r[0] for r in got], [-127 / 128, 0, 0.5, 1])
+
+
+def test_overlay_of_dented_rings(spark):
+    from orthoflow.operators import overlay
+
+    star = lambda n, cx, cy, big, small, turn: [
+        (cx + (big if k % 2 else small) * math.cos(math.pi * k / n + turn), cy + (big if k % 2 else small) * math.sin(math.pi * k / n + turn)) for k in range(2 * n)
+    ]
+    a, b = star(5, 50, 50, 40, 15, 0.1), star(7, 62, 45, 35, 20, 0.7)
+    square, apart = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(20.0, 0.0), (30.0, 0.0), (30.0, 10.0), (20.0, 10.0)]
+    closed = lambda ring: [(float(x), float(y)) for x, y in [*ring, ring[0]]]
+    rows = [(1, closed(a), 2, closed(b)), (3, closed(square), 3, closed(square)), (4, closed(square), 5, closed(apart)), (6, closed(square[::-1]), 7, closed([(5.0, 5.0), (15.0, 5.0), (15.0, 15.0), (5.0, 15.0)]))]
+    pairs = spark.createDataFrame(rows, "id_a int, ring_a array<struct<x:double,y:double>>, id_b int, ring_b array<struct<x:double,y:double>>")
+    areas = {how: {r["id_a"]: r["area"] for r in overlay.overlay_area(overlay.overlay(pairs, how, 7.0)).collect()} for how in ("both", "either", "first")}
+    y, x = np.mgrid[0:110:0.1, 0:110:0.1] + 0.05
+
+    def inside(ring):
+        out = np.zeros(x.shape, bool)
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
+            if y1 != y2:
+                out ^= ((y1 > y) != (y2 > y)) & (x < x1 + (x2 - x1) * (y - y1) / (y2 - y1))
+        return out
+
+    in_a, in_b = inside(a), inside(b)
+    for how, held in (("both", in_a & in_b), ("either", in_a | in_b), ("first", in_a & ~in_b)):
+        assert abs(areas[how][1] - held.sum() / 100) < 2.0
+    assert abs(areas["both"][1] + areas["first"][1] - abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(a, [*a[1:], a[0]]))) / 2) < 1e-6
+    assert np.allclose([areas["both"][3], areas["either"][3], areas["either"][4], areas["both"][6], areas["either"][6], areas["first"][6]], [100, 100, 200, 25, 175, 75])
+    assert 4 not in areas["both"] and 3 not in areas["first"]
