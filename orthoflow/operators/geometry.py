@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orthoflow.operators.statistics import averages
+
 
 def snapped(ring: Column) -> Column:
     """The ring with coordinates truncated to whole cells."""
@@ -113,12 +115,11 @@ def affine(ring: Column, m: Sequence[float]) -> Column:
 
 def zone_statistics(cells: DataFrame, option: str, value: str = "v", clip: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Average (mean, median or mode of 3 decimals, the smallest of equals) and deviation by keys and det_id."""
-    options = {"mean": F.avg(value), "median": F.percentile(value, F.lit(0.5)), "mode": F.mode(F.round(value, 3), True)}
-    if option not in options:
-        raise ValueError(f"unknown average: {option}")
     if clip is not None:
         cells = cells.where(F.abs(F.col(value)) <= clip)
-    return cells.groupBy(*keys, "det_id").agg(options[option].alias("average"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    by = [*keys, "det_id"]
+    rest = cells.groupBy(*by).agg(F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    return averages(cells, by, value, option).withColumnRenamed("m", "average").join(rest, by)
 
 
 def clip(cells: DataFrame, ring: Sequence[tuple[float, float]], value: str = "v", no_data: float = -9999) -> DataFrame:

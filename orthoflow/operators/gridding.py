@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orthoflow.operators.statistics import averages
+
 
 def zoom_out(df: DataFrame, factor: int, columns: Sequence[str], whole: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """Means over factor-by-factor blocks; those of `whole` are rounded, as bytes stay bytes."""
@@ -147,9 +149,6 @@ def destripe(source: DataFrame, rows: int, cols: int, degrees: float, value: str
     those of the input, not of what is left after the columns. option: median,
     mean, or mode (of 3 decimals, the smallest of equals).
     """
-    averages = {"mean": F.avg("got"), "median": F.percentile("got", F.lit(0.5)), "mode": F.mode(F.round("got", 3), True)}
-    if option not in averages:
-        raise ValueError(f"unknown average: {option}")
     turn = rotation(rows, cols, degrees)
     rotated = rotate(source, rows, cols, degrees, value)
     a, b, c, d, e, f = turn.inverse
@@ -160,10 +159,10 @@ def destripe(source: DataFrame, rows: int, cols: int, degrees: float, value: str
     out = source.select("r", "c", F.col(value).alias("v")).withColumns({"rr": rr, "rc": rc})
     total = F.lit(0.0)
     if along:
-        profile = rotated.groupBy(F.col("c").alias("rc")).agg(averages[option].alias("along"))
+        profile = averages(rotated, ["c"], "got", option).select(F.col("c").alias("rc"), F.col("m").alias("along"))
         out, total = out.join(profile, "rc", "left"), total + F.coalesce("along", F.lit(0.0))
     if across:
-        profile = rotated.groupBy(F.col("r").alias("rr")).agg(averages[option].alias("across"))
+        profile = averages(rotated, ["r"], "got", option).select(F.col("r").alias("rr"), F.col("m").alias("across"))
         out, total = out.join(profile, "rr", "left"), total + F.coalesce("across", F.lit(0.0))
     return out.select("r", "c", (F.col("v") - total).alias("v"), total.alias("stripe"))
 

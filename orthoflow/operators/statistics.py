@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow.sources.scratch import stored
@@ -136,6 +136,84 @@ def exact_median(df: DataFrame, value: Column, most: int = 20_000) -> float | No
     return found if upto > n // 2 else (found + above) / 2
 
 
+#: Values of a key that one task may hold, and the parts that a bracket of more is cut into.
+HELD, PARTS = 100_000, 4_096
+
+
+def sizes(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """keys, n, low, high of the values that are not null, stored."""
+    v = value.cast("double")
+    return stored(df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")), "sizes")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, q: float = 0.5, held: int = HELD, of: DataFrame | None = None) -> DataFrame:
+    """The exact quantile m (interpolated; null over no value) of every key at once: keys, m.
+
+    Keys of at most `held` values are sorted in a task. For the others, a bracket
+    that holds the wanted rank is cut into PARTS equal parts, whose values are
+    counted by an aggregate; the part with the rank, from its least to its greatest
+    value, is the next bracket, until it holds at most `held` values or one value
+    only. So no task holds a key, and each round reads the rows once, for all
+    keys. of: sizes() of the same rows, if known; df should be cheap to read again.
+    Keys must not be null.
+    """
+    keys, v = list(keys), value.cast("double")
+    of = sizes(df, keys, value) if of is None else of
+    many = of.where(F.col("n") > held)
+    rows = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL")
+    if many.isEmpty():
+        return of.select(*keys).join(rows.groupBy(*keys).agg(F.percentile("_v", F.lit(q)).alias("m")), keys, "left")
+    few = of.where(F.col("n") <= held).select(*keys).join(rows.join(many.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.percentile("_v", F.lit(q)).alias("m")), keys, "left")
+    place = (F.col("n") - 1) * F.lit(float(q))
+    start = many.select(*keys, "low", "high", F.floor(place).alias("rank"), F.col("n").alias("left"))
+    open_, done = stored(start, "brackets"), None
+    between = F.col("_v").between(F.col("low"), F.col("high"))
+    over = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        ready = open_.where((F.col("left") <= held) | (F.col("low") == F.col("high")))
+        done = ready if done is None else done.unionByName(ready)
+        open_ = open_.where((F.col("left") > held) & (F.col("low") < F.col("high")))
+        if open_.isEmpty():
+            break
+        # halves, as the whole width may be beyond the greatest double
+        share = (F.col("_v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        part = F.least(F.floor(share * PARTS).cast("int"), F.lit(PARTS - 1))
+        counted = rows.join(open_, keys).where(between).groupBy(*keys, part.alias("part"), "rank").agg(
+            F.count(F.lit(1)).alias("left"), F.min("_v").alias("low"), F.max("_v").alias("high")
+        )
+        before = counted.withColumn("before", F.coalesce(F.sum("left").over(over), F.lit(0)))
+        kept = before.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("left")))
+        open_ = stored(kept.select(*keys, "low", "high", (F.col("rank") - F.col("before")).alias("rank"), "left"), "brackets")
+    one = done.where(F.col("low") == F.col("high")).select(*keys, F.col("low").alias("at"))
+    some = rows.join(done.where(F.col("low") < F.col("high")), keys).where(between)
+    sorted_ = some.groupBy(*keys, "rank").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+    found = stored(one.unionByName(sorted_.select(*keys, F.get("_vs", F.col("rank").cast("int")).alias("at"))), "ranked")
+    # the next value up, where the quantile lies between two ranks
+    upto, above = F.count_if(F.col("_v") <= F.col("at")), F.min(F.when(F.col("_v") > F.col("at"), F.col("_v")))
+    next_ = rows.join(found, keys).groupBy(*keys, "at").agg(upto.alias("upto"), above.alias("above")).join(many.select(*keys, "n"), keys)
+    up = F.when(F.col("upto") > F.floor(place) + 1, F.col("at")).otherwise(F.coalesce("above", "at"))
+    part_ = place - F.floor(place)
+    m = F.when(part_ == 0, F.col("at")).otherwise(F.col("at") * (1 - part_) + up * part_)
+    return few.unionByName(next_.select(*keys, m.alias("m")))
+
+
+def exact_modes(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """The commonest value m of every key, the smallest of equals: keys, m. Values are counted first, so no task holds a key."""
+    counted = df.select(*keys, value.alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    return counted.groupBy(*keys).agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("m"))
+
+
+def averages(df: DataFrame, keys: Sequence[str], value: str, option: str) -> DataFrame:
+    """mean, median, or mode (of 3 decimals, the smallest of equals) of every key: keys, m."""
+    if option not in ("mean", "median", "mode"):
+        raise ValueError(f"unknown average: {option}")
+    if option == "mean":
+        return df.groupBy(*keys).agg(F.avg(value).alias("m"))
+    if option == "median":
+        return exact_quantiles(df, keys, F.col(value))
+    return exact_modes(df, keys, F.round(value, 3))
+
+
 def fit_plane(df: DataFrame, iterations: int = 10, tol: float = 1e-5, tune: float = TUNE) -> Plane:
     """Robust plane through rows x, y, z (null z is left out) by iterated biweights.
 
@@ -177,9 +255,11 @@ def fit_planes(df: DataFrame, key: str, iterations: int = 10, tol: float = 1e-5,
     """fit_plane() of every key at once: key, a, b, c, and m, the median of absolute residuals after the last step.
 
     A key whose median is below tol keeps its plane. Planes are null where the
-    weighted points span none. The median of a key is exact and found in one task.
+    weighted points span none. Medians are exact, see exact_quantiles().
     """
     rows = df.where(F.col("z").isNotNull()).select(key, "x", "y", "z")
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HELD)
+    large = not many.isEmpty()  # residuals of a key are as many in each step
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     terms = {"sxx": x * x, "sxy": x * y, "sx": x, "syy": y * y, "sy": y, "n": F.lit(1.0), "sxz": x * z, "syz": y * z, "sz": z}
     m = [[F.col(k) for k in row] for row in (("sxx", "sxy", "sx"), ("sxy", "syy", "sy"), ("sx", "sy", "n"))]
@@ -201,7 +281,8 @@ def fit_planes(df: DataFrame, key: str, iterations: int = 10, tol: float = 1e-5,
     residual = F.abs(F.col("a") * x + F.col("b") * y + F.col("c") - z)
 
     def with_median(planes: DataFrame) -> DataFrame:
-        middle = rows.join(planes, key).groupBy(key).agg(F.percentile(residual, F.lit(0.5)).alias("m"))
+        met = rows.join(planes, key)
+        middle = exact_quantiles(met, [key], residual) if large else met.groupBy(key).agg(F.percentile(residual, F.lit(0.5)).alias("m"))
         # a row for each key, without lineage, which would grow by a power with the steps
         return stored(planes.join(middle, key), "planes")
 

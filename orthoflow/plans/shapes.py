@@ -114,7 +114,7 @@ def nearest_two(spark, sf_dir):
     return Y.nearest(layer(spark, sf_dir).select("r", "c"), vertices, 2)
 
 
-def overlay_sql(shape: str, held: str) -> str:
+def overlay_sql(shape: str, held: str, digits: int = 5) -> str:
     """Trapezoids of the pairs of one nation's footprints, by slabs: pieces (id_a, id_b, own area)."""
     return f"""WITH {supplier_edges(shape, "given")}, pairs AS (SELECT DISTINCT a.det_id AS id_a, b.det_id AS id_b FROM given a JOIN given b ON a.nation = b.nation AND a.det_id < b.det_id),
 edges AS (SELECT id_a, id_b, second, CASE WHEN y1 < y2 THEN x1 ELSE x2 END AS x1, least(y1, y2) AS y1, CASE WHEN y1 < y2 THEN x2 ELSE x1 END AS x2, greatest(y1, y2) AS y2 FROM (
@@ -128,7 +128,7 @@ beside AS (SELECT id_a, id_b, s0, s1, second, x1 + (x2 - x1) * (s0 - y1) / (y2 -
   FROM edges JOIN slabs USING (id_a, id_b) WHERE s1 - s0 > 1e-9 AND y1 < (s0 + s1) / 2 AND y2 > (s0 + s1) / 2),
 told AS (SELECT *, sum(1 - second) OVER l % 2 = 1 AS a, sum(second) OVER l % 2 = 1 AS b, lead(p) OVER w + lead(q) OVER w - p - q AS wide FROM beside
   WINDOW w AS (PARTITION BY id_a, id_b, s0 ORDER BY p + q, p, second), l AS (PARTITION BY id_a, id_b, s0 ORDER BY p + q, p, second ROWS UNBOUNDED PRECEDING))
-SELECT id_a, id_b, round(sum(wide / 2 * (s1 - s0)), 5) AS area, count(*) AS pieces FROM told WHERE wide > 1e-9 AND ({held}) GROUP BY id_a, id_b"""
+SELECT id_a, id_b, round(sum(wide / 2 * (s1 - s0)), {digits}) AS area, count(*) AS pieces FROM told WHERE wide > 1e-9 AND ({held}) GROUP BY id_a, id_b"""
 
 
 def ring_pairs(spark, sf_dir, shape):
@@ -139,11 +139,11 @@ def ring_pairs(spark, sf_dir, shape):
     return a.join(b, "nation").where("id_a < id_b").drop("nation")
 
 
-@query(f"SELECT id_a, id_b, round(area, 4) AS area FROM ({overlay_sql('convex', 'a AND b')}) WHERE area > 1e-4")
+@query(f"SELECT id_a, id_b, area FROM ({overlay_sql('convex', 'a AND b', 6)}) WHERE area > 1e-4")
 def polygon_clip(spark, sf_dir):
     """Intersections of convex footprints, each as a ring."""
     got = Y.intersections(ring_pairs(spark, sf_dir, "convex"))
-    return got.select("id_a", "id_b", F.round(F.round(Y.area(F.col("ring")), 5), 4).alias("area")).where("area > 1e-4")
+    return got.select("id_a", "id_b", F.round(Y.area(F.col("ring")), 6).alias("area")).where("area > 1e-4")
 
 
 def _overlay(how):

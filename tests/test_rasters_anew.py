@@ -171,3 +171,28 @@ def test_overlay_of_dented_rings(spark):
     assert abs(areas["both"][1] + areas["first"][1] - abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(a, [*a[1:], a[0]]))) / 2) < 1e-6
     assert np.allclose([areas["both"][3], areas["either"][3], areas["either"][4], areas["both"][6], areas["either"][6], areas["first"][6]], [100, 100, 200, 25, 175, 75])
     assert 4 not in areas["both"] and 3 not in areas["first"]
+
+
+@pytest.mark.parametrize("q", [0.5, 0.0, 1.0, 0.3])
+def test_quantiles_of_keys_that_no_task_holds(spark, q, monkeypatch):
+    from orthoflow.operators import statistics
+
+    monkeypatch.setattr(statistics, "PARTS", 8)
+    rng = np.random.default_rng(4)
+    groups = {
+        1: rng.normal(size=4001), 2: rng.integers(0, 3, 3000), 3: np.r_[rng.exponential(size=2500) ** 9, 1e300, -1e300], 4: np.full(2000, 7.0), 5: rng.normal(size=20),
+        6: np.r_[np.zeros(1000), np.ones(1000)],
+    }
+    rows = [(k, float(v)) for k, own in groups.items() for v in own] + [(1, None), (7, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r["m"] for r in statistics.exact_quantiles(df, ["g"], F.col("v"), q, held=50).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7} and got[7] is None
+    for k, own in groups.items():
+        assert np.isclose(got[k], np.quantile(own.astype(float), q), rtol=1e-12, atol=0)
+
+
+def test_modes_by_counts(spark):
+    from orthoflow.operators import statistics
+
+    df = spark.createDataFrame([(1, 2.0)] * 3 + [(1, 1.0)] * 3 + [(1, 5.0), (2, None), (3, 4.0), (3, None), (3, None)], "g int, v double")
+    assert {r["g"]: r["m"] for r in statistics.exact_modes(df, ["g"], F.col("v")).collect()} == {1: 1.0, 2: None, 3: 4.0}
