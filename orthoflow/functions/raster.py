@@ -112,6 +112,7 @@ def normal_density(x: Column, mu: Column, sigma: Column) -> Column:
 
 def two_dates(name: Column) -> Column:
     """The two dates in a folder name: 8 digits from 20, each followed by 7 digits; null if there are none."""
+    # fixed value: the form of dates and times in the names
     pattern = r"(20[0-9]{6})[0-9]{7}.*(20[0-9]{6})[0-9]{7}"
     one = lambda k: F.to_date(F.regexp_extract(name, pattern, k), "yyyyMMdd")
     return F.when(name.rlike(pattern), F.struct(one(1).alias("date1"), one(2).alias("date2")))
