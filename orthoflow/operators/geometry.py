@@ -118,8 +118,9 @@ def zone_statistics(cells: DataFrame, option: str, value: str = "v", clip: float
     if clip is not None:
         cells = cells.where(F.abs(F.col(value)) <= clip)
     by = [*keys, "det_id"]
+    found = averages(cells, by, value, option).withColumnRenamed("m", "average")
     rest = cells.groupBy(*by).agg(F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
-    return averages(cells, by, value, option).withColumnRenamed("m", "average").join(rest, by)
+    return found.join(rest, by)
 
 
 def clip(cells: DataFrame, ring: Sequence[tuple[float, float]], value: str = "v", no_data: float = -9999) -> DataFrame:
