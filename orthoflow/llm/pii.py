@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow.llm.scratch import attach, fresh, stored
-from orthoflow.llm.textspans import count_kind, joined, nothing, overlaps, spans
+from orthoflow.llm.textspans import clear_of, count_kind, joined, nothing, replaced, spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match may start at the start of a run of its characters or where the last match ended.
@@ -87,14 +87,7 @@ def coarse(value: Column) -> Column:
 
 def _hidden(text: Column, base: Column) -> Column:
     """text with a filler for each character of a base span, so that places stay."""
-
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(acc["at"], s["start"])
-        piece = F.substring(text, acc["at"] + 1, start - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece, F.repeat(F.lit(FILLER), s["end"] - start)).alias("out"))
-
-    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(base) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return replaced(text, base, lambda s, at: F.repeat(F.lit(FILLER), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -108,8 +101,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     found = found.select("doc_id", "text_hash", "base", _hidden(F.col("t"), F.col("base")).alias("t"))
     found = found.select("doc_id", "text_hash", "base", "t", spans(F.col("t"), SPACED, "", 9, F.lit(True)).alias("spaced"))
     found = found.withColumn("spaced", F.filter("spaced", lambda s: _sized(s["value"], 7, 19)))
-    whole = F.filter(spans(F.col("t"), CANDIDATE, "", 9, F.lit(True)), lambda s: ~overlaps(s, F.col("spaced")))
-    one = found.select("doc_id", "text_hash", F.explode(F.concat("base", "spaced", whole)).alias("c"))
+    found = found.withColumn("whole", spans(F.col("t"), CANDIDATE, "", 9, F.lit(True)))
+    one = found.select("doc_id", "text_hash", F.explode(F.concat("base", "spaced", clear_of(F.col("whole"), F.col("spaced")))).alias("c"))
     label = F.when(F.col("c.kind") != "", F.col("c.kind"))
     left = F.lower(F.regexp_extract("c.left", r"(?<!\S)(\S++)[^\S\n]*+$", 1))
     right = F.lower(F.regexp_extract("c.right", r"^[^\S\n]*+(\S++)", 1))
@@ -207,8 +200,8 @@ def _with_spans(docs: DataFrame, rows: DataFrame, text_hash: str, found: str, ba
     extra_id, extra_hash, extra = (fresh(rows, x) for x in ("_extra_id", "_extra_hash", "_extra"))
     more = discovered(docs).toDF(extra_id, extra_hash, extra)
     same = rows["doc_id"].eqNullSafe(more[extra_id]) & (rows[text_hash] == more[extra_hash])
-    new = F.filter(F.coalesce(extra, nothing()), lambda s: ~overlaps(s, F.col(base)))
-    return rows.join(more, same, "left").withColumn(found, F.array_sort(F.concat(base, new))).drop(extra_id, extra_hash, extra, text_hash)
+    rows = rows.join(more, same, "left").withColumn(extra, F.coalesce(extra, nothing()))
+    return rows.withColumn(found, F.array_sort(F.concat(base, clear_of(F.col(extra), F.col(base))))).drop(extra_id, extra_hash, extra, text_hash)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -245,12 +238,6 @@ def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
     rows = _with_spans(docs, docs.withColumns({base: base_spans(text), text_hash: F.xxhash64("text")}), text_hash, found, base)
     before, after = mark.split("{kind}")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(before), s["kind"], F.lit(after))
-        more = F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], inside).otherwise(more)
-
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rest = F.substring(text, done["at"] + 1, F.length(text))
-    return rows.withColumn("redacted", F.concat(done["out"], rest)).drop(found, base)
+    # a span that starts inside an earlier one leaves no mark
+    marked = lambda s, at: F.when(s["start"] < at, "").otherwise(F.concat(F.lit(before), s["kind"], F.lit(after)))
+    return rows.withColumn("redacted", replaced(text, F.col(found), marked)).drop(found, base)

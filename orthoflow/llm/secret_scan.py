@@ -15,8 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoflow.llm.scratch import hashed_below, train_fraction
-from orthoflow.llm.textspans import count_kind, joined, overlaps, spans
+from orthoflow.llm.textspans import clear_of, count_kind, joined, spans
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +26,8 @@ VALUE = r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"
 NUMBER = r"^[0-9+/_=-]*$"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: The ordinary chain learns from so many documents at most; of so many ordinary tokens one is a secret.
-MAX_TRAIN_ROWS, ODDS = 20_000, 1_000_000
+#: Of so many ordinary tokens one is a secret.
+ODDS = 1_000_000
 #: So many pairs of each first character are taken from the chances of all characters.
 BORROWED = 10
 
@@ -49,34 +48,33 @@ def _pairs(value: Column) -> Column:
     return F.when(F.length(value) >= 2, F.transform(ends, lambda i: F.substring(value, i, F.lit(2))))
 
 
-def _counts(words: Column, rows: DataFrame) -> dict[str, int]:
-    """How often each pair of ALPHABET stands in the words of rows; at most one entry for each pair."""
-    pairs = rows.select(F.explode(words).alias("w")).select(F.explode(_pairs(F.col("w"))).alias("pair"))
-    return dict(map(tuple, pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()))
-
-
 def _values(base: Column) -> Column:
     """What is secret in base spans: the value of an assignment, else the whole."""
     return F.transform(base, lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["value"], VALUE, 1)).otherwise(s["value"]))
 
 
-def fit(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> list[float]:
+def fit(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios of random against ordinary, for each pair of ALPHABET.
 
-    The random chain learns from the base secrets of all rows, however rare they
-    are; the ordinary one from all rows if there are at most max_train_rows, else
-    from about so many, chosen by a hash of doc_id and text. Without documents
-    all ratios are 0.
+    Both chains learn from all rows in one pass: the random one from the base
+    secrets, the ordinary one from the tokens that share no character with one.
+    Words are counted before their pairs are; at most two counts for each pair
+    come to the driver. Without documents all ratios are 0.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    random = _counts(_values(base_spans(F.col("t"))), rows)
-    sample = rows.where(hashed_below(train_fraction(docs.count(), max_train_rows), "doc_id", "text"))
-    sample = sample.select("t", _values(base_spans(F.col("t"))).alias("secret"))
-    # a token that holds a secret is none of the ordinary ones
-    alien = lambda w: F.exists("secret", lambda s: F.contains(w, s) | F.contains(s, w))
-    ordinary = _counts(F.filter(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), lambda w: ~alien(w)), sample)
-    logs = [_chain(random), _chain(ordinary)]
-    return [x - y for x, y in zip(*logs)]
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("t", base_spans(F.col("t")).alias("base"))
+    # places are looked up only in texts that have a secret
+    rows = rows.select("t", "base", spans(F.col("t"), TOKEN, "", 9, F.size("base") > 0).alias("placed"))
+    beside = F.transform(clear_of(F.col("placed"), F.col("base")), lambda s: s["value"])
+    ordinary = F.when(F.size("base") > 0, beside).otherwise(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)))
+    labelled = lambda words, random: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(random).alias("random")))
+    words = rows.select(F.explode(F.concat(labelled(_values(F.col("base")), True), labelled(ordinary, False))).alias("x")).select("x.w", "x.random")
+    words = words.groupBy("w", "random").agg(F.count(F.lit(1)).alias("n"))
+    pairs = words.select(F.explode(_pairs(F.col("w"))).alias("pair"), "random", "n").where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$"))
+    seen: dict[bool, dict[str, int]] = {True: {}, False: {}}
+    for pair, random, n in pairs.groupBy("pair", "random").agg(F.sum("n").alias("n")).collect():
+        seen[random][pair] = n
+    return [x - y for x, y in zip(_chain(seen[True]), _chain(seen[False]))]
 
 
 def _chain(seen: dict[str, int]) -> list[float]:
@@ -111,16 +109,16 @@ def secrets(docs: DataFrame, table: list[float], odds: float = ODDS) -> DataFram
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     suspect = lambda w: ~w.rlike(NUMBER) & (ratio(w, table) >= math.log(odds))
     tokens = F.array_distinct(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)))
-    rows = docs.select("doc_id", text.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base"), F.filter(tokens, suspect).alias("suspects"))
+    rows = docs.select("doc_id", text.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("base"), F.exists(tokens, suspect).alias("any"))
     # places are looked up only in texts that have a suspect
-    placed = spans(F.col("t"), TOKEN, "random", 3, F.size("suspects") > 0)
-    new = F.filter(placed, lambda s: F.array_contains("suspects", s["value"]) & ~overlaps(s, F.col("base")))
-    return rows.select("doc_id", F.array_sort(F.concat("base", new)).alias("found"), "base")
+    placed = F.filter(spans(F.col("t"), TOKEN, "random", 3, F.col("any")), lambda s: suspect(s["value"]))
+    rows = rows.select("doc_id", "base", placed.alias("placed"))
+    return rows.select("doc_id", F.array_sort(F.concat("base", clear_of(F.col("placed"), F.col("base")))).alias("found"), "base")
 
 
-def scan(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """Trains on docs and scans them, see fit() and secrets()."""
-    return secrets(docs, fit(docs, max_train_rows))
+    return secrets(docs, fit(docs))
 
 
 def report(rows: DataFrame) -> DataFrame:

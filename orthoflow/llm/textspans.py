@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Matches whose places are summed together.
 CHUNK = 64
+#: Characters of a cell, from which pieces of a text are taken.
+CELL_BITS = 8
+CELL = 1 << CELL_BITS
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:string,right:string>>"
 
 
@@ -79,3 +82,68 @@ def count_kind(found: Column, kind: str) -> Column:
 def overlaps(span: Column, others: Column) -> Column:
     """Whether a span shares a character with one of others."""
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+
+
+def reach(found: Column) -> Column:
+    """For each span, by start, the largest end up to it; in chunks as above."""
+
+    def run(ends: Column, at: Column) -> Column:
+        return F.aggregate(ends, F.array(at), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+
+    def each(parts: Column) -> Column:
+        tops = run(F.transform(parts, F.array_max), F.lit(0))
+        inside = lambda part, at: F.slice(run(part, at), F.lit(2), F.size(part))
+        return F.flatten(F.zip_with(parts, F.slice(tops, F.lit(1), F.size(parts)), inside))
+
+    def chunked(ends: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(1), F.size(ends), F.lit(CHUNK)), lambda i: F.slice(ends, i, F.lit(CHUNK))), each)
+
+    return F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(let(F.transform(found, lambda s: s["end"]), chunked))
+
+
+def clear_of(found: Column, others: Column) -> Column:
+    """The spans that share no character with one of others, which are by start.
+
+    Of many others the first one that ends behind a span's start is searched by
+    halves: where it starts behind the span, so do all later ones.
+    """
+
+    def far(ends: Column) -> Column:
+        n = F.size(others)
+
+        def halve(acc: Column, start: Column) -> Column:
+            mid = F.shiftright(acc["low"] + acc["high"], 1)
+            above = F.get(ends, mid) <= start
+            low, high = F.when(above, mid + 1).otherwise(acc["low"]), F.when(above, acc["high"]).otherwise(mid)
+            return F.when(acc["low"] >= acc["high"], acc).otherwise(F.struct(low.alias("low"), high.alias("high")))
+
+        def first(start: Column) -> Column:
+            steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+            return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), lambda acc, _: halve(acc, start))["low"]
+
+        return F.filter(found, lambda s: F.coalesce(F.get(others, first(s["start"]))["start"] >= s["end"], F.lit(True)))
+
+    few = F.filter(found, lambda s: ~overlaps(s, others))
+    return F.when((F.size(found) == 0) | (F.size(others) == 0), found).when(F.size(others) <= CHUNK, few).otherwise(let(reach(others), far))
+
+
+def replaced(text: Column, found: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """text with by(span, at) in place of each span, by start; at is the largest end before it.
+
+    Pieces are taken from cells of the text, as substring() walks from its start.
+    """
+
+    def filled(cells: Column, ends: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first = F.shiftright(a, CELL_BITS)
+            near = F.slice(cells, first + 1, F.shiftright(b + (CELL - 1), CELL_BITS) - first)
+            return F.substring(F.array_join(near, ""), a - first * CELL + 1, b - a)
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            return F.concat(piece(at, F.greatest(at, s["start"])), by(s, at))
+
+        return F.concat(F.array_join(F.transform(found, one), ""), piece(F.element_at(ends, -1), F.length(text)))
+
+    cells = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))
+    return F.when(F.size(found) == 0, text).otherwise(let(cells, lambda c: let(reach(found), lambda ends: filled(c, ends))))

@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from orthoflow.llm import langid, pii, quality, queries, secret_scan, toxicity
+from orthoflow.llm import langid, pii, quality, queries, secret_scan, textspans, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -111,6 +111,40 @@ def test_many_matches_in_one_text(documents):
     assert r["n_email"] == counts[0] == 4_000 and r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_spans_against_many_others(spark):
+    rng = random.Random(12)
+
+    def some(n, apart):
+        at, out = 0, []
+        for _ in range(n):
+            start = at + rng.randrange(1 if apart else 0, 9)
+            out.append((start, 0, start + rng.randrange(1, 20), "k", "", "", ""))
+            at = out[-1][2] if apart else start
+        return out
+
+    cases = [(i, some(a, True), some(b, False), "né😀x" * rng.randrange(900)) for i, (a, b) in enumerate([(0, 0), (0, 5), (5, 0), (1, 1), (70, 64), (64, 65), (300, 700), (700, 130)])]
+    df = spark.createDataFrame(cases, f"i int, a {textspans.SPAN}, b {textspans.SPAN}, t string")
+    mark = lambda s, at: F.when(s["start"] < at, "").otherwise("<>")
+    got = df.select("i", textspans.clear_of(F.col("a"), F.col("b")).alias("clear"), textspans.reach(F.col("b")).alias("reach"), textspans.replaced(F.col("t"), F.col("b"), mark).alias("r"))
+    for r, (_, a, b, t) in zip(got.orderBy("i").collect(), cases):
+        assert [tuple(x) for x in r["clear"]] == [x for x in a if not any(o[0] < x[2] and x[0] < o[2] for o in b)]
+        at, out, ends = 0, "", []
+        for s in b:
+            out += t[at : max(at, s[0])] + ("<>" if s[0] >= at else "")
+            at = max(at, s[2])
+            ends.append(at)
+        assert r["reach"] == ends and r["r"] == out + t[at:]
+
+
+def test_ordinary_chain_reads_all_rows(documents):
+    # zq stands in one row of many; the chain of ordinary tokens has it all the same
+    rows = [(i, "ordinary words therefore stand everywhere") for i in range(300)]
+    plain = secret_scan.fit(documents(rows))
+    table = secret_scan.fit(documents([*rows, (900, "zqzqzqzqzqzqzqzqzqzq " * 30 + "token=" + "zx" * 40)]))
+    at = lambda pair: secret_scan.ALPHABET.index(pair[0]) * len(secret_scan.ALPHABET) + secret_scan.ALPHABET.index(pair[1])
+    assert table[at("zq")] < plain[at("zq")] < table[at("zx")]
+
+
 def test_contexts_reach_forms_that_no_base_pattern_matches(documents):
     rng = random.Random(5)
     filler = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(7))
@@ -165,7 +199,7 @@ def test_secret_models_learn_from_all_secrets(documents):
     rand = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
     rows = [(i, "ordinary words therefore stand everywhere") for i in range(400)] + [(500 + i, f"password={rand(30)}") for i in range(20)]
     hidden = rand(30)
-    table = secret_scan.fit(documents(rows), max_train_rows=40)  # so few documents hold hardly a secret
+    table = secret_scan.fit(documents(rows))
     r = secret_scan.report(secret_scan.secrets(documents([(1, f"at {hidden} end")]), table)).first()
     assert r["spans"] == "random:3:33"
 
