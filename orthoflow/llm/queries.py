@@ -124,7 +124,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-#: The same as fit() for tables of at most secret_scan.MAX_TRAIN_ROWS documents, which are all read to learn.
+#: Learns as fit() does: ordinary tokens are those that share no character with a base span.
 OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
@@ -145,11 +145,12 @@ WITH d AS (
     SELECT *, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
     FROM valued WHERE (kind = 'assign' AND length(secret) >= 6) OR (kind = 'access' AND length(v) >= 20) OR (kind = 'hex' AND length(v) >= 24))
 ), tokens AS (
-  SELECT k, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{8,}') AS m FROM d
+  SELECT k, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{8,}') AS m, regexp_split_to_array(t, '[A-Za-z0-9+/_=-]{8,}') AS p FROM d
 ), each AS (
-  SELECT k, unnest(m) AS w FROM tokens
+  SELECT k, w, sum(length(gap) + length(w)) OVER (PARTITION BY k ORDER BY i) AS stop
+  FROM (SELECT k, unnest(m) AS w, unnest(p[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM tokens)
 ), ordinary AS (
-  SELECT w FROM each WHERE NOT EXISTS (FROM base WHERE base.k = each.k AND (contains(w, secret) OR contains(secret, w)))
+  SELECT w FROM each WHERE NOT EXISTS (FROM base WHERE base.k = each.k AND base.start < each.stop AND each.stop - length(w) < base.stop)
 ), pairs AS (
   SELECT x, substr(w, i, 2) AS pair, count(*) AS n FROM (
     SELECT x, w, unnest(range(1, length(w))) AS i FROM (SELECT 1 AS x, secret AS w FROM base UNION ALL SELECT 0, w FROM ordinary)) GROUP BY ALL
@@ -175,7 +176,7 @@ WITH d AS (
 ), suspects AS (
   SELECT w FROM chances GROUP BY w HAVING sum(ln(random) - ln(ordinary)) >= ln(1000000)
 ), judged AS (
-  SELECT k, m, regexp_split_to_array(t, '[A-Za-z0-9+/_=-]{8,}') AS p FROM tokens JOIN d USING (k) WHERE list_has_any(m, (SELECT list(w) FROM suspects))
+  SELECT k, m, p FROM tokens WHERE list_has_any(m, (SELECT list(w) FROM suspects))
 ), random AS (
   SELECT k, 'random' AS kind, 3 AS rank, '' AS secret, start, start + length(v) AS stop FROM (
     SELECT k, m[i] AS v, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
