@@ -4,13 +4,21 @@ All edges of a pair are cut by the heights of their vertices and crossings into
 slabs in which no two edges meet. In a slab the edges stand side by side, and how
 many of each polygon stand to the left says which of the trapezoids between them
 belong to both polygons, to either, or to the first alone.
+
+overlay_areas() takes the polygons of a group, each with all others. Polygons that
+are the same ring share a class, classes are overlaid once, and the areas go to
+the pairs of their members at the end, so that only rows of the result are many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orthoflow.sources.scratch import stored
+
 #: Slabs that are lower are rounding.
 LEAST_HEIGHT = 1e-9
 _HELD = {"both": lambda a, b: a & b, "either": lambda a, b: a | b, "first": lambda a, b: a & ~b}
@@ -79,3 +87,27 @@ def overlay_area(pieces: DataFrame) -> DataFrame:
     """Area and number of trapezoids of each pair of overlay()."""
     own = (F.col("right0") + F.col("right1") - F.col("left0") - F.col("left1")) / 2 * (F.col("y1") - F.col("y0"))
     return pieces.groupBy(*_PAIR).agg(F.sum(own).alias("area"), F.count(F.lit(1)).alias("pieces"))
+
+
+def ring_classes(rings: DataFrame, keys: Sequence[str], id: str = "det_id") -> DataFrame:
+    """The different rings of a group: keys, ring, and the least and the highest id that has it (first, last)."""
+    return rings.groupBy(*keys, "ring").agg(F.min(id).alias("first"), F.max(id).alias("last"))
+
+
+def overlay_areas(rings: DataFrame, how: str = "both", keys: Sequence[str] = ("nation",), id: str = "det_id", block: float = 64.0) -> DataFrame:
+    """overlay_area() of overlay() for all pairs of rings (keys, id, ring) of equal keys: id_a < id_b, area, pieces.
+
+    A class is named by its least id (ids are unique). Classes are paired where
+    any of their members are, in both directions, as the first ring may hold what
+    the second lacks.
+    """
+    classes = stored(ring_classes(rings, keys, id), "ring-classes")
+    members = stored(rings.join(classes, [*keys, "ring"]).select(F.col("first").alias("class"), F.col(id).alias("id")), "ring-members")
+    a = classes.select(*keys, F.col("first").alias("id_a"), F.col("ring").alias("ring_a"))
+    b = classes.select(*keys, F.col("first").alias("id_b"), F.col("ring").alias("ring_b"), "last")
+    pairs = a.join(b, list(keys)).where("id_a < last").select("id_a", "ring_a", "id_b", "ring_b")
+    areas = overlay_area(overlay(pairs, how, block)).select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), "area", "pieces")
+    # the members multiply the rows, and small stages would be few tasks
+    areas = areas.repartition(4 * rings.sparkSession.sparkContext.defaultParallelism, "class_a", "class_b")
+    of = lambda side: members.select(F.col("class").alias(f"class_{side}"), F.col("id").alias(f"id_{side}"))
+    return areas.join(of("a"), "class_a").join(of("b"), "class_b").where("id_a < id_b").select("id_a", "id_b", "area", "pieces")

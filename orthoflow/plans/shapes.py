@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orthoflow.functions import raster as R
 from orthoflow.operators import geometry as Y
-from orthoflow.operators.overlay import overlay, overlay_area
+from orthoflow.operators.overlay import overlay_areas
 from orthoflow.operators.pairing import bbox_overlaps
 from orthoflow.plans.fixtures import EDGES, LAYER, layer, rings, supplier_edges, supplier_rings, table
 from orthoflow.plans.registry import query
@@ -148,7 +148,7 @@ def polygon_clip(spark, sf_dir):
 
 def _overlay(how):
     def run(spark, sf_dir):
-        found = overlay_area(overlay(ring_pairs(spark, sf_dir, "dented"), how))
+        found = overlay_areas(supplier_rings(spark, sf_dir, "dented"), how)
         return found.select("id_a", "id_b", F.round("area", 5).alias("area"), "pieces")
 
     run.__name__ = f"polygon_{how}"
