@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,21 +175,119 @@ def clip_convex(subject: list[tuple[float, float]], window: list[tuple[float, fl
     return out
 
 
+def _corners(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Closed rings of points x, y as columns: x and y (corner by ring, then the first corner again to the end) and the corners of each."""
+    flat, sizes = rings.flatten(), np.diff(rings.offsets.to_numpy())
+    n, first = np.maximum(sizes - 1, 0), np.cumsum(sizes) - sizes
+    corner = np.arange(n.max(initial=0) + 1)[:, None]
+    at = np.where(corner < n, first + corner, first)
+    x, y = (flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y"))
+    return (x[at], y[at], n) if len(flat) else (np.zeros(at.shape), np.zeros(at.shape), n)
+
+
+def _turned(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of _corners(), all of them in the positive direction."""
+    turns = sum((x[k] * y[k + 1] - x[k + 1] * y[k] for k in range(len(x) - 1)), np.zeros(x.shape[1]))
+    corner = np.arange(len(x))[:, None]
+    at = np.where(turns > 0, corner, np.where(corner < n, n - 1 - corner, np.maximum(n - 1, 0)))
+    return np.take_along_axis(x, at, 0), np.take_along_axis(y, at, 0)
+
+
+def clip_many(x: np.ndarray, y: np.ndarray, n: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """clip_convex() of many pairs at once: polygon k of _corners() is held by window k of _turned()."""
+    x, y, n = x.copy(), y.copy(), n.copy()
+    for k in range(len(wx) - 1):
+        ax, ay, bx, by = wx[k], wy[k], wx[k + 1], wy[k + 1]
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        cut = np.flatnonzero((side < 0).any(axis=0) & (n > 0))  # all others stay whole
+        if not len(cut):
+            continue
+        p, q, side, m = x[:, cut], y[:, cut], side[:, cut], n[cut]
+        inside, own = side >= 0, np.arange(len(p) - 1)[:, None] < m
+        crossed = (inside[:-1] != inside[1:]) & own
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = side[:-1] / (side[:-1] - side[1:])
+        kept = np.stack([inside[:-1] & own, crossed], axis=1).reshape(-1, len(cut))
+        place = np.cumsum(kept, axis=0) - 1
+        m = place[-1] + 1
+        old, ring = np.nonzero(kept)
+        to = place[old, ring]
+        grown = max(0, m.max(initial=0) + 1 - len(x))
+        x, y = (np.concatenate([v, np.broadcast_to(v[0], (grown, v.shape[1]))]) if grown else v for v in (x, y))
+        for all_, v in ((x, p), (y, q)):
+            with np.errstate(invalid="ignore"):
+                both = np.stack([v[:-1], v[:-1] + t * (v[1:] - v[:-1])], axis=1).reshape(-1, len(cut))
+            got = np.zeros((len(x), len(cut)))
+            got[to, ring] = both[old, ring]
+            all_[:, cut] = np.where(np.arange(len(x))[:, None] < m, got, got[0])
+        n[cut] = m
+    return x, y, n
+
+
+def areas_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Areas of the columns of _corners()."""
+    total = np.zeros(x.shape[1])
+    for k in range(len(x) - 1):
+        total = total + x[k] * y[k + 1] - x[k + 1] * y[k]
+    return np.abs(total) / 2
+
+
 def intersections(pairs: DataFrame) -> DataFrame:
     """pairs (id_a, ring_a, id_b, ring_b; b convex, rings closed) with `ring`, their closed intersection; empty ones go."""
-    import pandas as pd
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = clip_many(*_corners(batch.column(1)), *_turned(*_corners(batch.column(3))))
+            left = np.flatnonzero(n > 2)
+            held = (np.arange(len(x))[:, None] <= n[left]).T
+            points = pa.StructArray.from_arrays([x[:, left].T[held], y[:, left].T[held]], ["x", "y"])
+            rings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[left] + 1)], pa.int32()), points)
+            at = pa.array(left)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), rings], ["id_a", "id_b", "ring"])
+
+    return pairs.select("id_a", "ring_a", "id_b", "ring_b").mapInArrow(run, "id_a int, id_b int, ring array<struct<x:double,y:double>>")
+
+
+def intersection_areas(rings: DataFrame, keys: Sequence[str] = ("nation",), id: str = "det_id", most: int = 256, at_once: int = 8192) -> DataFrame:
+    """Areas of the intersections of all pairs of rings (keys, id int, ring closed and convex) of equal keys: id_a < id_b, area; empty ones go.
+
+    Rings are dealt to parts of about `most`, and a row holds two parts of a
+    group, so rings are copied once a part, not once a pair. Pairs are made
+    beside the arrays, `at_once` at a time, and those whose boxes meet are clipped.
+    """
+    rings = rings.select(*keys, F.col(id).cast("int").alias("id"), "ring").dropna()
+    sizes = rings.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    rows = sizes.agg(F.sum(F.col("parts") * (F.col("parts") + 1) / 2)).first()[0] or 0
+    dealt = rings.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    blocks = dealt.groupBy(*keys, "part").agg(F.collect_list("id").alias("ids"), F.collect_list("ring").alias("rings"))
+    side = lambda s: blocks.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("part", "ids", "rings")])
+    met = side("a").join(side("b"), list(keys)).where("part_a <= part_b")
+    tasks = max(4 * rings.sparkSession.sparkContext.defaultParallelism, int(rows) // 16)
+    met = met.repartition(tasks, *keys, "part_a", "part_b").select("ids_a", "rings_a", "ids_b", "rings_b", (F.col("part_a") == F.col("part_b")).alias("same"))
+
+    def of(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        one = batch.slice(row, 1)
+        ids = np.concatenate([one.column(k).flatten().to_numpy() for k in (0, 2)])
+        x, y, n = _corners(pa.concat_arrays([one.column(1).flatten(), one.column(3).flatten()]))
+        wx, wy = _turned(x, y, n)
+        box = x.min(axis=0), x.max(axis=0), y.min(axis=0), y.max(axis=0)
+        mid, same = len(one.column(0).flatten()), one.column(4)[0].as_py()
+        rows = max(1, at_once // max(1, len(ids) - mid))
+        for start in range(0, mid, rows):
+            a, b = (g.ravel() for g in np.meshgrid(np.arange(start, min(mid, start + rows)), np.arange(mid, len(ids)), indexing="ij"))
+            a, b = (a, b) if same else (np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a))
+            meet = (ids[a] < ids[b]) & (box[0][a] <= box[1][b]) & (box[0][b] <= box[1][a]) & (box[2][a] <= box[3][b]) & (box[2][b] <= box[3][a])
+            a, b = a[meet], b[meet]
+            cx, cy, cn = clip_many(x[:, a], y[:, a], n[a], wx[:, b], wy[:, b])
+            left = cn > 2
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[left]]), pa.array(ids[b[left]]), pa.array(areas_of(cx[:, left], cy[:, left]))], ["id_a", "id_b", "area"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for ia, ra, ib, rb in zip(batch["id_a"], batch["ring_a"], batch["id_b"], batch["ring_b"]):
-                a, b = ([(p["x"], p["y"]) for p in ring[:-1]] for ring in (ra, rb))
-                got = clip_convex(a, b)
-                if len(got) > 2:
-                    rows.append((ia, ib, [{"x": float(x), "y": float(y)} for x, y in [*got, got[0]]]))
-            yield pd.DataFrame(rows, columns=["id_a", "id_b", "ring"])
-
-    return pairs.select("id_a", "ring_a", "id_b", "ring_b").mapInPandas(run, "id_a int, id_b int, ring array<struct<x:double,y:double>>")
+            for row in range(batch.num_rows):
+                yield from of(batch, row)
+
+    return met.mapInArrow(run, "id_a int, id_b int, area double")
 
 
 def area(ring: Column) -> Column:

@@ -131,19 +131,11 @@ told AS (SELECT *, sum(1 - second) OVER l % 2 = 1 AS a, sum(second) OVER l % 2 =
 SELECT id_a, id_b, round(sum(wide / 2 * (s1 - s0)), {digits}) AS area, count(*) AS pieces FROM told WHERE wide > 1e-9 AND ({held}) GROUP BY id_a, id_b"""
 
 
-def ring_pairs(spark, sf_dir, shape):
-    """Pairs of footprints of one nation."""
-    r = supplier_rings(spark, sf_dir, shape)
-    a = r.select("nation", F.col("det_id").alias("id_a"), F.col("ring").alias("ring_a"))
-    b = r.select("nation", F.col("det_id").alias("id_b"), F.col("ring").alias("ring_b"))
-    return a.join(b, "nation").where("id_a < id_b").drop("nation")
-
-
 @query(f"SELECT id_a, id_b, area FROM ({overlay_sql('convex', 'a AND b', 6)}) WHERE area > 1e-4")
 def polygon_clip(spark, sf_dir):
-    """Intersections of convex footprints, each as a ring."""
-    got = Y.intersections(ring_pairs(spark, sf_dir, "convex"))
-    return got.select("id_a", "id_b", F.round(Y.area(F.col("ring")), 6).alias("area")).where("area > 1e-4")
+    """Areas of the intersections of convex footprints."""
+    got = Y.intersection_areas(supplier_rings(spark, sf_dir, "convex"))
+    return got.select("id_a", "id_b", F.round("area", 6).alias("area")).where("area > 1e-4")
 
 
 def _overlay(how):

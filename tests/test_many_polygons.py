@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import duckdb
 import pytest
 
-from orthoflow.operators import overlay
+from orthoflow.operators import geometry, overlay
 from orthoflow.plans import ORACLES, QUERIES
 
 
@@ -40,3 +43,39 @@ def test_equal_rings_are_overlaid_once_for_both(spark, crowd, monkeypatch):
     seen = overlaid(monkeypatch)
     equals_sql(spark, crowd, "polygon_both")
     assert max(seen) <= 51 * 51 + 10 < 300 * 299 / 2  # a nation has at most 51 different rings
+
+
+def test_pairs_of_convex_rings_are_made_beside_the_arrays(spark, crowd, monkeypatch):
+    seen, frame = [], type(spark.range(1))
+    for name in ("mapInPandas", "mapInArrow"):
+        plain = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda df, *a, plain=plain, **k: seen.append(df.count()) or plain(df, *a, **k))
+    equals_sql(spark, crowd, "polygon_clip")
+    assert max(seen) <= 3  # nations, not pairs
+
+
+@pytest.mark.parametrize("most, at_once", [(512, 8192), (7, 10)])
+def test_many_clips_equal_plain_ones(spark, most, at_once):
+    rng = random.Random(3)
+
+    def convex(corners):
+        x, y, turns = rng.uniform(0, 12), rng.uniform(0, 12), sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+        ring = [(x + 5 * math.cos(t), y + 5 * math.sin(t)) for t in turns]
+        return ring if rng.random() < 0.5 else ring[::-1]
+
+    square = [(2.0, 2.0), (8.0, 2.0), (8.0, 8.0), (2.0, 8.0)]
+    rings = {k: convex(rng.randint(3, 9)) for k in range(50)} | {50: square, 51: square[::-1], 52: [(8.0, 2.0), (12.0, 2.0), (12.0, 8.0)], 53: [(40.0, 40.0), (41.0, 40.0), (41.0, 41.0)]}
+    closed = {k: [*ring, ring[0]] for k, ring in rings.items()}
+    point = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([("n", k, ring) for k, ring in closed.items()] + [("other", 60, closed[50]), (None, 61, closed[50])], f"nation string, det_id int, ring {point}")
+    pairs = [(a, b) for a in rings for b in rings if a < b]
+    clipped = {(a, b): geometry.clip_convex(rings[a], rings[b]) for a, b in pairs}
+    want = {k: ring for k, ring in clipped.items() if len(ring) > 2}
+    size = lambda ring: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, [*ring[1:], ring[0]]))) / 2
+    rows = geometry.intersection_areas(df, most=most, at_once=at_once).collect()
+    got = {(r["id_a"], r["id_b"]): r["area"] for r in rows}
+    assert len(got) == len(rows) and set(got) <= set(want)
+    assert all(abs(got.get(k, 0.0) - size(ring)) < 1e-9 for k, ring in want.items())
+    both = spark.createDataFrame([(a, closed[a], b, closed[b]) for a, b in pairs], f"id_a int, ring_a {point}, id_b int, ring_b {point}")
+    found = {(r["id_a"], r["id_b"]): [tuple(p) for p in r["ring"]] for r in geometry.intersections(both).collect()}
+    assert found == {k: [*ring, ring[0]] for k, ring in want.items()}
