@@ -45,6 +45,12 @@ def test_equal_rings_are_overlaid_once_for_both(spark, crowd, monkeypatch):
     assert max(seen) <= 51 * 51 + 10 < 300 * 299 / 2  # a nation has at most 51 different rings
 
 
+def test_equal_rings_are_overlaid_once_for_either(spark, crowd, monkeypatch):
+    seen = overlaid(monkeypatch)
+    equals_sql(spark, crowd, "polygon_either")
+    assert max(seen) <= 51 * 51 + 10
+
+
 def test_pairs_of_convex_rings_are_made_beside_the_arrays(spark, crowd, monkeypatch):
     seen, frame = [], type(spark.range(1))
     for name in ("mapInPandas", "mapInArrow"):
