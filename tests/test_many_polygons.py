@@ -51,6 +51,12 @@ def test_equal_rings_are_overlaid_once_for_either(spark, crowd, monkeypatch):
     assert max(seen) <= 51 * 51 + 10
 
 
+def test_equal_rings_are_overlaid_once_for_the_first_alone(spark, crowd, monkeypatch):
+    seen = overlaid(monkeypatch)
+    equals_sql(spark, crowd, "polygon_first")
+    assert max(seen) <= 51 * 51 + 10
+
+
 def test_pairs_of_convex_rings_are_made_beside_the_arrays(spark, crowd, monkeypatch):
     seen, frame = [], type(spark.range(1))
     for name in ("mapInPandas", "mapInArrow"):
