@@ -21,6 +21,8 @@ from orthoflow.sources.scratch import stored
 
 #: Slabs that are lower are rounding.
 LEAST_HEIGHT = 1e-9
+#: Ids of a class that a row holds, about.
+MEMBERS = 1024
 _HELD = {"both": lambda a, b: a & b, "either": lambda a, b: a | b, "first": lambda a, b: a & ~b}
 _PAIR = ["id_a", "id_b"]
 
@@ -90,24 +92,37 @@ def overlay_area(pieces: DataFrame) -> DataFrame:
 
 
 def ring_classes(rings: DataFrame, keys: Sequence[str], id: str = "det_id") -> DataFrame:
-    """The different rings of a group: keys, ring, and the least and the highest id that has it (first, last)."""
-    return rings.groupBy(*keys, "ring").agg(F.min(id).alias("first"), F.max(id).alias("last"))
+    """The different rings of a group: keys, ring, the least and the highest id that has it (first, last), and how many do (n)."""
+    return rings.groupBy(*keys, "ring").agg(F.min(id).alias("first"), F.max(id).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def overlay_areas(rings: DataFrame, how: str = "both", keys: Sequence[str] = ("nation",), id: str = "det_id", block: float = 64.0) -> DataFrame:
+def member_parts(rings: DataFrame, classes: DataFrame, keys: Sequence[str], id: str = "det_id", most: int = MEMBERS) -> DataFrame:
+    """The ids of each class of ring_classes(), in parts of about `most`: class, part, ids, and the least and the highest of these (low, high)."""
+    part = F.pmod(F.xxhash64(id), F.ceil(F.col("n") / most))
+    own = rings.join(classes, [*keys, "ring"]).select(F.col("first").alias("class"), part.alias("part"), F.col(id).alias("id"))
+    return own.groupBy("class", "part").agg(F.collect_list("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+def overlay_areas(
+    rings: DataFrame, how: str = "both", keys: Sequence[str] = ("nation",), id: str = "det_id", block: float = 64.0, digits: int | None = None, most: int = MEMBERS
+) -> DataFrame:
     """overlay_area() of overlay() for all pairs of rings (keys, id, ring) of equal keys: id_a < id_b, area, pieces.
 
     A class is named by its least id (ids are unique). Classes are paired where
     any of their members are, in both directions, as the first ring may hold what
-    the second lacks.
+    the second lacks. digits: areas are rounded, once for each pair of classes.
     """
     classes = stored(ring_classes(rings, keys, id), "ring-classes")
-    members = stored(rings.join(classes, [*keys, "ring"]).select(F.col("first").alias("class"), F.col(id).alias("id")), "ring-members")
+    parts = member_parts(rings, classes, keys, id, most)
     a = classes.select(*keys, F.col("first").alias("id_a"), F.col("ring").alias("ring_a"))
     b = classes.select(*keys, F.col("first").alias("id_b"), F.col("ring").alias("ring_b"), "last")
     pairs = a.join(b, list(keys)).where("id_a < last").select("id_a", "ring_a", "id_b", "ring_b")
     areas = overlay_area(overlay(pairs, how, block)).select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), "area", "pieces")
-    # the members multiply the rows, and small stages would be few tasks
-    areas = areas.repartition(4 * rings.sparkSession.sparkContext.defaultParallelism, "class_a", "class_b")
-    of = lambda side: members.select(F.col("class").alias(f"class_{side}"), F.col("id").alias(f"id_{side}"))
-    return areas.join(of("a"), "class_a").join(of("b"), "class_b").where("id_a < id_b").select("id_a", "id_b", "area", "pieces")
+    if digits is not None:
+        areas = areas.withColumn("area", F.round("area", digits))
+    of = lambda side: parts.select(*[F.col(k).alias(f"{k}_{side}") for k in parts.columns])
+    met = areas.join(of("a"), "class_a").join(of("b"), "class_b").where("low_a < high_b")
+    # a row becomes up to most * most rows, and small stages would be few tasks
+    met = met.repartition(4 * rings.sparkSession.sparkContext.defaultParallelism, "class_a", "part_a", "class_b", "part_b")
+    firsts = met.select(F.explode("ids_a").alias("id_a"), "ids_b", "area", "pieces")
+    return firsts.select("id_a", F.explode("ids_b").alias("id_b"), "area", "pieces").where("id_a < id_b")

@@ -140,8 +140,7 @@ def polygon_clip(spark, sf_dir):
 
 def _overlay(how):
     def run(spark, sf_dir):
-        found = overlay_areas(supplier_rings(spark, sf_dir, "dented"), how)
-        return found.select("id_a", "id_b", F.round("area", 5).alias("area"), "pieces")
+        return overlay_areas(supplier_rings(spark, sf_dir, "dented"), how, digits=5)
 
     run.__name__ = f"polygon_{how}"
     return run

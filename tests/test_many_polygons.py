@@ -10,6 +10,7 @@ import pytest
 
 from orthoflow.operators import geometry, overlay
 from orthoflow.plans import ORACLES, QUERIES
+from orthoflow.plans.fixtures import supplier_rings
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +58,27 @@ def test_equal_rings_are_overlaid_once_for_the_first_alone(spark, crowd, monkeyp
     assert max(seen) <= 51 * 51 + 10
 
 
+def rounded_before_expansion(df):
+    """Whether areas are rounded while they still are areas of classes: in the plan, below the explosion of members."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [k for k, line in enumerate(lines) if "round(" in line]
+    members = [k for k, line in enumerate(lines) if "Generate explode(ids_" in line]
+    return len(at) == 1 and len(members) == 2 and min(at) > max(members)
+
+
+def test_areas_are_rounded_once_for_classes_for_either(spark, crowd):
+    assert rounded_before_expansion(QUERIES["polygon_either"](spark, crowd))
+
+
+@pytest.mark.parametrize("how", ["both", "either", "first"])
+def test_members_in_many_parts_meet_once(spark, crowd, how):
+    rings = supplier_rings(spark, crowd, "dented")
+    classes = overlay.ring_classes(rings, ["nation"])
+    assert overlay.member_parts(rings, classes, ["nation"], most=2).count() > classes.count()
+    pairs = lambda **k: sorted(map(tuple, overlay.overlay_areas(rings, how, digits=5, **k).collect()))
+    assert pairs(most=2) == pairs()
+
+
 def test_pairs_of_convex_rings_are_made_beside_the_arrays(spark, crowd, monkeypatch):
     seen, frame = [], type(spark.range(1))
     for name in ("mapInPandas", "mapInArrow"):
