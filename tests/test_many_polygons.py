@@ -70,6 +70,10 @@ def test_areas_are_rounded_once_for_classes_for_either(spark, crowd):
     assert rounded_before_expansion(QUERIES["polygon_either"](spark, crowd))
 
 
+def test_areas_are_rounded_once_for_classes_for_the_first_alone(spark, crowd):
+    assert rounded_before_expansion(QUERIES["polygon_first"](spark, crowd))
+
+
 @pytest.mark.parametrize("how", ["both", "either", "first"])
 def test_members_in_many_parts_meet_once(spark, crowd, how):
     rings = supplier_rings(spark, crowd, "dented")
