@@ -58,6 +58,14 @@ def test_equal_rings_are_overlaid_once_for_the_first_alone(spark, crowd, monkeyp
     assert max(seen) <= 51 * 51 + 10
 
 
+@pytest.mark.parametrize("how", ["both", "either", "first"])
+def test_two_classes_are_overlaid_once_for_both_directions(spark, crowd, monkeypatch, how):
+    seen = overlaid(monkeypatch)
+    pairs = QUERIES[f"polygon_{how}"](spark, crowd).select("id_a", "id_b").collect()
+    assert seen == [51 * 52 / 2 + 5 * 4 / 2]  # a class of one member, as in the nation of 5, is not overlaid with itself
+    assert len(set(map(tuple, pairs))) == len(pairs) > 20_000
+
+
 def rounded_before_expansion(df):
     """Whether areas are rounded while they still are areas of classes: in the plan, below the explosion of members."""
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
